@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import at
+
 
 class SourceError(ValueError):
     """A source cannot be used (missing message column, no requested fields...)."""
@@ -50,10 +52,6 @@ def turn_struct_type(df: DataFrame, col: str) -> T.StructType:
     return dt.elementType
 
 
-def _field(t: Column, st: T.StructType, name: str) -> Column | None:
-    return t[name] if name in st.fieldNames() else None
-
-
 def content_as_text(c: Column, dtype: T.DataType) -> Column:
     """Content to one string: strings as-is, lists joined by newline with empty items dropped."""
     if isinstance(dtype, T.StringType):
@@ -130,10 +128,11 @@ def validate_and_select(df: DataFrame, requested: Sequence[str]) -> DataFrame:
     return df.select(*final)
 
 
-def rebuild_clean_schema(df: DataFrame, col: str = "conversations") -> DataFrame:
+def rebuild_clean_schema(df: DataFrame, col: str = "conversations", keep: Sequence[str] = ()) -> DataFrame:
     """PRJ6 + FLT3: keep only ``role``/``content`` of each turn, drop empty examples.
 
     Turns whose struct lacks either key are dropped (schema-level presence).
+    ``keep`` carries extra columns (e.g. an id) through the rebuild.
     """
     st = turn_struct_type(df, col)
     if "role" not in st.fieldNames() or "content" not in st.fieldNames():
@@ -141,7 +140,7 @@ def rebuild_clean_schema(df: DataFrame, col: str = "conversations") -> DataFrame
                                                          T.StructField("content", T.StringType())])))
     else:
         clean = F.transform(F.col(col), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return df.select(clean.alias(col)).where(F.size(col) > 0)
+    return df.select(*keep, clean.alias(col)).where(F.size(col) > 0)
 
 
 # --------------------------------------------------------------------------- layout converters
@@ -252,7 +251,7 @@ def is_alternating(col: Column, offset: Column | int = 0, roles_only: bool = Fal
 
 def system_offset(col: Column) -> Column:
     """1 when the first turn is a system turn, else 0 (PRJ20 / FLT6 offset)."""
-    return F.when(F.element_at(col, 1)["role"].eqNullSafe("system"), 1).otherwise(0)
+    return F.when(at(col, 1)["role"].eqNullSafe("system"), 1).otherwise(0)
 
 
 def infer_message_column(df: DataFrame, candidates: Sequence[str] = MESSAGE_COLUMN_CANDIDATES) -> list[str]:
