@@ -79,6 +79,26 @@ def japanese_or_acceptable_class() -> str:
     return "[" + _class_body(JAPANESE_RANGES) + ascii_punct_class_body() + python_digit_class_body() + "]"
 
 
+@lru_cache(maxsize=1)
+def japanese_or_acceptable_chars() -> str:
+    """Every code point counted by the share metric, as one string (for ``translate``)."""
+    cps = set()
+    for lo, hi in JAPANESE_RANGES:
+        cps.update(range(lo, hi + 1))
+    cps.update(ord(c) for c in string.punctuation)
+    cps.update(cp for cp in range(sys.maxunicode + 1) if chr(cp).isdigit())
+    return "".join(chr(cp) for cp in sorted(cps))
+
+
+def count_in_set(col: Column, chars: str) -> Column:
+    """Number of code points of ``col`` that belong to ``chars``.
+
+    ``translate`` deletes them with one hash lookup per character, which is
+    several times faster than a regex class with many ranges.
+    """
+    return F.length(col) - F.length(F.translate(col, chars, ""))
+
+
 def count_matches(col: Column, char_class: str) -> Column:
     """Number of code points of ``col`` inside ``char_class`` (JVM regex count)."""
     return F.regexp_count(col, F.lit(char_class))

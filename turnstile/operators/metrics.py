@@ -11,13 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_matches, japanese_or_acceptable_class
+from ..functions.text import count_in_set, japanese_or_acceptable_chars
 from ..functions.tokenize import COUNTERS
 
 
 def japanese_counts(text: Column) -> tuple[Column, Column]:
     """(code points, counted code points) of one text for the share metric."""
-    return F.length(text), count_matches(text, japanese_or_acceptable_class())
+    return F.length(text), count_in_set(text, japanese_or_acceptable_chars())
 
 
 def japanese_share(df: DataFrame, text_col: str, group_cols: Sequence[str]) -> DataFrame:

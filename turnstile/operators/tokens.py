@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.arrays import at
 
 from ..functions.tokenize import DEFAULT_TOKENIZER, RegexTokenizer, optimal_id_type
-from .index import with_prefix_sum, with_row_index
+from .index import BROADCAST_MAX_ROWS, with_prefix_sum, with_row_index
 from .quality import document_status
 
 
@@ -88,8 +88,9 @@ def stream_pack(docs: DataFrame, text_col: str, id_col: str, seq_len: int,
     base = docs.select(shard.alias("_shard"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     narrow = base.select("_shard", "_id", (tokenizer.count(F.col("_text")) + F.lit(2)).alias("_n"))
     offs = with_prefix_sum(narrow, "_n", ["_id"], ["_shard"], name="_start")
-    totals = narrow.groupBy("_shard").agg(F.floor(F.sum("_n") / F.lit(width)).alias("_chunks"))
-    spans = (offs.join(F.broadcast(totals), "_shard")
+    totals = offs.groupBy("_shard").agg(F.floor(F.sum("_n") / F.lit(width)).alias("_chunks"))
+    totals = F.broadcast(totals) if totals.count() <= BROADCAST_MAX_ROWS else totals
+    spans = (offs.join(totals, "_shard")
              .withColumn("_c0", F.floor(F.col("_start") / width))
              .withColumn("_c1", F.least(F.floor((F.col("_start") + F.col("_n") - 1) / width), F.col("_chunks") - 1))
              .where(F.col("_c0") <= F.col("_c1"))
