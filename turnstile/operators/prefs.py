@@ -11,9 +11,10 @@ from . import render
 from .index import with_row_index
 
 
-def full_pairs(df: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """PRF1/PRF7: pass-through full chosen/rejected conversations."""
-    return df.select(F.col(chosen).alias("chosen"), F.col(rejected).alias("rejected"))
+def full_pairs(df: DataFrame, chosen: str = "chosen", rejected: str = "rejected",
+               keep: tuple[str, ...] = ()) -> DataFrame:
+    """PRF1/PRF7: pass-through full chosen/rejected conversations under the fixed names."""
+    return df.select(*keep, F.col(chosen).alias("chosen"), F.col(rejected).alias("rejected"))
 
 
 def append_pairs(df: DataFrame, conv: str = "conversations", chosen: str = "chosen",

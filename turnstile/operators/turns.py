@@ -102,6 +102,20 @@ def normalize_conversation(df: DataFrame, field_messages: str = "conversations",
     return F.filter(mapped, lambda t: t["role"].isNotNull() & t["content"].isNotNull())
 
 
+def normalize_flat(flat: DataFrame, role_col: str = "role", content_col: str = "text",
+                   role_map: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """PRJ2-3 + FLT1 on a flat turn table, before nesting.
+
+    Same per-turn rule as ``normalize_conversation`` but applied row by row, so
+    invalid turns are dropped before the ``groupBy`` that nests them and the
+    shuffle carries only kept turns.
+    """
+    m = literal_map(invert_role_map(role_map if role_map is not None else DEFAULT_ROLE_MAP))
+    mapped = m[F.lower(F.col(role_col).cast("string"))]
+    return (flat.withColumn(role_col, mapped)
+            .where(F.col(role_col).isNotNull() & F.col(content_col).isNotNull()))
+
+
 def load_conversation(df: DataFrame, field_messages: str = "conversations",
                       role_map: Mapping[str, Sequence[str]] | None = None,
                       fields: Sequence[str] | None = None, mode: str = "strict",

@@ -39,8 +39,10 @@ def register(name: str, sql: str | None = None):
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Driver conversations nested and normalised (PRJ1-3, FLT1-2)."""
-    return turns.load_conversation(conversations_nested(spark, sf_dir), fields=["conv_id", "conversations"])
+    """Driver conversations normalised (PRJ1-3, FLT1) on the flat rows, then nested;
+    conversations left empty never appear (FLT2)."""
+    flat = turns.normalize_flat(load_table(spark, sf_dir, "conversations"))
+    return nest_turns(flat)
 
 
 # --------------------------------------------------------------------------- shared SQL
@@ -392,6 +394,46 @@ def cap_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.cap_per_group(docs, 10, ["source"], ["doc_id"])
 
 
+def _layout_reader(sf_dir: str):
+    """Reader for the derived chat layouts of the driver ``conversations`` table."""
+    def read(spark: SparkSession, name: str) -> DataFrame:
+        raw = conversations_nested(spark, sf_dir)
+        if name == "messages":
+            return raw.select("conv_id", F.col("conversations").alias("messages"),
+                              F.col("conversations").alias("original_messages"))
+        if name == "sharegpt":
+            return conversations_sharegpt(spark, sf_dir)
+        raise turns.SourceError(f"unknown layout {name!r}")
+    return read
+
+
+# Fixed recipe for the conversation mix: the same source through two message
+# columns (MIX4) plus a ShareGPT-layout source, with load-time slices.
+SFT_RECIPE = recipes.Recipe([
+    recipes.SourceSpec("chat-messages", "train[:50%]", "messages", path="messages"),
+    recipes.SourceSpec("chat-original", "train", "original_messages", path="messages"),
+    recipes.SourceSpec("chat-sharegpt", "train[:25%]", "conversations", path="sharegpt"),
+    recipes.SourceSpec("chat-missing-column", "train", "dialogue", path="messages"),
+], order_cols=("conv_id",))
+
+
+@register("sft_mix", f"""WITH {SQL_NORM}, {SQL_CHATML_STRICT},
+ri AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS rn, count(*) OVER () AS n
+       FROM (SELECT DISTINCT conv_id FROM conversations)),
+sel AS (
+  SELECT 'chat-messages' AS source, conv_id FROM ri WHERE rn <= round_even(CAST(50 AS DOUBLE) * n / CAST(100 AS DOUBLE), 0)
+  UNION ALL SELECT 'chat-original', conv_id FROM ri
+  UNION ALL SELECT 'chat-sharegpt', conv_id FROM ri WHERE rn <= round_even(CAST(25 AS DOUBLE) * n / CAST(100 AS DOUBLE), 0))
+SELECT sel.source, sel.conv_id, cm.text, cm.n_turns FROM sel JOIN cm USING (conv_id)""")
+def sft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipeline A: MIX1/3/4/6/7/8 + PRJ1-6 + FLT1-3/7: recipe sources sliced at load,
+    normalised, rebuilt, unioned and put in seeded order; the source without its
+    message column is isolated (status row, no data)."""
+    mixed, _status = recipes.build_conversation_mix(spark, SFT_RECIPE, _layout_reader(sf_dir))
+    return mixed.select("source", "conv_id", render.chatml_strict(F.col("conversations")).alias("text"),
+                        F.size("conversations").cast("long").alias("n_turns"))
+
+
 # =========================================================================== PRF
 
 _PAIRS_SQL = f"""{SQL_NORM},
@@ -429,6 +471,26 @@ def dpo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        prefs.single_text(split["prompt"], split["chosen"], split["rejected"]).alias("text"))
 
 
+@register("dpo_mix", f"""WITH {_PAIRS_SQL},
+n AS (SELECT count(*) AS n FROM pairs),
+pi AS (SELECT pairs.*, row_number() OVER (ORDER BY conv_id) AS rn, n.n FROM pairs, n)
+SELECT 'full' AS source, conv_id AS id, chosen AS chosen_last, rejected AS rejected_last FROM pi
+UNION ALL
+SELECT 'message', conv_id, chosen, rejected FROM pi WHERE rn <= round_even(CAST(20 AS DOUBLE) * n / CAST(100 AS DOUBLE), 0)""")
+def dpo_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipeline D: PRF1 full layout + PRF3 message layout on a 20 % slice, PRF4 mix,
+    PRF7 column contract, MIX9 empty check, seeded order."""
+    pairs = _pairs(spark, sf_dir)
+    full = (prefs.full_pairs(prefs.append_pairs(pairs, layout="append"), keep=("conv_id",))
+            .select(F.col("conv_id").alias("id"), F.lit("full").alias("source"), "chosen", "rejected"))
+    sliced = mix.slice_rows(pairs, "train[:20%]", ["conv_id"])
+    message = prefs.append_pairs(sliced, layout="message").select(
+        F.col("conv_id").alias("id"), F.lit("message").alias("source"), "chosen", "rejected")
+    mixed = recipes.build_preference_mix([full, message])
+    return mixed.select("source", "id", at("chosen", -1)["content"].alias("chosen_last"),
+                        at("rejected", -1)["content"].alias("rejected_last"))
+
+
 # =========================================================================== JDG
 
 _JUDGE_SQL_PROMPT = (f"{sql_str(judge.JUDGE_PROMPT_HEAD)} || inst || {sql_str(judge.JUDGE_PROMPT_A)} || chosen || "

@@ -97,9 +97,13 @@ def build_conversation_mix(spark: SparkSession, recipe: Recipe,
         try:
             spec = parse_split(s.split)
             raw = reader(spark, s.path or s.name)
+            if s.field_messages not in raw.columns:
+                raise turns.SourceError(f"Source field '{s.field_messages}' not found. Available: {raw.columns}")
+            raw = mix.slice_rows(raw, spec, list(recipe.order_cols))          # the split is taken at load
             conv = turns.load_conversation(raw, s.field_messages, s.role_map or turns.DEFAULT_ROLE_MAP,
                                            fields=[*recipe.order_cols, "conversations"])
-            conv = mix.slice_rows(conv, spec, list(recipe.order_cols))
+            if s.shuffle_seed is not None:
+                conv = mix.deterministic_shuffle(conv, list(recipe.order_cols), s.shuffle_seed)
             conv = turns.rebuild_clean_schema(conv, "conversations", keep=list(recipe.order_cols))
             parts.append(conv.withColumn("source", F.lit(s.name)))
             status.append((s.name, "ok", s.split))
@@ -115,9 +119,11 @@ def build_conversation_mix(spark: SparkSession, recipe: Recipe,
     return union, status_frame(spark, status)
 
 
-def build_preference_mix(parts: Sequence[DataFrame], seed: int = 42, shuffle: bool = True) -> DataFrame:
-    """DPO mix (pipeline D): adapters already produced ``chosen``/``rejected``; union and order."""
-    union = mix.concat_sources([p.select("chosen", "rejected", F.col("source"), F.col("id")) for p in parts])
-    if union.isEmpty():
+def build_preference_mix(parts: Sequence[DataFrame], seed: int = 42, shuffle: bool = True,
+                         check_empty: bool = True) -> DataFrame:
+    """DPO mix (pipeline D): adapters already produced ``id, source, chosen, rejected``;
+    union (MIX3), refuse an empty result (MIX9), seeded order (MIX6)."""
+    union = mix.concat_sources([p.select("id", "source", "chosen", "rejected") for p in parts])
+    if check_empty and union.isEmpty():
         raise ValueError("No data to save")
     return mix.deterministic_shuffle(union, ["source", "id"], seed) if shuffle else union
