@@ -118,10 +118,11 @@ def sharegpt_converters(spark: SparkSession, sf_dir: str) -> DataFrame:
                      roles(turns.sharegpt_verbatim(c)).alias("roles_verbatim"))
 
 
-def _template_query(column_builder):
+def _template_query(column_builder, doc: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         conv = normalized(spark, sf_dir)
         return conv.select("conv_id", column_builder(F.col("conversations")).alias("text"))
+    q.__doc__ = doc
     return q
 
 
@@ -132,36 +133,36 @@ SELECT conv_id, {head}string_agg({piece}, '' ORDER BY turn){tail} AS text FROM n
 
 register("render_chatml_generation", _template_sql(
     f"'<|im_start|>' || role || {NL} || content || '<|im_end|>' || {NL}", tail=f" || '<|im_start|>assistant' || {NL}"))(
-    _template_query(lambda c: render.chatml(c, add_generation_prompt=True)))
+    _template_query(lambda c: render.chatml(c, add_generation_prompt=True), "PRJ14: ChatML default template with generation prompt."))
 
 register("render_llama2", _template_sql(
     f"""CASE WHEN role = 'user' AND idx > 1 THEN '<s>[INST] ' || content || ' [/INST]'
          WHEN role = 'user' THEN content || ' [/INST]'
          WHEN role = 'system' THEN '[INST] <<SYS>>' || {NL} || content || {NL} || '<</SYS>>' || {NL} || {NL}
-         WHEN role = 'assistant' THEN ' ' || content || ' </s>' END"""))(_template_query(render.llama2))
+         WHEN role = 'assistant' THEN ' ' || content || ' </s>' END"""))(_template_query(render.llama2, "PRJ15: Llama-2 [INST]/<<SYS>> template."))
 
 register("render_instruction_ja", _template_sql(
     f"""CASE WHEN role = 'system' THEN content || {NL} || {NL}
          WHEN role = 'user' THEN '### 指示:' || {NL} || content || {NL} || {NL}
          WHEN role = 'assistant' THEN '### 応答:' || {NL} || content || {NL} || {NL} END""",
-    tail=" || '### 応答:'"))(_template_query(lambda c: render.instruction_ja(c, True, "swallow")))
+    tail=" || '### 応答:'"))(_template_query(lambda c: render.instruction_ja(c, True, "swallow"), "PRJ16: ### 指示 / ### 応答 template (swallow generation prompt)."))
 
 register("render_role_upper", _template_sql(f"upper(role) || ': ' || content || {NL}"))(
-    _template_query(render.role_upper))
+    _template_query(render.role_upper, "PRJ17: upper-cased ROLE: content template."))
 
 register("render_vicuna", _template_sql(
     f"""CASE WHEN role = 'system' THEN content || ' '
          WHEN role = 'user' THEN 'USER:' || {NL} || content || ' '
          WHEN role = 'assistant' THEN ' ASISTANT:' || {NL} || content || ' ' END"""))(
-    _template_query(lambda c: render.vicuna(c, parity_misspelling=True)))
+    _template_query(lambda c: render.vicuna(c, parity_misspelling=True), "PRJ18: USER/ASISTANT template (parity spelling)."))
 
 register("render_header", _template_sql(
     f"""CASE WHEN idx = 0 THEN '<|begin_of_text|>' ELSE '' END || '<|start_header_id|>' || role
          || '<|end_header_id|>' || {NL} || {NL} || {S.strip('content')} || '<|eot_id|>'"""))(
-    _template_query(render.header_template))
+    _template_query(render.header_template, "PRJ21: header-marker template with stripped content and BOS."))
 
 register("render_one_line", f"WITH {SQL_NORM}, {SQL_CHATML_STRICT} SELECT conv_id, replace(text, {NL}, ' ') AS text FROM cm")(
-    _template_query(lambda c: render.one_line(render.chatml_strict(c))))
+    _template_query(lambda c: render.one_line(render.chatml_strict(c)), "PRJ22: rendered text flattened to one line."))
 
 
 @register("render_inst_checked", f"""WITH {SQL_NORM},
