@@ -9,9 +9,9 @@ the classic two-pass scheme instead:
 1. range-partition on ``(group, order)`` and sort inside partitions - Spark
    samples the key distribution, so one hot group is split over many tasks;
 2. tag each row with ``monotonically_increasing_id`` (partition id in the
-   high bits, position in the partition in the low bits) and checkpoint to
-   the shared checkpoint folder, which pins those ids if an executor is lost
-   and the stage re-runs;
+   high bits, position in the partition in the low bits) and write the tagged
+   keys as a table in the shared checkpoint folder, which pins those ids if
+   an executor is lost and a stage re-runs;
 3. aggregate a tiny ``(group, partition) -> count/sum`` table, turn it into
    per-partition offsets with a window over that small table, and join it
    back (broadcast only after its row count has been checked).
@@ -26,8 +26,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 # A (group x partition) offsets table larger than this is joined by shuffle.
 BROADCAST_MAX_ROWS = 2_000_000
@@ -37,23 +38,20 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def _tagged(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             partitions: int | None) -> DataFrame:
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
-    ranged = df.repartitionByRange(n, *_cols(keys)).sortWithinPartitions(*_cols(keys))
-    tagged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    return tagged.checkpoint(eager=True)
+    # The range partitioner samples its input in a separate pass; keep the
+    # (narrow) input so that pass and the shuffle do not both recompute it.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = src.repartitionByRange(n, *_cols(keys)).sortWithinPartitions(*_cols(keys))
+        tagged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+        return materialize(tagged, "row-index")
+    finally:
+        src.unpersist()
 
 
 def _attach(tagged: DataFrame, stats: DataFrame, group_cols: Sequence[str]) -> DataFrame:

@@ -155,29 +155,62 @@ def split_boundaries(n: int, weights: Sequence[float]) -> list[int]:
     return [idx[0]] + [b - diff for b in idx[1:]]
 
 
+def _boundary_keys(df: DataFrame, order_cols: Sequence[str], starts: Sequence[int]) -> list:
+    """Order keys at the given positions (at most ``len(starts)`` rows reach the driver)."""
+    wanted = sorted(set(int(s) for s in starts))
+    idx = with_row_index(df.select(*order_cols), order_cols, name="_i")
+    rows = idx.where(F.col("_i").isin(wanted)).select("_i", *order_cols).collect()
+    return [tuple(r[c] for c in order_cols) for r in sorted(rows, key=lambda r: r["_i"])]
+
+
+def _range_label(order_cols: Sequence[str], bounds: list) -> Column:
+    """0-based number of the last boundary key that is <= the row's key."""
+    if not bounds:
+        return F.lit(-1)
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)])
+    arr = F.array(*[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(b)]) for b in bounds])
+    return F.size(F.filter(arr, lambda b: b <= key)) - 1
+
+
 def contiguous_split(df: DataFrame, weights: Sequence[float], order_cols: Sequence[str],
                      names: Sequence[str] = ("train", "valid", "test")) -> DataFrame:
-    """MIX13: add ``split`` by position thresholds (one count, then a row index)."""
+    """MIX13: add ``split`` by position thresholds.
+
+    One count and one key-only row index locate the (at most three) boundary
+    keys; every row is then labelled by comparing its own key, so the wide
+    rows are never copied or joined.
+    """
     n = df.count()
     b = split_boundaries(n, weights)
-    idx = with_row_index(df, order_cols, name="_i")
-    expr = None
-    for k, name in enumerate(names):
-        cond = (F.col("_i") >= b[k]) & (F.col("_i") < b[k + 1])
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return idx.withColumn("split", expr).drop("_i")
+    nonempty = [(k, b[k]) for k in range(len(names)) if b[k] < b[k + 1]]
+    bounds = _boundary_keys(df, order_cols, [s for _, s in nonempty])
+    label = _range_label(order_cols, bounds)
+    expr = F.lit(None).cast("string")
+    for j, (k, _) in enumerate(nonempty):
+        expr = F.when(label == j, F.lit(names[k])).otherwise(expr)
+    return df.withColumn("split", expr)
 
 
 def shard_contiguous(df: DataFrame, world_size: int, order_cols: Sequence[str], name: str = "shard") -> DataFrame:
-    """MIX16: contiguous shard per data-parallel rank; the first ``n % world`` shards get one extra row."""
+    """MIX16: contiguous shard per data-parallel rank; the first ``n % world`` shards get one extra row.
+
+    Shards are key ranges: only the ``world_size`` boundary keys are located
+    (key-only row index), then each row is labelled by its key.
+    """
     n = df.count()
     div, mod = divmod(n, world_size)
-    idx = with_row_index(df, order_cols, name="_i")
-    i = F.col("_i")
-    big = (div + 1) * mod
-    shard = F.when(i < big, F.floor(i / F.lit(max(div + 1, 1)))).otherwise(
-        F.lit(mod) + F.floor((i - F.lit(big)) / F.lit(max(div, 1))))
-    return idx.withColumn(name, shard.cast("int")).drop("_i")
+    starts = [i * div + min(i, mod) for i in range(world_size)]
+    shard_of_start = {}
+    for i, s in enumerate(starts):
+        if s < n and (i == world_size - 1 or starts[i + 1] > s):
+            shard_of_start[s] = i
+    ordered = sorted(shard_of_start)
+    bounds = _boundary_keys(df, order_cols, ordered)
+    label = _range_label(order_cols, bounds)
+    shard = F.lit(None).cast("int")
+    for j, s in enumerate(ordered):
+        shard = F.when(label == j, F.lit(shard_of_start[s])).otherwise(shard)
+    return df.withColumn(name, shard.cast("int"))
 
 
 def repeat_epochs(df: DataFrame, epochs: int, key_cols: Sequence[str], seed: int = 42,

@@ -90,18 +90,26 @@ def stream_pack(docs: DataFrame, text_col: str, id_col: str, seq_len: int,
     offs = with_prefix_sum(narrow, "_n", ["_id"], ["_shard"], name="_start")
     totals = offs.groupBy("_shard").agg(F.floor(F.sum("_n") / F.lit(width)).alias("_chunks"))
     totals = F.broadcast(totals) if totals.count() <= BROADCAST_MAX_ROWS else totals
-    spans = (offs.join(totals, "_shard")
-             .withColumn("_c0", F.floor(F.col("_start") / width))
-             .withColumn("_c1", F.least(F.floor((F.col("_start") + F.col("_n") - 1) / width), F.col("_chunks") - 1))
-             .where(F.col("_c0") <= F.col("_c1"))
-             .withColumn("chunk", F.explode(F.sequence("_c0", "_c1")))
-             .withColumn("_lo", F.greatest(F.col("_start"), F.col("chunk") * width) - F.col("_start"))
-             .withColumn("_hi", F.least(F.col("_start") + F.col("_n"), (F.col("chunk") + 1) * width) - F.col("_start"))
-             .select("_shard", "_id", "_start", "chunk", "_lo", "_hi"))
+    # one row per document that reaches a full chunk: its first and last chunk
+    docinfo = (offs.join(totals, "_shard")
+               .withColumn("_c0", F.floor(F.col("_start") / width))
+               .withColumn("_c1", F.least(F.floor((F.col("_start") + F.col("_n") - 1) / width), F.col("_chunks") - 1))
+               .where(F.col("_c0") <= F.col("_c1"))
+               .select("_shard", "_id", "_start", "_n", "_c0", "_c1"))
     full = F.concat(F.array(F.lit(tokenizer.bos_id)), tokenizer.ids(F.col("_text")), F.array(F.lit(tokenizer.eos_id)))
-    pieces = (spans.join(base, ["_shard", "_id"])
-              .select("_shard", "chunk", "_id", "_start",
-                      F.slice(full, F.col("_lo").cast("int") + 1, (F.col("_hi") - F.col("_lo")).cast("int")).alias("_p")))
+    # tokenize each document once, cut the slice of every chunk it overlaps
+    # inside one projection, and explode only the slices (not the full array)
+    tokenized = (base.join(docinfo, ["_shard", "_id"])
+                 .select("_shard", "_id", "_start", "_c0", "_c1", full.alias("_full")))
+
+    def piece(c):
+        lo = F.greatest(F.col("_start"), c * width) - F.col("_start")
+        hi = F.least(F.col("_start") + F.size("_full"), (c + 1) * width) - F.col("_start")
+        return F.struct(c.alias("chunk"), F.slice("_full", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("_p"))
+
+    pieces = (tokenized.select("_shard", "_id", "_start",
+                               F.explode(F.transform(F.sequence("_c0", "_c1"), piece)).alias("_q"))
+              .select("_shard", "_id", "_start", F.col("_q.chunk").alias("chunk"), F.col("_q._p").alias("_p")))
     packed = (pieces.groupBy("_shard", "chunk")
               .agg(F.array_sort(F.collect_list(F.struct("_start", "_id", "_p"))).alias("_ps"))
               .select(F.col("_shard").alias("shard"), "chunk",

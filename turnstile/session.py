@@ -23,6 +23,7 @@ _LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -64,3 +65,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path under the shared checkpoint folder for materialised tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    One job writes the data (a reliable ``checkpoint()`` would compute the
+    plan twice and store Java-serialised rows); later reads prune columns.
+    Values computed in the write (ids, partition tags) are stored, so they
+    stay fixed however the files are split on read or if executors are lost.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
