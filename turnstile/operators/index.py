@@ -32,6 +32,8 @@ from ..session import materialize
 
 # A (group x partition) offsets table larger than this is joined by shuffle.
 BROADCAST_MAX_ROWS = 2_000_000
+# Key rows per range partition (keys are a few tens of bytes: ~100 MB per task).
+ROWS_PER_PARTITION = 4_000_000
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -41,12 +43,16 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
 def _tagged(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             partitions: int | None) -> DataFrame:
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
     # The range partitioner samples its input in a separate pass; keep the
     # (narrow) input so that pass and the shuffle do not both recompute it.
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        n = partitions
+        if n is None:
+            # size partitions from the data (the count also fills the cache)
+            rows = src.count()
+            n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PARTITION))
         ranged = src.repartitionByRange(n, *_cols(keys)).sortWithinPartitions(*_cols(keys))
         tagged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
         return materialize(tagged, "row-index")

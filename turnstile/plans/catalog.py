@@ -567,7 +567,30 @@ def raw_judge_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ji.withColumn("raw_response", raw).withColumn("model", F.lit("stub-judge"))
 
 
-@register("judge_verdicts")
+# Expected outcome of each raw form on the derived fixture (texts hold no XML
+# metacharacters): forms 0-3 parse to the collapsed explanation and the validated
+# verdict, form 4 falls back to "Failed to parse explanation"/same, form 5 and an
+# empty verdict element raise inside extraction and take the neutral default row.
+_NONE_STRIP = "'NoneType' object has no attribute 'strip'"
+_JUDGE_RAW_SQL = f"""{_PAIRS_SQL},
+jv AS (SELECT conv_id AS id, inst, chosen, {_VERDICT_SQL_POOL}[(conv_id % {len(VERDICT_SPELLINGS)}) + 1] AS v,
+              conv_id % 6 AS form FROM pairs),
+jc AS (SELECT *, {S.strip(S.ws_collapse('chosen'))} AS expl_c, {S.strip(S.ws_collapse('v'))} AS v_c,
+              form = 5 OR (form < 4 AND length(v) = 0) AS err FROM jv),
+jr AS (SELECT *, CASE WHEN err THEN NULL WHEN form = 4 THEN 'same'
+                      ELSE {S.case_map(S.strip('lower(v_c)'), judge.VALID_VERDICTS, "'same'")} END AS verdict
+       FROM jc)"""
+_SCORE_OF_VERDICT = S.case_map("verdict", {k: str(v) for k, v in judge.VERDICT_SCORES.items()}, "'0.0'")
+
+
+@register("judge_verdicts", f"""WITH {_JUDGE_RAW_SQL}
+SELECT id, 'stub-judge' AS model, verdict,
+       CASE WHEN err THEN CAST(0 AS DOUBLE) ELSE CAST({_SCORE_OF_VERDICT} AS DOUBLE) END AS score,
+       CASE WHEN err THEN 'Failed to process response' WHEN form = 4 THEN 'Failed to parse explanation'
+            ELSE expl_c END AS explanation,
+       CASE WHEN contains(inst, 'Japanese to English') THEN 'Japanese to English' ELSE 'English to Japanese' END AS tag,
+       CASE WHEN err THEN {sql_str(_NONE_STRIP)} END AS error
+FROM jr""")
 def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JDG2-5, JDG9-10: clean -> parse -> validate -> score, neutral default rows on error."""
     raw = raw_judge_responses(spark, sf_dir)
@@ -577,7 +600,7 @@ def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("result.tags")[0].alias("tag"), "error")
 
 
-@register("judge_resume")
+@register("judge_resume", f"""WITH {_JUDGE_RAW_SQL} SELECT id, inst AS prompt FROM jr WHERE err""")
 def judge_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JDG11: inputs still to judge = inputs without a successful result (key-based resume)."""
     raw = raw_judge_responses(spark, sf_dir)
