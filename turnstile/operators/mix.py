@@ -242,8 +242,19 @@ def last_wins(df: DataFrame, key_col: str, seq_col: str) -> DataFrame:
 
 
 def first_n(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
-    """MIX10/MIX11: the first ``n`` rows in key order (distributed top-k, no full sort)."""
-    return df.orderBy(*order_cols).limit(n)
+    """MIX10/MIX11: the first ``n`` rows in key order (``order_cols`` unique).
+
+    The top-k runs over the key columns only (per-partition top-k, then one
+    merge of ``n`` keys); the wide rows are filtered in place by the cutoff key,
+    so no task ever holds ``n`` whole rows.
+    """
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)])
+    last = (df.select(key.alias("_k")).orderBy("_k").limit(n)
+            .agg(F.max("_k").alias("_cut")).first()["_cut"])
+    if last is None:
+        return df.limit(0)
+    cut = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(last)])
+    return df.where(key <= cut)
 
 
 def cap_per_group(df: DataFrame, n: int, group_cols: Sequence[str], order_cols: Sequence[str],

@@ -54,10 +54,12 @@ def pairs_from_conversations(nested: DataFrame, id_col: str = "conv_id", conv: s
     equi-join on ``position + 1`` (no global window, no cross join).
     """
     q = nested.where(at(F.col(conv), -1)["role"] == "assistant")
-    idx = with_row_index(q, [id_col], name="_k")
     first_assistant = at(F.filter(F.col(conv), lambda t: t["role"] == "assistant"), 1)
-    nxt = idx.select((F.col("_k") - 1).alias("_k"), first_assistant.alias("rejected"))
-    return (idx.join(nxt, "_k")
+    # only the key and the one turn the neighbour needs are indexed (narrow)
+    keys = with_row_index(q.select(id_col, first_assistant.alias("_fa")), [id_col], name="_k")
+    link = (keys.alias("a").join(keys.select((F.col("_k") - 1).alias("_k"), F.col("_fa").alias("rejected")), "_k")
+            .select(id_col, "rejected"))
+    return (q.join(link, id_col)
             .select(id_col,
                     F.slice(F.col(conv), 1, F.size(F.col(conv)) - 1).alias("conversations"),
                     at(F.col(conv), -1).alias("chosen"),

@@ -187,18 +187,17 @@ def pad_batches(df: DataFrame, ids_col: str, order_cols: Sequence[str], batch_si
                 pad_id: int = 0) -> DataFrame:
     """TOK7: pad each contiguous batch to its longest member, with an attention mask.
 
-    Batches come from the distributed row index; the max is a window over a
-    batch (bounded by ``batch_size``).
+    Only ``(key, length)`` is indexed and windowed (a window over one batch is
+    bounded by ``batch_size``); the token rows are joined back once.
     """
-    idx = with_row_index(df, order_cols, name="_i").withColumn("batch", F.floor(F.col("_i") / batch_size))
-    w = Window.partitionBy("batch")
-    longest = F.max(F.size(ids_col)).over(w)
-    missing = longest - F.size(ids_col)
-    return (idx.withColumn("batch_len", longest)
-            .withColumn("input_ids", F.concat(F.col(ids_col), F.array_repeat(F.lit(pad_id), missing)))
+    lengths = df.select(*order_cols, F.size(ids_col).alias("_len"))
+    idx = with_row_index(lengths, order_cols, name="_i").withColumn("batch", F.floor(F.col("_i") / batch_size))
+    per_row = idx.select(*order_cols, "batch", F.max("_len").over(Window.partitionBy("batch")).alias("batch_len"))
+    out = df.join(per_row, list(order_cols))
+    missing = F.col("batch_len") - F.size(ids_col)
+    return (out.withColumn("input_ids", F.concat(F.col(ids_col), F.array_repeat(F.lit(pad_id), missing)))
             .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids_col)),
-                                                   F.array_repeat(F.lit(0), missing)))
-            .drop("_i"))
+                                                   F.array_repeat(F.lit(0), missing))))
 
 
 # --------------------------------------------------------------------------- TOK9-11 planning
