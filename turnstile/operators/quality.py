@@ -53,7 +53,7 @@ def scan_flags(df: DataFrame, roles_to_train: Sequence[str] = DEFAULT_ROLES_TO_T
     info = message_info(df)
     out = df.withColumn("_info", info)
     return (out.withColumn("is_chat", F.col("_info.is_chat"))
-            .withColumn("num_turns", F.col("_info.n_turns"))
+            .withColumn("num_turns", F.col("_info.n_turns").cast("long"))
             .withColumn("last_role", F.col("_info.last_role"))
             .withColumn("not_trainable", F.col("is_chat") & last_turn_not_trainable(
                 F.col("num_turns"), F.col("last_role"), roles_to_train))

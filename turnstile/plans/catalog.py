@@ -79,7 +79,7 @@ def sft_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nest -> normalise roles -> drop empty -> ChatML render (PRJ1-3, PRJ13, FLT1-2)."""
     conv = normalized(spark, sf_dir)
     return conv.select("conv_id", render.chatml_strict(F.col("conversations")).alias("text"),
-                       F.size("conversations").alias("n_turns"))
+                       F.size("conversations").cast("long").alias("n_turns"))
 
 
 @register("sharegpt_normalize", f"""WITH {SQL_NORM}, {SQL_CHATML_STRICT}
@@ -231,7 +231,7 @@ def train_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("clean_rebuild", f"""WITH {SQL_NORM}
-SELECT conv_id, count(*) AS n_turns, sum(length(content)) AS n_chars FROM norm GROUP BY conv_id""")
+SELECT conv_id, count(*) AS n_turns, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM norm GROUP BY conv_id""")
 def clean_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ4-6 + FLT3: keep requested fields, rebuild turns as role+content only, drop empty."""
     raw = conversations_nested(spark, sf_dir)
@@ -269,7 +269,7 @@ def _scan(spark: SparkSession, sf_dir: str):
 
 
 @register("trainability_summary", f"""WITH {_SCAN_SQL}
-SELECT dataset, count(*) AS total_rows, count_if(bad) AS bad_rows,
+SELECT dataset, count(*) AS total_rows, CAST(count_if(bad) AS BIGINT) AS bad_rows,
        CASE WHEN count(*) > 0 THEN round_even(CAST(100 AS DOUBLE) * count_if(bad) / count(*), 3) ELSE 0.0 END AS percent_bad
 FROM allrows GROUP BY dataset""")
 def trainability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,7 +538,8 @@ v AS (SELECT conv_id AS id, {_VERDICT_SQL_POOL}[(conv_id % {len(VERDICT_SPELLING
       FROM pairs),
 s AS (SELECT id, tag, {_VALID_SQL} AS vv FROM v),
 sc AS (SELECT id, tag, vv, CAST({_SCORE_SQL} AS DOUBLE) AS score FROM s)
-SELECT tag, count(*) AS n, count_if(score > 0) AS wins, count_if(score = 0) AS ties, count_if(score < 0) AS losses,
+SELECT tag, count(*) AS n, CAST(count_if(score > 0) AS BIGINT) AS wins, CAST(count_if(score = 0) AS BIGINT) AS ties,
+       CAST(count_if(score < 0) AS BIGINT) AS losses,
        sum(score) AS total_score FROM sc GROUP BY tag""")
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JDG6 + JDG7 + JDG17: verdict validation, scoring and win/tie/loss summary by tag."""
@@ -635,7 +636,7 @@ def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JA = japanese_or_acceptable_class()
 
 
-@register("japanese_share", f"""SELECT source, sum(length(text)) AS total_chars, sum({S.class_count('text', _JA)}) AS counted_chars,
+@register("japanese_share", f"""SELECT source, CAST(sum(length(text)) AS BIGINT) AS total_chars, CAST(sum({S.class_count('text', _JA)}) AS BIGINT) AS counted_chars,
   CAST(100 AS DOUBLE) - CASE WHEN sum(length(text)) > 0 THEN
      CAST(sum(length(text)) - sum({S.class_count('text', _JA)}) AS DOUBLE) / CAST(sum(length(text)) AS DOUBLE) * CAST(100 AS DOUBLE)
      ELSE CAST(0 AS DOUBLE) END AS japanese_pct
@@ -646,7 +647,7 @@ def japanese_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("chars_per_token", f"""WITH d AS (SELECT text FROM documents ORDER BY doc_id LIMIT 50000)
-SELECT sum(length(text)) AS n_chars, sum({_tok_count('text')}) AS n_tokens,
+SELECT CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum({_tok_count('text')}) AS BIGINT) AS n_tokens,
        coalesce(CAST(sum(length(text)) AS DOUBLE) / nullif(CAST(sum({_tok_count('text')}) AS DOUBLE), 0), 0.0) AS chars_per_token
 FROM d""")
 def chars_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -658,7 +659,7 @@ def chars_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("rendered_chars_per_token", f"""WITH r AS (
   SELECT conv_id, string_agg('<|im_start|>' || {_SG_NAME} || {NL} || text || '<|im_end|>' || {NL}, '' ORDER BY turn) AS text
   FROM conversations GROUP BY conv_id)
-SELECT sum(length(text)) AS n_chars, sum({_tok_count('text')}) AS n_tokens,
+SELECT CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum({_tok_count('text')}) AS BIGINT) AS n_tokens,
        coalesce(CAST(sum(length(text)) AS DOUBLE) / nullif(CAST(sum({_tok_count('text')}) AS DOUBLE), 0), 0.0) AS chars_per_token
 FROM r""")
 def rendered_chars_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -677,8 +678,8 @@ def _tok_table_sql() -> str:
     }
     parts = []
     for name, expr in counts.items():
-        parts.append(f"""SELECT {sql_str(name)} AS tokenizer, {COUNTERS[name][1]} AS vocab_size, sum(length(text)) AS n_chars,
-  sum({expr}) AS n_tokens,
+        parts.append(f"""SELECT {sql_str(name)} AS tokenizer, {COUNTERS[name][1]} AS vocab_size,
+  CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum({expr}) AS BIGINT) AS n_tokens,
   coalesce(CAST(sum(length(text)) AS DOUBLE) / nullif(CAST(sum({expr}) AS DOUBLE), 0), 0.0) AS chars_per_token FROM documents""")
     return "\nUNION ALL\n".join(parts)
 
@@ -710,10 +711,10 @@ def token_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("token_totals", f"""WITH {_STORE_SQL}
-SELECT count_if(status = 'success') AS processed, count_if(status <> 'success') AS skipped,
-       sum(n_tokens) AS total_tokens, count_if(status = 'success') AS sequences,
+SELECT CAST(count_if(status = 'success') AS BIGINT) AS processed, CAST(count_if(status <> 'success') AS BIGINT) AS skipped,
+       CAST(sum(n_tokens) AS BIGINT) AS total_tokens, CAST(count_if(status = 'success') AS BIGINT) AS sequences,
        CAST(sum(n_tokens) AS DOUBLE) / nullif(CAST(count_if(status = 'success') AS DOUBLE), 0) AS avg_tokens_per_sample,
-       sum(n_tokens) * 4 AS bytes
+       CAST(sum(n_tokens) * 4 AS BIGINT) AS bytes
 FROM store""")
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOK2 + TOK3 + TOK12: totals and token-store statistics (4-byte ids for a 65 536 vocab)."""
@@ -776,7 +777,7 @@ _CFG_VALUES = ", ".join(f"({e}, {b}, {sql_str(n)})" for e, b, n in tokens.CONFIG
 @register("step_plan", f"""WITH {SQL_NORM}, c(epochs, batch_size, name) AS (VALUES {_CFG_VALUES}),
 n AS (SELECT count(DISTINCT conv_id) AS n_samples FROM norm),
 x AS (SELECT n_samples, epochs, batch_size, name, (n_samples * epochs) // batch_size AS steps FROM n, c)
-SELECT n_samples, epochs, batch_size, name, steps,
+SELECT n_samples, CAST(epochs AS BIGINT) AS epochs, CAST(batch_size AS BIGINT) AS batch_size, name, steps,
   CASE WHEN steps > 0 THEN greatest(steps // epochs, 1) ELSE 1 END AS save_interval,
   CASE WHEN steps = 0 THEN 'no training' WHEN steps < 10 THEN 'very short' WHEN steps < 100 THEN 'short' ELSE 'good' END AS status,
   CAST(ceil(CAST(n_samples * epochs AS DOUBLE) / batch_size) AS BIGINT) AS steps_ceil,
@@ -836,7 +837,7 @@ v AS (SELECT *, CASE WHEN pos > 0 THEN pos
 SELECT conv_id, turn, CAST(CASE WHEN leak_tok IS NOT NULL AND coalesce(length(corr), 0) > 0 THEN position END AS INTEGER) AS position,
        CASE WHEN leak_tok IS NULL OR coalesce(length(corr), 0) = 0 THEN 'missing_metadata'
             WHEN coalesce(position, 0) <= 0 THEN 'no_position' END AS skip_reason,
-       CASE WHEN leak_tok IS NULL THEN 0 ELSE 1 END AS n_bad, len(x) AS n_input_ids
+       CAST(CASE WHEN leak_tok IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_bad, len(x) AS n_input_ids
 FROM v"""
 
 
