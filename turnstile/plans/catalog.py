@@ -609,6 +609,13 @@ def judge_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.pending_inputs(judge_inputs(spark, sf_dir), done, "id").select("id", "prompt")
 
 
+def _user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = load_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return (nest_turns(flat).select(F.col("conv_id").alias("question_id"),
+                                    F.transform("conversations", lambda t: t["content"]).alias("turns"))
+            .withColumn("category", F.lit(None).cast("string")))
+
+
 _LASTLINE = "regexp_extract(text, '[^\\n]*$')"
 
 
@@ -619,10 +626,7 @@ SELECT conv_id AS question_id, 'echo' AS model_id, count(*) AS n_turns, string_a
 FROM u WHERE k <= 2 GROUP BY conv_id""")
 def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JDG13 + JDG15 + JDG16: multi-turn answer rows from user questions via a batch backend."""
-    flat = load_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    qs = (nest_turns(flat).select(F.col("conv_id").alias("question_id"),
-                                  F.transform("conversations", lambda t: t["content"]).alias("turns"))
-          .withColumn("category", F.lit(None).cast("string")))
+    qs = _user_questions(spark, sf_dir)
     ans = judge.answer_rows(qs, judge.EchoBackend, "echo", num_choices=1, max_turns=2)
     temps = qs.select("question_id", judge.category_temperature(F.col("category")).alias("temperature"))
     first = at("choices", 1)["turns"]
@@ -631,6 +635,28 @@ def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(first, "|").alias("answers"), "temperature"))
 
 
+@register("answer_script_share", f"""WITH u AS (
+  SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'),
+p AS (SELECT conv_id, max(text) FILTER (WHERE k = 1) AS u1, max(text) FILTER (WHERE k = 2) AS u2 FROM u GROUP BY conv_id),
+la AS (SELECT conv_id, u1, u2, CAST(length(u1) AS VARCHAR) AS a1 FROM p),
+ans AS (
+  SELECT 'echo' AS model_id, {_LASTLINE} AS a FROM u WHERE k <= 2
+  UNION ALL SELECT 'length', a1 FROM la
+  UNION ALL SELECT 'length', CAST(length(u1) + 1 + length(a1) + 1 + length(u2) AS VARCHAR) FROM la WHERE u2 IS NOT NULL)
+SELECT model_id, CAST(sum(length(a)) AS BIGINT) AS total_chars, CAST(sum({S.class_count('a', japanese_or_acceptable_class())}) AS BIGINT) AS counted_chars,
+  CAST(100 AS DOUBLE) - CASE WHEN sum(length(a)) > 0 THEN
+     CAST(sum(length(a)) - sum({S.class_count('a', japanese_or_acceptable_class())}) AS DOUBLE) / CAST(sum(length(a)) AS DOUBLE) * CAST(100 AS DOUBLE)
+     ELSE CAST(0 AS DOUBLE) END AS japanese_pct
+FROM ans GROUP BY model_id""")
+def answer_script_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG1 as used on answer files: script share over every ``choices[].turns[]`` per model file
+    (answers generated by two stub backends, JDG15/16)."""
+    qs = _user_questions(spark, sf_dir)
+    answers = judge.answer_rows(qs, judge.EchoBackend, "echo").unionByName(
+        judge.answer_rows(qs, judge.LengthBackend, "length"))
+    return metrics.japanese_share(metrics.answer_texts(answers), "turn_text", ["model_id"])
+
+
 # =========================================================================== AGG
 
 _JA = japanese_or_acceptable_class()
