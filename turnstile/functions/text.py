@@ -23,10 +23,20 @@ WS_CHARS_BODY = WS_CLASS[1:-1]
 STRIP_PATTERN = rf"\A{WS_CLASS}+|{WS_CLASS}+\z"
 
 
+# Every code point for which ``str.isspace()`` holds (derived from the running
+# interpreter, 29 characters); the same set as ``WS_CLASS``.
+PY_WHITESPACE = "".join(chr(cp) for cp in range(sys.maxunicode + 1) if chr(cp).isspace())
+
+
 def ustrip(col: Column | str) -> Column:
-    """Python ``str.strip()`` on a string column (null stays null)."""
+    """Python ``str.strip()`` on a string column (null stays null).
+
+    ``TRIM(BOTH <set> FROM s)`` removes any character of the set from both
+    ends, which is exactly ``strip()`` for Python's whitespace set, and runs
+    several times faster than an anchored regex.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    return F.trim(c, F.lit(PY_WHITESPACE))
 
 
 def ws_collapse(col: Column) -> Column:
