@@ -62,7 +62,8 @@ def _tagged(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
 
 def _attach(tagged: DataFrame, stats: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     keys = [*group_cols, "_pid"]
-    small = stats.count() <= BROADCAST_MAX_ROWS
+    # ungrouped: one row per partition, bounded by construction; grouped: count it
+    small = (not group_cols) or stats.count() <= BROADCAST_MAX_ROWS
     right = F.broadcast(stats) if small else stats
     renamed = right.select(*[F.col(k).alias(f"_r{k}") for k in keys],
                            *[c for c in stats.columns if c not in keys])

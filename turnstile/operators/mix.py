@@ -105,12 +105,15 @@ def slice_rows(df: DataFrame, spec: SliceSpec | str | None, order_cols: Sequence
     n = F.col("_n")
     bounds = counts.select(*group_cols, _bound_col(F.col("_a"), F.col("_pct"), n, F.lit(0)).alias("_lo"),
                            _bound_col(F.col("_b"), F.col("_pct"), n, n).alias("_hi"))
-    bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_MAX_ROWS else bounds
+    # one row per group: bounded on the driver for a recipe or a single group, else counted
+    known = len(per_group) if per_group is not None else (1 if constant_group else None)
+    small = (known if known is not None else bounds.count()) <= BROADCAST_MAX_ROWS
+    bounds = F.broadcast(bounds) if small else bounds
     kept = (idx.join(bounds, list(group_cols), "inner")
             .where((F.col("_i") >= F.col("_lo")) & (F.col("_i") < F.col("_hi"))))
     order = F.struct(*[F.col(c) for c in order_cols])
     cut = kept.groupBy(*group_cols).agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
-    cut = F.broadcast(cut) if cut.count() <= BROADCAST_MAX_ROWS else cut
+    cut = F.broadcast(cut) if small else cut
     out = (df.withColumn("_ord", order).join(cut, list(group_cols), "inner")
            .where((F.col("_ord") >= F.col("_first")) & (F.col("_ord") <= F.col("_last")))
            .drop("_ord", "_first", "_last"))

@@ -60,34 +60,47 @@ def scan_flags(df: DataFrame, roles_to_train: Sequence[str] = DEFAULT_ROLES_TO_T
             .drop("_info"))
 
 
-def scan_datasets(datasets: Mapping[str, DataFrame], order_cols: Mapping[str, Sequence[str]],
-                  roles_to_train: Sequence[str] = DEFAULT_ROLES_TO_TRAIN) -> tuple[DataFrame, DataFrame]:
-    """AGG5 + AGG6: ``(summary, problems)`` over named datasets.
-
-    ``summary``: dataset, total_rows, bad_rows, percent_bad
-    (``round(100*bad/total, 3)`` half-even, 0.0 when empty), sorted by
-    percent_bad descending.  ``problems``: dataset, row_id (0-based position
-    in ``order_cols`` order), last_role, num_turns for flagged rows.
-    """
+def _flagged_union(datasets: Mapping[str, DataFrame], order_cols: Mapping[str, Sequence[str]],
+                   roles_to_train: Sequence[str]) -> DataFrame:
     flagged = []
     for name, df in datasets.items():
         f = scan_flags(df, roles_to_train)
-        flagged.append(f.select(F.lit(name).alias("dataset"), *[F.col(c) for c in order_cols[name]],
-                                "num_turns", "last_role", "not_trainable")
-                       .withColumn("_order", F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols[name])]))
-                       .select("dataset", "_order", "num_turns", "last_role", "not_trainable"))
+        order = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols[name])])
+        flagged.append(f.select(F.lit(name).alias("dataset"), order.alias("_order"),
+                                "num_turns", "last_role", "not_trainable"))
     allrows = flagged[0]
     for f in flagged[1:]:
         allrows = allrows.unionByName(f)
-    summary = (allrows.groupBy("dataset")
-               .agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("not_trainable").alias("bad_rows"))
-               .withColumn("percent_bad", F.when(F.col("total_rows") > 0,
-                                                 F.bround(F.lit(100.0) * F.col("bad_rows") / F.col("total_rows"), 3))
-                           .otherwise(F.lit(0.0)))
-               .orderBy(F.desc("percent_bad"), "dataset"))
+    return allrows
+
+
+def scan_summary(datasets: Mapping[str, DataFrame], order_cols: Mapping[str, Sequence[str]],
+                 roles_to_train: Sequence[str] = DEFAULT_ROLES_TO_TRAIN) -> DataFrame:
+    """AGG5: dataset, total_rows, bad_rows, percent_bad (``round(100*bad/total, 3)``
+    half-even, 0.0 when empty), sorted by percent_bad descending (MIX18)."""
+    allrows = _flagged_union(datasets, order_cols, roles_to_train)
+    return (allrows.groupBy("dataset")
+            .agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("not_trainable").alias("bad_rows"))
+            .withColumn("percent_bad", F.when(F.col("total_rows") > 0,
+                                              F.bround(F.lit(100.0) * F.col("bad_rows") / F.col("total_rows"), 3))
+                        .otherwise(F.lit(0.0)))
+            .orderBy(F.desc("percent_bad"), "dataset"))
+
+
+def scan_problems(datasets: Mapping[str, DataFrame], order_cols: Mapping[str, Sequence[str]],
+                  roles_to_train: Sequence[str] = DEFAULT_ROLES_TO_TRAIN) -> DataFrame:
+    """AGG6: dataset, row_id (0-based position in ``order_cols`` order), last_role,
+    num_turns of every flagged row; positions come from the distributed row index."""
+    allrows = _flagged_union(datasets, order_cols, roles_to_train)
     indexed = with_row_index(allrows, ["_order"], ["dataset"], name="row_id")
-    problems = indexed.where("not_trainable").select("dataset", "row_id", "last_role", "num_turns")
-    return summary, problems
+    return indexed.where("not_trainable").select("dataset", "row_id", "last_role", "num_turns")
+
+
+def scan_datasets(datasets: Mapping[str, DataFrame], order_cols: Mapping[str, Sequence[str]],
+                  roles_to_train: Sequence[str] = DEFAULT_ROLES_TO_TRAIN) -> tuple[DataFrame, DataFrame]:
+    """AGG5 + AGG6: ``(summary, problems)`` over named datasets."""
+    return (scan_summary(datasets, order_cols, roles_to_train),
+            scan_problems(datasets, order_cols, roles_to_train))
 
 
 def flat_scan(flat: DataFrame, id_col: str = "conv_id", order_col: str = "turn", role_col: str = "role",

@@ -257,7 +257,7 @@ allrows AS (
 )"""
 
 
-def _scan(spark: SparkSession, sf_dir: str):
+def _scan_inputs(spark: SparkSession, sf_dir: str):
     raw = conversations_nested(spark, sf_dir)
     datasets = {
         "messages": raw.withColumnRenamed("conversations", "messages"),
@@ -265,7 +265,7 @@ def _scan(spark: SparkSession, sf_dir: str):
         "documents": load_table(spark, sf_dir, "documents"),
     }
     order = {"messages": ["conv_id"], "sharegpt": ["conv_id"], "documents": ["doc_id"]}
-    return quality.scan_datasets(datasets, order)
+    return datasets, order
 
 
 @register("trainability_summary", f"""WITH {_SCAN_SQL}
@@ -274,7 +274,7 @@ SELECT dataset, count(*) AS total_rows, CAST(count_if(bad) AS BIGINT) AS bad_row
 FROM allrows GROUP BY dataset""")
 def trainability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT4-5 + AGG5: per-dataset totals of examples whose last turn is not trainable."""
-    return _scan(spark, sf_dir)[0]
+    return quality.scan_summary(*_scan_inputs(spark, sf_dir))
 
 
 @register("trainability_problems", f"""WITH {_SCAN_SQL}
@@ -282,7 +282,7 @@ SELECT dataset, row_id, last_role, num_turns FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY k) - 1 AS row_id FROM allrows) WHERE bad""")
 def trainability_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG6: problem rows with their 0-based row id (distributed row index)."""
-    return _scan(spark, sf_dir)[1]
+    return quality.scan_problems(*_scan_inputs(spark, sf_dir))
 
 
 @register("last_turn_scan", """
