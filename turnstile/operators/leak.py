@@ -16,6 +16,7 @@ from ..functions.arrays import at
 
 from ..functions.text import ustrip
 from ..functions.tokenize import RegexTokenizer
+from .index import BROADCAST_MAX_ROWS
 
 # Wide hash vocabulary so distinct pieces practically never share an id.
 LEAK_TOKENIZER = RegexTokenizer(name="regex-word-wide", vocab_size=2_147_483_000)
@@ -52,8 +53,13 @@ def leak_records(df: DataFrame, tokenizer: RegexTokenizer = LEAK_TOKENIZER, chos
                  rejected_col: str = "rejected", leak_col: str = "leak_tokens",
                  corrected_col: str = "corrected_token", meta_col: str | None = "meta",
                  meta_leak_key: str | None = None, meta_corrected_key: str | None = None,
-                 max_length: int = 2048) -> DataFrame:
-    """LEAK1-7 + FLT9: one row per input with ``skip_reason`` (null = usable record)."""
+                 max_length: int = 2048, key_col: str | None = None) -> DataFrame:
+    """LEAK1-7 + FLT9: one row per input with ``skip_reason`` (null = usable record).
+
+    With the built-in tokenizer every step is a Column.  With a plug-in
+    (Python) tokenizer the candidate ids are encoded once per *distinct*
+    leak/correction string and joined back by ``key_col``.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     leak = _as_list(F.col(leak_col), types[leak_col]) if leak_col in types else F.lit(None)
     corrected = _as_scalar(F.col(corrected_col), types[corrected_col]) if corrected_col in types else F.lit(None)
@@ -67,18 +73,28 @@ def leak_records(df: DataFrame, tokenizer: RegexTokenizer = LEAK_TOKENIZER, chos
             _json_as_scalar(_meta_value(meta, meta_corrected_key or corrected_col)))
     leak = F.coalesce(leak, F.array().cast(T.ArrayType(T.StringType())))
     tok = tokenizer
-
-    def candidate_id(s: Column) -> Column:
-        return F.coalesce(tok.single_id_or_null(s), tok.single_id_or_null(F.concat(F.lit(" "), s)),
-                          tok.single_id_or_null(ustrip(s)), tok.first_id_or_null(s))
-
-    staged = (df.withColumn("_leak", leak).withColumn("_corr", corrected)
-              .withColumn("input_ids", F.slice(tok.ids(F.col(chosen_col)), 1, max_length))
-              .withColumn("bad_token_ids", F.filter(F.transform("_leak", candidate_id), lambda x: x.isNotNull()))
-              .withColumn("good_token_id", F.when(F.col("_corr").isNotNull(), candidate_id(F.col("_corr")))))
+    staged = df.withColumn("_leak", leak).withColumn("_corr", corrected)
+    if isinstance(tok, RegexTokenizer):
+        def candidate_id(s: Column) -> Column:
+            return F.coalesce(tok.single_id_or_null(s), tok.single_id_or_null(F.concat(F.lit(" "), s)),
+                              tok.single_id_or_null(ustrip(s)), tok.first_id_or_null(s))
+
+        staged = (staged.withColumn("input_ids", F.slice(tok.ids(F.col(chosen_col)), 1, max_length))
+                  .withColumn("bad_token_ids", F.filter(F.transform("_leak", candidate_id), lambda x: x.isNotNull()))
+                  .withColumn("good_token_id", F.when(F.col("_corr").isNotNull(), candidate_id(F.col("_corr")))))
+        rej_ids = F.slice(tok.ids(F.col(rejected_col)), 1, max_length) if rejected_col in types else None
+    else:
+        if key_col is None:
+            raise ValueError("a plug-in tokenizer needs key_col to join candidate ids back")
+        staged = _plugin_candidates(staged, tok, key_col)
+        staged = staged.withColumn("input_ids", F.slice(tok.ids(F.col(chosen_col)), 1, max_length))
+        if rejected_col in types:
+            staged = staged.withColumn("_rej_ids", F.slice(tok.ids(F.col(rejected_col)), 1, max_length))
+            rej_ids = F.col("_rej_ids")
+        else:
+            rej_ids = None
     pos = F.array_position("input_ids", F.col("good_token_id")) - 1
     direct = F.when(pos > 0, pos)
-    rej_ids = F.slice(tok.ids(F.col(rejected_col)), 1, max_length) if rejected_col in types else None
     if rej_ids is not None:
         shorter = F.least(F.size("input_ids"), F.size(rej_ids))
         diffs = F.filter(F.sequence(F.lit(0), shorter - 1),
@@ -97,6 +113,33 @@ def leak_records(df: DataFrame, tokenizer: RegexTokenizer = LEAK_TOKENIZER, chos
             .withColumnRenamed("_corr", "corrected_token_resolved"))
 
 
+def _plugin_candidates(staged: DataFrame, tok, key_col: str) -> DataFrame:
+    """LEAK3/LEAK4 for a plug-in tokenizer: encode each distinct candidate string once
+    (plain, space-prefixed, stripped; first single-token encoding wins, else the
+    first id of the plain encoding) and join the ids back per row."""
+    strings = (staged.select(F.explode("_leak").alias("s"))
+               .unionByName(staged.select(F.col("_corr").alias("s")))
+               .where(F.col("s").isNotNull()).distinct())
+    plain = tok.ids(F.col("s"))
+    spaced = tok.ids(F.concat(F.lit(" "), F.col("s")))
+    stripped = tok.ids(ustrip(F.col("s")))
+
+    def single(a: Column) -> Column:
+        return F.when(F.size(a) == 1, at(a, 1))
+
+    cand = strings.select("s", F.coalesce(single(plain), single(spaced), single(stripped),
+                                          F.when(F.size(plain) >= 1, at(plain, 1))).alias("cid"))
+    cand = F.broadcast(cand) if cand.count() <= BROADCAST_MAX_ROWS else cand
+    bad = (staged.select(key_col, F.posexplode("_leak").alias("_pos", "s")).join(cand, "s", "left")
+           .groupBy(key_col)
+           .agg(F.array_sort(F.collect_list(F.struct("_pos", "cid"))).alias("_b"))
+           .select(key_col, F.filter(F.transform("_b", lambda x: x["cid"]), lambda x: x.isNotNull()).alias("bad_token_ids")))
+    good = (staged.select(key_col, F.col("_corr").alias("s")).join(cand, "s", "left")
+            .select(key_col, F.col("cid").alias("good_token_id")))
+    return (staged.join(bad, key_col, "left").join(good, key_col, "left")
+            .withColumn("bad_token_ids", F.coalesce("bad_token_ids", F.array().cast(T.ArrayType(T.IntegerType())))))
+
+
 def leak_summary(records: DataFrame) -> DataFrame:
     """LEAK7: created / skipped / multi-leak counts."""
     return records.agg(F.count_if(F.col("skip_reason").isNull()).alias("created"),
