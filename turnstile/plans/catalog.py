@@ -825,9 +825,17 @@ def step_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("artifact_check")
 def artifact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOK14: required-artifact completeness of the table directory."""
+    """TOK14: required-artifact completeness of the table directory, with the row
+    count of every table that is present (Parquet footers, no data pages)."""
+    from functools import reduce
+
     from ..sources.tables import TABLES
-    return tokens.completeness(spark, sf_dir, [f"{t}.parquet" for t in TABLES] + ["vocab.json"])
+    report = tokens.completeness(spark, sf_dir, [f"{t}.parquet" for t in TABLES] + ["vocab.json"])
+    counts = reduce(lambda a, b: a.unionByName(b),
+                    [load_table(spark, sf_dir, t).groupBy().count().select(F.lit(f"{t}.parquet").alias("name"),
+                                                                           F.col("count").alias("rows"))
+                     for t in TABLES])
+    return report.join(F.broadcast(counts), "name", "left")
 
 
 # =========================================================================== LEAK
