@@ -1,7 +1,5 @@
 import tempfile
 
-from pyspark.sql import functions as F
-
 from turnstile.functions.tokenize import hf_tokenizer_from_file
 from turnstile.operators import judge, leak, tokens
 from turnstile.sources import readers

@@ -5,7 +5,6 @@ import math
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from turnstile.functions.tokenize import DEFAULT_TOKENIZER
 from turnstile.operators import mix, tokens

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import at
-
 from ..functions.text import ustrip
 from ..functions.tokenize import RegexTokenizer
 from .index import BROADCAST_MAX_ROWS

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import at
-
 from .index import with_row_index
 from .turns import MESSAGE_COLUMN_CANDIDATES, infer_message_column
 

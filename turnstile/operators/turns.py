@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import at
 
-
 class SourceError(ValueError):
     """A source cannot be used (missing message column, no requested fields...)."""
 

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at
-
 from ..functions.text import japanese_or_acceptable_class, sql_str
 from ..functions.tokenize import COUNTERS, DEFAULT_TOKENIZER, TOKEN_PATTERN, WHITESPACE_TOKEN_PATTERN
 from ..operators import judge, leak, metrics, mix, prefs, quality, render, tokens, turns
