@@ -48,10 +48,20 @@ def chatml_strict(conv: Column) -> Column:
     return F.when(F.size(parts) > 0, F.concat(F.array_join(parts, "\n"), F.lit("\n"))).otherwise(F.lit(""))
 
 
+def chatml_piece(role: Column, content: Column) -> Column:
+    """One PRJ14 turn: ``<|im_start|>role\\ncontent<|im_end|>\\n``.
+
+    Every piece ends in a newline, so a rendered conversation is the plain
+    concatenation of its pieces and additive metrics (characters, regex
+    tokens) can be summed per turn without assembling the conversation.
+    """
+    return F.concat(F.lit(IM_START), _content_text(role), F.lit("\n"), _content_text(content),
+                    F.lit(IM_END + "\n"))
+
+
 def chatml(conv: Column, add_generation_prompt: bool = False) -> Column:
     """PRJ14: ``<|im_start|>role\\ncontent<|im_end|>\\n`` per turn, no stripping."""
-    body = _join(conv, lambda t: F.concat(F.lit(IM_START), _content_text(t["role"]), F.lit("\n"),
-                                          _content_text(t["content"]), F.lit(IM_END + "\n")))
+    body = _join(conv, lambda t: chatml_piece(t["role"], t["content"]))
     return F.concat(body, F.lit(IM_START + "assistant\n")) if add_generation_prompt else body
 
 

@@ -688,10 +688,16 @@ SELECT CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum({_tok_count('text'
        coalesce(CAST(sum(length(text)) AS DOUBLE) / nullif(CAST(sum({_tok_count('text')}) AS DOUBLE), 0), 0.0) AS chars_per_token
 FROM r""")
 def rendered_chars_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG3: render ShareGPT turns verbatim (PRJ10 + PRJ14) and measure chars per token."""
-    sg = conversations_sharegpt(spark, sf_dir)
-    rendered = sg.select(render.chatml(turns.sharegpt_verbatim(F.col("conversations"))).alias("text"))
-    return metrics.chars_per_token(rendered, "text")
+    """AGG3: ShareGPT turns rendered verbatim (PRJ10 + PRJ14), chars per token.
+
+    Both counts are additive over ChatML pieces, so they are summed per turn on
+    the flat table (partial aggregation; no conversation is assembled).
+    """
+    from ..sources.tables import SHAREGPT_ROLE_NAMES
+    m = turns.literal_map(SHAREGPT_ROLE_NAMES)
+    flat = load_table(spark, sf_dir, "conversations")
+    pieces = flat.select(render.chatml_piece(F.coalesce(m[F.col("role")], F.col("role")), F.col("text")).alias("text"))
+    return metrics.chars_per_token(pieces, "text")
 
 
 def _tok_table_sql() -> str:
