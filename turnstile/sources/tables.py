@@ -45,8 +45,13 @@ SHAREGPT_ROLE_NAMES = {"user": "human", "assistant": "gpt", "system": "system"}
 
 
 def conversations_sharegpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_sharegpt`` layout: turns ``{from, value}`` with human/gpt role names."""
-    flat = load_table(spark, sf_dir, "conversations")
+    """``conv_sharegpt`` layout: turns ``{from, value}`` with human/gpt role names.
+
+    Derived from the same nested DataFrame as ``conversations_nested`` (a
+    ``transform`` over the turns), so plans using both layouts share one
+    exchange.
+    """
     m = F.create_map(*[F.lit(x) for kv in SHAREGPT_ROLE_NAMES.items() for x in kv])
-    flat = flat.withColumn("role", F.coalesce(m[F.col("role")], F.col("role")))
-    return nest_turns(flat, role_field="from", content_field="value")
+    nested = conversations_nested(spark, sf_dir)
+    return nested.select("conv_id", F.transform("conversations", lambda t: F.struct(
+        F.coalesce(m[t["role"]], t["role"]).alias("from"), t["content"].alias("value"))).alias("conversations"))
