@@ -57,3 +57,17 @@ def test_batch_suggestions(spark):
     out = tokens.batch_suggestions(spark.createDataFrame([(1000,)], "n_samples long")).collect()
     assert [(r["batch_size"], r["steps"]) for r in out][:3] == [(1, 3000), (8, 375), (16, 187)]
     assert out[0]["tier"] == "moderate"
+
+
+def test_outputs_follow_declared_schemas(spark):
+    from turnstile import schemas
+    raw = spark.createDataFrame([(1, "p", "a", "b", "<result><explanation>e</explanation><verdict>same</verdict></result>")],
+                                "id bigint, prompt string, response_a string, response_b string, raw_response string")
+    res = judge.judge_rows(raw)
+    assert res.schema["result"].dataType.simpleString() == schemas.JUDGE_RESULT.simpleString()
+    store = tokens.token_build(spark.createDataFrame([(1, "a b")], "id long, text string"), "text", "id")
+    assert store.schema.simpleString() == schemas.TOKEN_STORE.simpleString()
+    from turnstile.operators import turns
+    conv = turns.load_conversation(spark.createDataFrame([(1, [("user", "x")])],
+                                                         "id long, conversations array<struct<role:string,content:string>>"))
+    assert conv.schema.simpleString() == schemas.CONVERSATION_TABLE.simpleString()
