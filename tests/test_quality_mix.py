@@ -101,3 +101,10 @@ def test_cap_per_group(spark):
     got = sorted((r["g"], r["k"]) for r in mix.cap_per_group(df, 3, ["g"], ["k"]).collect())
     assert got == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)]
     assert mix.cap_per_group(df, -1, ["g"], ["k"], include=["b"]).count() == 2
+
+
+def test_python_round_parity(spark):
+    vals = [0.0025, 2.675, 1.5625, 0.0005, 40.0, 33.33333333333333]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(quality.python_round(F.col("x"), 3)).collect()]
+    assert got == [round(v, 3) for v in vals]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,20 @@ def _flagged_union(datasets: Mapping[str, DataFrame], order_cols: Mapping[str, S
     return allrows
 
 
+def python_round(x: Column, digits: int) -> Column:
+    """Python's ``round(x, digits)`` on doubles (half-even on the exact binary value).
+
+    Spark's ``bround`` rounds the shortest decimal form of the double, which
+    differs on values such as 0.0025.  Used on summary tables (one row per
+    dataset), where an Arrow UDF costs nothing.
+    """
+    @F.pandas_udf(T.DoubleType())
+    def _round(v: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else round(float(a), digits) for a in v], dtype="float64")
+
+    return _round(x)
+
+
 def scan_summary(datasets: Mapping[str, DataFrame], order_cols: Mapping[str, Sequence[str]],
                  roles_to_train: Sequence[str] = DEFAULT_ROLES_TO_TRAIN) -> DataFrame:
     """AGG5: dataset, total_rows, bad_rows, percent_bad (``round(100*bad/total, 3)``
@@ -81,7 +96,7 @@ def scan_summary(datasets: Mapping[str, DataFrame], order_cols: Mapping[str, Seq
     return (allrows.groupBy("dataset")
             .agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("not_trainable").alias("bad_rows"))
             .withColumn("percent_bad", F.when(F.col("total_rows") > 0,
-                                              F.bround(F.lit(100.0) * F.col("bad_rows") / F.col("total_rows"), 3))
+                                              python_round(F.lit(100.0) * F.col("bad_rows") / F.col("total_rows"), 3))
                         .otherwise(F.lit(0.0)))
             .orderBy(F.desc("percent_bad"), "dataset"))
 
