@@ -39,8 +39,20 @@ def write_summary_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def judge_envelope(examples: DataFrame, model_name: str) -> DataFrame:
-    """SNK6: one-row ``{metadata, models, examples}`` envelope (only for small result sets)."""
+ENVELOPE_MAX_EXAMPLES = 1_000_000
+
+
+def judge_envelope(examples: DataFrame, model_name: str, max_examples: int = ENVELOPE_MAX_EXAMPLES) -> DataFrame:
+    """SNK6: one-row ``{metadata, models, examples}`` envelope.
+
+    The format is a single document, so every example ends up in one row and
+    one task; the size is checked first and larger result sets must be written
+    as a table (``write_parquet``/``write_jsonl``) instead.
+    """
+    n = examples.count()
+    if n > max_examples:
+        raise ValueError(f"{n} examples exceed the single-document envelope limit ({max_examples}); "
+                         "write them as a table instead")
     return examples.agg(F.collect_list(F.struct(*examples.columns)).alias("examples")).select(
         F.struct(F.lit(model_name).alias("source_path"),
                  F.array().cast("array<string>").alias("custom_fields_schema")).alias("metadata"),
