@@ -100,3 +100,15 @@ def test_templates(spark):
 def test_plain_concat_none(spark):
     df = spark.createDataFrame([(1, [("user", None)])], MSG)
     assert df.select(turns.plain_concat(df)).first()[0] == "user: None\n"
+
+
+def test_flat_chatml_matches_nested(spark):
+    flat = spark.createDataFrame([(1, 0, "user", " hi "), (1, 1, "assistant", "yo"), (2, 0, "user", "  "),
+                                  (3, 1, "assistant", "b"), (3, 0, "system", "a\n")],
+                                 "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["text"], r["n_turns"]) for r in render.chatml_strict_flat(flat).collect()}
+    from turnstile.sources.tables import nest_turns
+    nested = nest_turns(flat).select("conv_id", render.chatml_strict(F.col("conversations")).alias("t"),
+                                     F.size("conversations").alias("n"))
+    assert got == {r["conv_id"]: (r["t"], r["n"]) for r in nested.collect()}
+    assert got[2] == ("", 1) and got[3][0].startswith("<|im_start|>system\na<|im_end|>")

@@ -8,7 +8,7 @@ templates' fixed text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ustrip
@@ -163,3 +163,29 @@ TEMPLATES = {
     "vicuna": vicuna,
     "header": header_template,
 }
+
+
+# --------------------------------------------------------------------------- flat turn tables
+
+def chatml_strict_piece(role: Column, content: Column) -> Column:
+    """One PRJ13 piece (null when the stripped role or content is empty)."""
+    r, c = ustrip(F.coalesce(role, F.lit(""))), ustrip(F.coalesce(content.cast("string"), F.lit("")))
+    return F.when((F.length(r) > 0) & (F.length(c) > 0), F.concat(F.lit(IM_START), r, F.lit("\n"), c, F.lit(IM_END)))
+
+
+def chatml_strict_flat(flat: DataFrame, id_col: str = "conv_id", order_col: str = "turn",
+                       role_col: str = "role", content_col: str = "text") -> DataFrame:
+    """PRJ13 on a flat turn table: ``id, text, n_turns``.
+
+    Each turn's piece is built on its own row (plain codegen'd expressions, no
+    lambdas), then one ``groupBy`` collects ``(order, piece)`` pairs and the
+    ordered pieces are joined; same text as ``chatml_strict`` on the nested
+    conversation, about twice as fast.
+    """
+    pieces = flat.select(id_col, order_col, chatml_strict_piece(F.col(role_col), F.col(content_col)).alias("_p"))
+    grouped = (pieces.groupBy(id_col)
+               .agg(F.array_sort(F.collect_list(F.struct(order_col, "_p"))).alias("_t"),
+                    F.count(F.lit(1)).alias("n_turns")))
+    ps = F.col("_t")["_p"]
+    text = F.when(F.size(F.array_compact(ps)) > 0, F.concat(F.array_join(ps, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return grouped.select(id_col, text.alias("text"), "n_turns")

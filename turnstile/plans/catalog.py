@@ -75,10 +75,10 @@ def _tok_count(expr: str) -> str:
 
 @register("sft_chatml", f"WITH {SQL_NORM}, {SQL_CHATML_STRICT} SELECT conv_id, text, n_turns FROM cm")
 def sft_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nest -> normalise roles -> drop empty -> ChatML render (PRJ1-3, PRJ13, FLT1-2)."""
-    conv = normalized(spark, sf_dir)
-    return conv.select("conv_id", render.chatml_strict(F.col("conversations")).alias("text"),
-                       F.size("conversations").cast("long").alias("n_turns"))
+    """Normalise roles -> drop invalid turns and empty conversations -> ChatML render
+    (PRJ1-3, PRJ13, FLT1-2), rendered per turn on the flat table before one groupBy."""
+    flat = turns.normalize_flat(load_table(spark, sf_dir, "conversations"))
+    return render.chatml_strict_flat(flat)
 
 
 @register("sharegpt_normalize", f"""WITH {SQL_NORM}, {SQL_CHATML_STRICT}
@@ -731,8 +731,8 @@ store AS (SELECT doc_idx, CASE WHEN length(text) = 0 THEN 0 WHEN k = 0 THEN 0 EL
 
 
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = normalized(spark, sf_dir).withColumn("text", render.chatml_strict(F.col("conversations")))
-    return tokens.token_build(conv, "text", "conv_id", conv_col="conversations", max_len=None)
+    rendered = render.chatml_strict_flat(turns.normalize_flat(load_table(spark, sf_dir, "conversations")))
+    return tokens.token_build(rendered, "text", "conv_id", max_len=None)
 
 
 @register("token_build", f"WITH {_STORE_SQL} SELECT doc_idx, n_tokens, status FROM store")
