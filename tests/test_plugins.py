@@ -45,3 +45,38 @@ def test_question_range(spark):
     q = spark.createDataFrame([(i * 10,) for i in range(8)], "question_id long")
     got = sorted(r["question_id"] for r in readers.question_range(q, 2, 5).collect())
     assert got == [20, 30, 40]
+
+
+def test_tokenizer_error_statuses(spark):
+    from turnstile.functions.tokenize import PluggableTokenizer
+
+    class Picky:
+        def encode(self, text):
+            if "boom" in text:
+                raise ValueError("cannot encode")
+            return [len(w) for w in text.split()]
+
+    def broken():
+        raise RuntimeError("no vocab")
+
+    df = spark.createDataFrame([(1, "a bb"), (2, "boom"), (3, "")], "id long, text string")
+    ok = PluggableTokenizer("picky", Picky, vocab_size=100, eod=99)
+    got = {r["doc_idx"]: r["status"] for r in tokens.token_build(df, "text", "id", tokenizer=ok).collect()}
+    assert got == {1: "success", 2: "tokenization_error: cannot encode", 3: "empty_formatted_text"}
+    bad = PluggableTokenizer("broken", broken, vocab_size=100, eod=99)
+    got = {r["doc_idx"]: r["status"] for r in tokens.token_build(df, "text", "id", tokenizer=bad).collect()}
+    assert set(got.values()) == {"tokenizer_setup_error: no vocab"}
+
+
+def test_property_map_and_leak_batches(spark):
+    from turnstile.operators import turns
+    df = spark.createDataFrame([(1, [("human", "hi", "x")])],
+                               "id long, conversations array<struct<speaker:string,text:string,role:string>>")
+    c = df.select(turns.normalize_conversation(df, property_map={"role": "speaker", "content": "text"}).alias("c")).first()["c"]
+    assert [(t["role"], t["content"]) for t in c] == [("user", "hi")]
+    recs = spark.createDataFrame([(1, [5, 6, 7], [9, 8, 7, 6, 5], 3), (2, [5], [9], 0)],
+                                 "id long, input_ids array<int>, bad_token_ids array<int>, good_token_id int")
+    out = {r["id"]: r for r in tokens.leak_batches(recs, ["id"], 2).collect()}
+    assert out[1]["bad_token_ids"] == [9, 8, 7, 6] and out[1]["bad_mask"] == [1.0] * 4
+    assert out[2]["bad_token_ids"] == [9, 0, 0, 0] and out[2]["bad_mask"] == [1.0, 0.0, 0.0, 0.0]
+    assert out[2]["good_token_id"] == -100 and out[2]["input_ids"] == [5, 0, 0] and out[2]["attention_mask"] == [1, 0, 0]

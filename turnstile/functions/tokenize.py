@@ -13,13 +13,14 @@ tokenizer once per Python worker and encodes a whole batch per call.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import at
 from .text import WS_CHARS_BODY
 
 # Word runs (letters, marks, digits, underscore) or one non-space symbol.
@@ -61,11 +62,11 @@ class RegexTokenizer:
     def single_id_or_null(self, text: Column) -> Column:
         """Id when ``text`` encodes to exactly one token, else null."""
         pieces = self.pieces(text)
-        return F.when(F.size(pieces) == 1, self.piece_id(F.element_at(pieces, 1)))
+        return F.when(F.size(pieces) == 1, self.piece_id(at(pieces, 1)))
 
     def first_id_or_null(self, text: Column) -> Column:
         pieces = self.pieces(text)
-        return F.when(F.size(pieces) >= 1, self.piece_id(F.element_at(pieces, 1)))
+        return F.when(F.size(pieces) >= 1, self.piece_id(at(pieces, 1)))
 
 
 DEFAULT_TOKENIZER = RegexTokenizer()
@@ -107,14 +108,6 @@ class PluggableTokenizer:
     vocab_size: int
     eod: int
     add_eod: bool = False
-    _udf: object = field(default=None, init=False, repr=False)
-
-    def _get(self):
-        tok = _WORKER_CACHE.get(self.name)
-        if tok is None:
-            tok = self.factory()
-            _WORKER_CACHE[self.name] = tok
-        return tok
 
     def ids(self, text: Column) -> Column:
         name, factory, eod, add_eod = self.name, self.factory, self.eod, self.add_eod
@@ -141,6 +134,35 @@ class PluggableTokenizer:
     def count(self, text: Column) -> Column:
         return F.size(self.ids(text))
 
+    def encode_status(self, text: Column) -> Column:
+        """``struct<ids, error>``: ``tokenizer_setup_error: ...`` for every row when the
+        tokenizer cannot be built, ``tokenization_error: ...`` for a row that fails."""
+        name, factory = self.name, self.factory
+        schema = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())),
+                               T.StructField("error", T.StringType())])
+
+        @F.pandas_udf(schema)
+        def encode(texts: pd.Series) -> pd.DataFrame:
+            try:
+                tok = _WORKER_CACHE.get(name)
+                if tok is None:
+                    tok = factory()
+                    _WORKER_CACHE[name] = tok
+            except Exception as exc:  # noqa: BLE001 - reported per row as a status
+                return pd.DataFrame({"ids": [None] * len(texts),
+                                     "error": [f"tokenizer_setup_error: {exc}"] * len(texts)})
+            ids, errors = [], []
+            for t in texts:
+                try:
+                    ids.append(None if t is None else list(tok.encode(t)))
+                    errors.append(None)
+                except Exception as exc:  # noqa: BLE001
+                    ids.append(None)
+                    errors.append(f"tokenization_error: {exc}")
+            return pd.DataFrame({"ids": ids, "error": errors})
+
+        return encode(text)
+
 
 def hf_tokenizer_from_file(path: str, name: str | None = None, eod: int | None = None) -> PluggableTokenizer:
     """Plug-in for a ``tokenizer.json`` file via the ``tokenizers`` package."""

@@ -129,12 +129,21 @@ def flat_scan(flat: DataFrame, id_col: str = "conv_id", order_col: str = "turn",
 
 def document_status(conversations: Column, text: Column, n_tokens: Column,
                     tokenizer_error: Column | None = None) -> Column:
-    """FLT8: empty_conversations / empty_formatted_text / empty_tokens / tokenization_error: ... / success."""
-    status = (F.when(conversations.isNull() | (F.size(conversations) == 0), F.lit("empty_conversations"))
-              .when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("empty_formatted_text")))
+    """FLT8: tokenizer_setup_error: ... (whole batch) / empty_conversations /
+    empty_formatted_text / tokenization_error: ... / empty_tokens / success.
+
+    ``tokenizer_error`` carries the full status text produced by the encoder.
+    """
+    status = None
+    if tokenizer_error is not None:
+        status = F.when(tokenizer_error.startswith("tokenizer_setup_error"), tokenizer_error)
+    empty_conv = conversations.isNull() | (F.size(conversations) == 0)
+    status = (F.when(empty_conv, F.lit("empty_conversations")) if status is None
+              else status.when(empty_conv, F.lit("empty_conversations")))
+    status = status.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("empty_formatted_text"))
     if tokenizer_error is not None:
-        status = status.when(tokenizer_error.isNotNull(), F.concat(F.lit("tokenization_error: "), tokenizer_error))
-    return status.when(n_tokens == 0, F.lit("empty_tokens")).otherwise(F.lit("success"))
+        status = status.when(tokenizer_error.isNotNull(), tokenizer_error)
+    return status.when(F.coalesce(n_tokens, F.lit(0)) == 0, F.lit("empty_tokens")).otherwise(F.lit("success"))
 
 
 # --------------------------------------------------------------------------- AGG7 / AGG8

@@ -33,13 +33,18 @@ def token_build(df: DataFrame, text_col: str, id_col: str, conv_col: str | None
     Ids get the end-of-document id appended; rows whose status is not
     ``success`` carry null ids.
     """
-    ids = tokenizer.ids(F.col(text_col))
-    out = df.withColumn("_ids", ids)
+    if hasattr(tokenizer, "encode_status"):          # plug-in tokenizer: errors become statuses
+        out = (df.withColumn("_enc", tokenizer.encode_status(F.col(text_col)))
+               .withColumn("_ids", F.col("_enc.ids")).withColumn("_err", F.col("_enc.error")).drop("_enc"))
+        err = F.col("_err")
+    else:
+        out = df.withColumn("_ids", tokenizer.ids(F.col(text_col)))
+        err = None
     if max_len is not None:
         out = (out.withColumn("truncated", F.size("_ids") > F.lit(max_len))
                .withColumn("_ids", F.slice("_ids", 1, max_len)))
     conv = F.col(conv_col) if conv_col else F.array(F.lit(1))
-    status = document_status(conv, F.col(text_col), F.size("_ids"))
+    status = document_status(conv, F.col(text_col), F.size("_ids"), err)
     with_eod = F.concat(F.col("_ids"), F.array(F.lit(tokenizer.eod))) if add_eod else F.col("_ids")
     keep = ["truncated"] if max_len is not None else []
     return (out.withColumn("status", status)
@@ -192,11 +197,30 @@ def pad_batches(df: DataFrame, ids_col: str, order_cols: Sequence[str], batch_si
     lengths = df.select(*order_cols, F.size(ids_col).alias("_len"))
     idx = with_row_index(lengths, order_cols, name="_i").withColumn("batch", F.floor(F.col("_i") / batch_size))
     per_row = idx.select(*order_cols, "batch", F.max("_len").over(Window.partitionBy("batch")).alias("batch_len"))
-    out = df.join(per_row, list(order_cols))
-    missing = F.col("batch_len") - F.size(ids_col)
-    return (out.withColumn("input_ids", F.concat(F.col(ids_col), F.array_repeat(F.lit(pad_id), missing)))
-            .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids_col)),
-                                                   F.array_repeat(F.lit(0), missing))))
+    out = df.join(per_row, list(order_cols)).withColumn("_len", F.size(ids_col))
+    missing = F.col("batch_len") - F.col("_len")
+    # both outputs come from the original ids (the column may itself be called input_ids)
+    return (out.withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.col("_len")),
+                                                      F.array_repeat(F.lit(0), missing)))
+            .withColumn("input_ids", F.concat(F.col(ids_col), F.array_repeat(F.lit(pad_id), missing)))
+            .drop("_len"))
+
+
+def leak_batches(records: DataFrame, order_cols: Sequence[str], batch_size: int, pad_id: int = 0,
+                 max_bad_tokens: int = 4) -> DataFrame:
+    """TOK7 for leak-correction records: batch padding plus fixed-width bad-token lists.
+
+    ``bad_token_ids`` keeps at most ``max_bad_tokens`` ids padded with 0 and a
+    float ``bad_mask``; a missing or zero good id becomes -100 (ignored).
+    """
+    padded = pad_batches(records, "input_ids", order_cols, batch_size, pad_id)
+    bad = F.slice("bad_token_ids", 1, max_bad_tokens)
+    missing = F.lit(max_bad_tokens) - F.size(bad)
+    good = F.when(F.coalesce(F.col("good_token_id"), F.lit(0)) != 0, F.col("good_token_id")).otherwise(F.lit(-100))
+    return (padded.withColumn("bad_mask", F.concat(F.array_repeat(F.lit(1.0), F.size(bad)),
+                                                   F.array_repeat(F.lit(0.0), missing)))
+            .withColumn("bad_token_ids", F.concat(bad, F.array_repeat(F.lit(0), missing)))
+            .withColumn("good_token_id", good.cast("long")))
 
 
 # --------------------------------------------------------------------------- TOK9-11 planning

@@ -61,15 +61,23 @@ def content_as_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
-def resolve_turn(t: Column, st: T.StructType, mode: str = "strict") -> tuple[Column, Column]:
+def resolve_turn(t: Column, st: T.StructType, mode: str = "strict",
+                 property_map: Mapping[str, str] | None = None) -> tuple[Column, Column]:
     """(role, content) of one turn following the key-presence rule.
 
     ``strict``: the ``role`` field is used whenever the struct *has* it (even if
     null), else ``from``; likewise ``content`` else ``value``.  ``lenient``
-    falls back per row (``coalesce``).
+    falls back per row (``coalesce``).  ``property_map`` (PRJ24, e.g.
+    ``{"role": "from", "content": "value"}``) names the fields explicitly.
     """
     names = st.fieldNames()
     dtypes = {f.name: f.dataType for f in st.fields}
+    if property_map:
+        role_f, content_f = property_map.get("role", "role"), property_map.get("content", "content")
+        missing = [f for f in (role_f, content_f) if f not in names]
+        if missing:
+            raise SourceError(f"mapped message properties {missing} not in turn struct {names}")
+        return t[role_f].cast("string"), content_as_text(t[content_f], dtypes[content_f])
 
     def pick(primary: str, fallback: str, as_text: bool) -> Column:
         conv = (lambda n: content_as_text(t[n], dtypes[n])) if as_text else (lambda n: t[n].cast("string"))
@@ -86,7 +94,7 @@ def resolve_turn(t: Column, st: T.StructType, mode: str = "strict") -> tuple[Col
 
 def normalize_conversation(df: DataFrame, field_messages: str = "conversations",
                            role_map: Mapping[str, Sequence[str]] | None = None,
-                           mode: str = "strict") -> Column:
+                           mode: str = "strict", property_map: Mapping[str, str] | None = None) -> Column:
     """PRJ1-3 + FLT1: resolved, lower-cased, mapped turns; invalid turns dropped."""
     if field_messages not in df.columns:
         raise SourceError(f"message column {field_messages!r} not found; available: {df.columns}")
@@ -94,7 +102,7 @@ def normalize_conversation(df: DataFrame, field_messages: str = "conversations",
     m = literal_map(invert_role_map(role_map if role_map is not None else DEFAULT_ROLE_MAP))
 
     def one(t: Column) -> Column:
-        role, content = resolve_turn(t, st, mode)
+        role, content = resolve_turn(t, st, mode, property_map)
         return F.struct(m[F.lower(role)].alias("role"), content.alias("content"))
 
     mapped = F.transform(F.col(field_messages), one)
@@ -118,13 +126,13 @@ def normalize_flat(flat: DataFrame, role_col: str = "role", content_col: str = "
 def load_conversation(df: DataFrame, field_messages: str = "conversations",
                       role_map: Mapping[str, Sequence[str]] | None = None,
                       fields: Sequence[str] | None = None, mode: str = "strict",
-                      out: str = "conversations") -> DataFrame:
+                      out: str = "conversations", property_map: Mapping[str, str] | None = None) -> DataFrame:
     """PRJ1-5 + FLT1-2 + FLT7: one source in the normalised conversation layout.
 
     ``fields`` are the final columns (``conversations`` is always included);
     requested columns that do not exist are dropped, as the reference does.
     """
-    conv = normalize_conversation(df, field_messages, role_map, mode)
+    conv = normalize_conversation(df, field_messages, role_map, mode, property_map)
     wanted = list(fields) if fields else [out]
     if out not in wanted:
         wanted.append(out)

@@ -28,6 +28,7 @@ class SourceSpec:
     path: str | None = None
     role_map: Mapping[str, Sequence[str]] | None = None
     shuffle_seed: int | None = None
+    property_map: Mapping[str, str] | None = None      # e.g. {"role": "from", "content": "value"}
 
     @property
     def percent(self) -> float | None:
@@ -101,7 +102,8 @@ def build_conversation_mix(spark: SparkSession, recipe: Recipe,
                 raise turns.SourceError(f"Source field '{s.field_messages}' not found. Available: {raw.columns}")
             raw = mix.slice_rows(raw, spec, list(recipe.order_cols))          # the split is taken at load
             conv = turns.load_conversation(raw, s.field_messages, s.role_map or turns.DEFAULT_ROLE_MAP,
-                                           fields=[*recipe.order_cols, "conversations"])
+                                           fields=[*recipe.order_cols, "conversations"],
+                                           property_map=s.property_map)
             if s.shuffle_seed is not None:
                 conv = mix.deterministic_shuffle(conv, list(recipe.order_cols), s.shuffle_seed)
             conv = turns.rebuild_clean_schema(conv, "conversations", keep=list(recipe.order_cols))
