@@ -7,27 +7,28 @@ from pyspark.sql import functions as F
 from turnstile.operators import boards
 from turnstile.sources import readers, sinks
 
-# Published score rows (model, class, JA avg, EN avg) used as goldens.
+# Published score rows (model, class, JA avg, EN avg) used as goldens;
+# the highlighted family is written as "Tuned".
 SCORES = [
     ("Mistral Nemo 2407", "13B", 58.44, 48.07), ("Qwen 2.5 14B", "13B", 71.02, 62.54),
     ("CA Mistral Nemo JA 2408", "13B", 71.12, 48.0), ("Phi 4", "13B", 72.47, 61.14),
-    ("Shisa V2 Mistral Nemo 12B", "13B", 72.83, 53.33), ("Gemma 3 12B", "13B", 75.15, 62.1),
-    ("Shisa V2 Unphi 4 14B", "13B", 75.89, 60.1), ("Mistral Small 3.1", "30B", 72.03, 65.15),
+    ("Tuned V2 Mistral Nemo 12B", "13B", 72.83, 53.33), ("Gemma 3 12B", "13B", 75.15, 62.1),
+    ("Tuned V2 Unphi 4 14B", "13B", 75.89, 60.1), ("Mistral Small 3.1", "30B", 72.03, 65.15),
     ("Qwen 2.5 32B", "30B", 73.35, 66.67), ("ABEJA Qwen 2.5 32B JA v0.1", "30B", 74.14, 65.7),
-    ("Shisa V2 Qwen 2.5 32B", "30B", 76.97, 67.41), ("Gemma 3 27b", "30B", 80.05, 65.95),
+    ("Tuned V2 Qwen 2.5 32B", "30B", 76.97, 67.41), ("Gemma 3 27b", "30B", 80.05, 65.95),
     ("Llama 3.3 70B", "70B", 72.75, 71.48), ("CA Llama 3.1 70B JA", "70B", 73.67, 64.47),
     ("Tulu 3 70B", "70B", 74.64, 64.48), ("Swallow 70B v0.4", "70B", 75.59, 61.03),
-    ("Qwen 2.5 72B", "70B", 77.57, 68.12), ("Shisa V2 Llama 3.3 70b", "70B", 79.72, 67.71),
+    ("Qwen 2.5 72B", "70B", 77.57, 68.12), ("Tuned V2 Llama 3.3 70b", "70B", 79.72, 67.71),
     ("Llama 3.1 8B", "8B", 53.43, 53.88), ("llm-jp 3 7.2B", "8B", 56.05, 23.46),
     ("Llama 3 ELYZA JP 8B", "8B", 60.92, 39.09), ("Qwen 2.5 7B", "8B", 65.3, 58.11),
-    ("Swallow 8B v0.3", "8B", 67.44, 42.2), ("Shisa V2 Llama 3.1 8B", "8B", 70.83, 54.75),
-    ("Shisa V2 Qwen 2.5 7B", "8B", 71.06, 54.86),
+    ("Swallow 8B v0.3", "8B", 67.44, 42.2), ("Tuned V2 Llama 3.1 8B", "8B", 70.83, 54.75),
+    ("Tuned V2 Qwen 2.5 7B", "8B", 71.06, 54.86),
 ]
 
 
 def test_order_by_class_golden(spark):
     df = spark.createDataFrame(SCORES, "model string, class string, ja_avg double, en_avg double")
-    rows = boards.order_by_class(df).collect()
+    rows = boards.order_by_class(df, highlight="tuned").collect()
     assert rows[0]["ja_avg"] == 53.43 and rows[-1]["ja_avg"] == 79.72
     assert [r["class"] for r in rows][:7] == ["8B"] * 7
     assert sum(r["highlight"] for r in rows) == 6
@@ -38,7 +39,7 @@ def test_license_label_style(spark):
                                 ("MIT", "microsoft/phi-4"), (None, "meti-geniac-405b-dpo.jury"), (None, "unknown")],
                                "license string, model string")
     out = df.select(boards.impute_license(F.col("license"), F.col("model")).alias("l"),
-                    boards.clean_label(F.col("model")).alias("n"), boards.style_class(F.col("model")).alias("s")).collect()
+                    boards.clean_label(F.col("model")).alias("n"), boards.style_class(F.col("model"), "tuned").alias("s")).collect()
     assert [r["l"] for r in out] == ["Llama 3.1", "Apache 2.0", "MIT", None, None]
     assert [r["n"] for r in out] == ["Llama-3.1-8B-Instruct", "Qwen2.5-7B", "phi-4", "meti-geniac-405b-dpo", "unknown"]
     assert out[3]["s"]["color"] == "red" and out[4]["s"]["size"] == 30

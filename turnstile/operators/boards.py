@@ -24,9 +24,10 @@ LICENSE_RULES = [
 # Label rename applied after the org prefix is removed.
 LABEL_RENAMES = {"meti-geniac-405b-dpo.jury": "meti-geniac-405b-dpo"}
 
-# Style classes (colour, marker size) by substring, in order.
+# Style classes (colour, marker size) by substring, in order; the
+# highlighted model family (a caller parameter) is tested first.
+HIGHLIGHT_STYLE = ("deeppink", 60)
 STYLE_RULES = [
-    ("shisa", "deeppink", 60),
     ("meti-geniac-405b", "red", 60),
     ("405b-instruct", "skyblue", 60),
     ("gpt", "black", 40),
@@ -39,9 +40,10 @@ def class_rank(cls: Column, order: Sequence[str] = CLASS_ORDER) -> Column:
     return m[cls]
 
 
-def order_by_class(df: DataFrame, class_col: str = "class", score_col: str = "ja_avg",
-                   name_col: str = "model", highlight: str = "shisa") -> DataFrame:
-    """LB1: sort by class order then score; flag highlighted models."""
+def order_by_class(df: DataFrame, highlight: str, class_col: str = "class", score_col: str = "ja_avg",
+                   name_col: str = "model") -> DataFrame:
+    """LB1: sort by class order then score; flag models whose lower-cased name
+    contains the ``highlight`` family substring."""
     return (df.withColumn("class_rank", class_rank(F.col(class_col)))
             .withColumn("highlight", F.lower(F.col(name_col)).contains(highlight))
             .orderBy("class_rank", score_col, name_col))
@@ -72,11 +74,11 @@ def clean_label(name_col: Column) -> Column:
     return F.coalesce(m[stripped], stripped)
 
 
-def style_class(name_col: Column) -> Column:
-    """LB5: ``struct<color, size>`` from ordered substring rules."""
+def style_class(name_col: Column, highlight: str) -> Column:
+    """LB5: ``struct<color, size>`` from ordered substring rules (highlighted family first)."""
     name = F.lower(name_col)
     color = size = None
-    for needle, c, s in STYLE_RULES:
+    for needle, c, s in [(highlight.lower(), *HIGHLIGHT_STYLE), *STYLE_RULES]:
         cond = name.contains(needle)
         color = F.when(cond, F.lit(c)) if color is None else color.when(cond, F.lit(c))
         size = F.when(cond, F.lit(s)) if size is None else size.when(cond, F.lit(s))
