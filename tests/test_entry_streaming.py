@@ -67,3 +67,19 @@ def test_judge_stream_resumes(spark):
     out = spark.read.parquet(f"{d}/out")
     assert sorted(r["id"] for r in out.collect()) == [1, 2, 3]
     assert {r["score"] for r in out.select("result.score").collect()} == {1.0}
+
+
+def test_streaming_verdict_counts(spark):
+    from turnstile.streaming.judge_stream import start_verdict_counts
+    d = tempfile.mkdtemp(prefix="turnstile-stream-counts-")
+    os.makedirs(f"{d}/in")
+    rows = [(1, "m1", "A is better"), (2, "m1", "same"), (3, "m2", "B is much better")]
+    with open(f"{d}/in/part.json", "w") as f:
+        for i, m, v in rows:
+            raw = f"<result><explanation>e</explanation><verdict>{v}</verdict></result>"
+            f.write(json.dumps({"id": i, "model": m, "prompt": "p", "response_a": "a", "response_b": "b",
+                                "raw_response": raw}) + "\n")
+    q = start_verdict_counts(spark, f"{d}/in", f"{d}/ckpt", query_name="vc_test")
+    q.awaitTermination(120)
+    got = {r["model"]: (r["n"], r["wins"], r["ties"], r["losses"]) for r in spark.sql("SELECT * FROM vc_test").collect()}
+    assert got == {"m1": (2, 1, 1, 0), "m2": (1, 0, 0, 1)}
