@@ -107,3 +107,13 @@ def test_probability_means(spark):
     df = spark.createDataFrame([(1, [0.1, 0.3], 0.5), (2, [0.2], 0.7)], "k long, bad_probs array<double>, good_prob double")
     r = leak.probability_means(df, "k").first()
     assert r["mean_bad_prob"] == pytest.approx(0.2) and r["mean_good_prob"] == pytest.approx(0.6)
+
+
+def test_fused_rank_packing_equals_two_step(spark):
+    from turnstile.operators import mix
+    texts = [(i, " ".join(f"w{j}" for j in range((i * 11) % 29 + 1))) for i in range(57)]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    two = tokens.stream_pack(mix.shard_contiguous(docs, 3, ["id"]), "text", "id", 12, shard_col="shard")
+    one = tokens.stream_pack_ranks(docs, "text", "id", 12, 3)
+    assert sorted(map(tuple, two.collect()), key=lambda r: (r[0], r[1])) == \
+        sorted(map(tuple, one.collect()), key=lambda r: (r[0], r[1]))

@@ -90,17 +90,27 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequenc
             .drop("_pid", "_mid", "_off", "_first"))
 
 
-def with_prefix_sum(df: DataFrame, value_col: str, order_cols: Sequence[str],
-                    group_cols: Sequence[str] = (), name: str = "prefix",
+def with_prefix_sum(df: DataFrame, value_col: str | Sequence[str], order_cols: Sequence[str],
+                    group_cols: Sequence[str] = (), name: str | Sequence[str] = "prefix",
                     partitions: int | None = None) -> DataFrame:
-    """Add ``name``: sum of ``value_col`` over the rows *before* this one in its group."""
+    """Add ``name``: sum of ``value_col`` over the rows *before* this one in its group.
+
+    Several value columns (and as many names) can be summed in the same pass.
+    """
+    values = [value_col] if isinstance(value_col, str) else list(value_col)
+    names = [name] if isinstance(name, str) else list(name)
     tagged = _tagged(df, group_cols, order_cols, partitions)
     local_w = (Window.partitionBy(*group_cols, "_pid").orderBy("_mid")
                .rowsBetween(Window.unboundedPreceding, -1))
-    local = tagged.withColumn("_local", F.coalesce(F.sum(value_col).over(local_w), F.lit(0)))
-    stats = tagged.groupBy(*group_cols, "_pid").agg(F.sum(value_col).alias("_tot"))
+    local = tagged
+    for i, v in enumerate(values):
+        local = local.withColumn(f"_local{i}", F.coalesce(F.sum(v).over(local_w), F.lit(0)))
+    stats = tagged.groupBy(*group_cols, "_pid").agg(*[F.sum(v).alias(f"_tot{i}") for i, v in enumerate(values)])
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0)))
-    out = _attach(local, stats.select(*group_cols, "_pid", "_off"), group_cols)
-    return (out.withColumn(name, F.col("_off") + F.col("_local"))
-            .drop("_pid", "_mid", "_off", "_local"))
+    for i in range(len(values)):
+        stats = stats.withColumn(f"_off{i}", F.coalesce(F.sum(f"_tot{i}").over(w), F.lit(0)))
+    out = _attach(local, stats.select(*group_cols, "_pid", *[f"_off{i}" for i in range(len(values))]), group_cols)
+    for i, nm in enumerate(names):
+        out = out.withColumn(nm, F.col(f"_off{i}") + F.col(f"_local{i}"))
+    return out.drop("_pid", "_mid", *[f"_off{i}" for i in range(len(values))],
+                    *[f"_local{i}" for i in range(len(values))])

@@ -100,10 +100,17 @@ def stream_pack(docs: DataFrame, text_col: str, id_col: str, seq_len: int,
                .withColumn("_c1", F.least(F.floor((F.col("_start") + F.col("_n") - 1) / width), F.col("_chunks") - 1))
                .where(F.col("_c0") <= F.col("_c1"))
                .select("_shard", "_id", "_start", "_n", "_c0", "_c1"))
+    return _pack_spans(base, docinfo, seq_len, tokenizer, ["_shard", "_id"])
+
+
+def _pack_spans(base: DataFrame, docinfo: DataFrame, seq_len: int, tokenizer: RegexTokenizer,
+                join_cols: list[str]) -> DataFrame:
+    """Tokenize each document once, cut its per-window slices, assemble the windows."""
+    width = seq_len + 1
     full = F.concat(F.array(F.lit(tokenizer.bos_id)), tokenizer.ids(F.col("_text")), F.array(F.lit(tokenizer.eos_id)))
     # tokenize each document once, cut the slice of every chunk it overlaps
     # inside one projection, and explode only the slices (not the full array)
-    tokenized = (base.join(docinfo, ["_shard", "_id"])
+    tokenized = (base.join(docinfo, join_cols)
                  .select("_shard", "_id", "_start", "_c0", "_c1", full.alias("_full")))
 
     def piece(c):
@@ -123,6 +130,41 @@ def stream_pack(docs: DataFrame, text_col: str, id_col: str, seq_len: int,
                          F.slice("_x", 2, seq_len).alias("label"), "doc_ids")
 
 
+def stream_pack_ranks(docs: DataFrame, text_col: str, id_col: str, seq_len: int, world_size: int,
+                      tokenizer: RegexTokenizer = DEFAULT_TOKENIZER) -> DataFrame:
+    """TOK4 + MIX16 fused: contiguous rank shards of ``id_col`` order, each packed
+    into windows of ``seq_len + 1``.
+
+    One ungrouped pass of the distributed prefix sum yields both the row
+    number and the token offset of every document; the shard follows from the
+    row number by arithmetic and the offset inside the shard by subtracting
+    the shard's first offset (a ``world_size``-row table), so no second index
+    and no boundary lookup are needed.  Same output as ``shard_contiguous``
+    followed by ``stream_pack(..., shard_col="shard")``.
+    """
+    width = seq_len + 1
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    narrow = base.select("_id", (tokenizer.count(F.col("_text")) + F.lit(2)).alias("_n"), F.lit(1).alias("_one"))
+    pre = with_prefix_sum(narrow, ["_n", "_one"], ["_id"], name=["_gstart", "_i"])
+    n = pre.count()
+    div, mod = divmod(n, world_size)
+    big = (div + 1) * mod
+    i = F.col("_i")
+    shard = F.when(i < big, F.floor(i / F.lit(max(div + 1, 1)))).otherwise(
+        F.lit(mod) + F.floor((i - F.lit(big)) / F.lit(max(div, 1)))).cast("int")
+    ranked = pre.withColumn("_shard", shard)
+    # per shard: first global offset and total tokens (at most world_size rows)
+    shards = F.broadcast(ranked.groupBy("_shard").agg(
+        F.min("_gstart").alias("_s0"), F.floor(F.sum("_n") / F.lit(width)).alias("_chunks")))
+    docinfo = (ranked.join(shards, "_shard")
+               .withColumn("_start", F.col("_gstart") - F.col("_s0"))
+               .withColumn("_c0", F.floor(F.col("_start") / width))
+               .withColumn("_c1", F.least(F.floor((F.col("_start") + F.col("_n") - 1) / width), F.col("_chunks") - 1))
+               .where(F.col("_c0") <= F.col("_c1"))
+               .select("_shard", "_id", "_start", "_c0", "_c1"))
+    return _pack_spans(base, docinfo, seq_len, tokenizer, ["_id"])
+
+
 # --------------------------------------------------------------------------- TOK5 whole-sample packing
 
 MAX_PACK_GROUP_ROWS = 20_000

@@ -774,8 +774,8 @@ FROM sp GROUP BY shard, chunk"""
 @register("stream_pack", _PACK_SQL)
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOK4 (+MIX16): BOS/EOS stream packing into 513-token windows per rank shard."""
-    docs = mix.shard_contiguous(load_table(spark, sf_dir, "documents").select("doc_id", "text"), _PACK_WORLD, ["doc_id"])
-    packed = tokens.stream_pack(docs, "text", "doc_id", _SEQ, shard_col="shard")
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = tokens.stream_pack_ranks(docs, "text", "doc_id", _SEQ, _PACK_WORLD)
     return packed.select(F.col("shard").cast("int").alias("shard"), F.col("chunk").cast("long").alias("chunk"),
                          F.size("doc_ids").cast("long").alias("n_docs"),
                          F.array_min("doc_ids").alias("first_doc"), F.array_max("doc_ids").alias("last_doc"),
