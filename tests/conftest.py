@@ -16,6 +16,7 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="turnstile-test-ckpt-"))
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="turnstile-test-warehouse-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -103,3 +103,16 @@ def test_envelope(spark):
     ex = spark.createDataFrame([("q", 1.0)], "input_text string, score double")
     env = sinks.judge_envelope(ex, "m").first()
     assert env["models"][0]["name"] == "m" and len(env["examples"]) == 1
+
+
+def test_bucketed_turns_nest_without_exchange(spark):
+    from turnstile.operators import render, turns
+    from turnstile.sources.tables import load_table
+    flat = load_table(spark, "/root/testdata/sf0.001", "conversations")
+    sinks.write_bucketed(flat, "turns_bucketed_test", 4, ["conv_id"])
+    stored = spark.table("turns_bucketed_test")
+    out = render.chatml_strict_flat(turns.normalize_flat(stored))
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert "Exchange" not in plan
+    direct = render.chatml_strict_flat(turns.normalize_flat(flat))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, direct.collect()))
