@@ -78,3 +78,44 @@ def test_shards_are_contiguous_and_balanced(spark, n, world):
     assert seq == sorted(seq)
     sizes = [seq.count(s) for s in range(world)]
     assert max(sizes) - min(sizes) <= 1 and sizes == sorted(sizes, reverse=True)
+
+
+@SETTINGS
+@given(sizes=st.lists(st.integers(0, 30), min_size=1, max_size=4),
+       pcts=st.lists(st.integers(0, 100), min_size=4, max_size=4))
+def test_per_group_slices(spark, sizes, pcts):
+    rows = [(f"s{g}", k) for g, n in enumerate(sizes) for k in range(n)]
+    if not rows:
+        return
+    df = spark.createDataFrame(rows, "source string, k long")
+    specs = {f"s{g}": f"train[:{pcts[g]}%]" for g in range(len(sizes))}
+    got = sorted((r["source"], r["k"]) for r in mix.slice_rows(df, None, ["k"], ["source"], per_group=specs).collect())
+    want = sorted((f"s{g}", k) for g, n in enumerate(sizes) for k in range(round(pcts[g] * n / 100.0)))
+    assert got == want
+
+
+@SETTINGS
+@given(lengths=st.lists(st.integers(1, 15), min_size=1, max_size=30), seq=st.integers(2, 8), world=st.integers(1, 4))
+def test_rank_packing_matches_python(spark, lengths, seq, world):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n)) for i, n in enumerate(lengths)], "id long, text string")
+    got = {(r["shard"], r["chunk"]): r["input"] + r["label"][-1:]
+           for r in tokens.stream_pack_ranks(docs, "text", "id", seq, world).collect()}
+    wid = DEFAULT_TOKENIZER
+    n = len(lengths)
+    div, mod = divmod(n, world)
+    bounds, start = [], 0
+    for s in range(world):
+        size = div + (1 if s < mod else 0)
+        bounds.append((start, start + size))
+        start += size
+    want = {}
+    for s, (lo, hi) in enumerate(bounds):
+        buf = []
+        for i in range(lo, hi):
+            buf += [wid.bos_id] + ["w"] * lengths[i] + [wid.eos_id]
+        for c in range(len(buf) // (seq + 1)):
+            want[(s, c)] = buf[c * (seq + 1):(c + 1) * (seq + 1)]
+    assert set(got) == set(want)
+    for k, v in got.items():
+        assert [x for x in v if x in (wid.bos_id, wid.eos_id)] == [x for x in want[k] if x in (wid.bos_id, wid.eos_id)]
+        assert len(v) == len(want[k])
