@@ -90,6 +90,7 @@ def test_templates(spark):
                   render.role_upper(c, True).alias("u"), render.vicuna(c).alias("v"),
                   render.inst_strict(c).alias("s"), render.inst_with_system(c).alias("w")).first()
     assert r["l"] == "[INST] <<SYS>>\nS\n<</SYS>>\n\nU1 [/INST] A1 </s><s>[INST] U2 [/INST]"
+    assert df.select(render.llama2(c, bos_on_system=True)).first()[0].startswith("<s>[INST] <<SYS>>\nS")
     assert r["h"].startswith("<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\nS<|eot_id|>")
     assert r["u"] == "SYSTEM: S\nUSER: U1\nASSISTANT: A1\nUSER: U2\nASSISTANT: "
     assert r["v"] == "S USER:\nU1  ASSISTANT:\nA1 USER:\nU2 "

@@ -65,13 +65,18 @@ def chatml(conv: Column, add_generation_prompt: bool = False) -> Column:
     return F.concat(body, F.lit(IM_START + "assistant\n")) if add_generation_prompt else body
 
 
-def llama2(conv: Column, bos: str = DEFAULT_BOS, eos: str = DEFAULT_EOS) -> Column:
-    """PRJ15: system block opens ``[INST]``; user turns after index 1 re-open it with BOS."""
+def llama2(conv: Column, bos: str = DEFAULT_BOS, eos: str = DEFAULT_EOS, bos_on_system: bool = False) -> Column:
+    """PRJ15: system block opens ``[INST]``; user turns after index 1 re-open it with BOS.
+
+    ``bos_on_system`` is the variant whose system block also starts with BOS.
+    """
+    sys_open = (bos if bos_on_system else "") + "[INST] <<SYS>>\n"
+
     def piece(t: Column, i: Column) -> Column:
         c = _content_text(t["content"])
         return (F.when((t["role"] == "user") & (i > 1), F.concat(F.lit(bos + "[INST] "), c, F.lit(" [/INST]")))
                 .when(t["role"] == "user", F.concat(c, F.lit(" [/INST]")))
-                .when(t["role"] == "system", F.concat(F.lit("[INST] <<SYS>>\n"), c, F.lit("\n<</SYS>>\n\n")))
+                .when(t["role"] == "system", F.concat(F.lit(sys_open), c, F.lit("\n<</SYS>>\n\n")))
                 .when(t["role"] == "assistant", F.concat(F.lit(" "), c, F.lit(" " + eos))))
     return _join(conv, piece)
 
