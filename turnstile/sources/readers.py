@@ -23,14 +23,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """SRC3: ``(good, bad)``: malformed lines go to a side output with their raw text."""
+    """SRC3: ``(good, bad)``: malformed lines go to a side output with their raw text.
+
+    Lines are read as text and parsed with ``from_json`` (permissive, with its
+    own corrupt-record column), so both outputs stay lazy and distributed; no
+    cache of the input is needed.  Blank lines are skipped.
+    """
     full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-          .withColumn("_file", F.col("_metadata.file_path")))
-    df = df.cache()  # Spark forbids filtering on the corrupt column of an uncached JSON scan
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select("_file", "_corrupt_record")
+    lines = (spark.read.text(path).withColumn("_file", F.col("_metadata.file_path"))
+             .where(F.length(F.trim("value")) > 0))
+    parsed = lines.select("_file", F.from_json("value", full, {"mode": "PERMISSIVE",
+                                                                 "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_r"))
+    good = parsed.where(F.col("_r._corrupt_record").isNull()).select(*[F.col(f"_r.{f.name}") for f in schema.fields])
+    bad = parsed.where(F.col("_r._corrupt_record").isNotNull()).select("_file", F.col("_r._corrupt_record").alias("_corrupt_record"))
     return good, bad
 
 
