@@ -71,3 +71,24 @@ def test_outputs_follow_declared_schemas(spark):
     conv = turns.load_conversation(spark.createDataFrame([(1, [("user", "x")])],
                                                          "id long, conversations array<struct<role:string,content:string>>"))
     assert conv.schema.simpleString() == schemas.CONVERSATION_TABLE.simpleString()
+
+
+def test_narrow_ids_skip_cached_and_error_sink(spark):
+    from pyspark.sql import types as T
+
+    from turnstile.operators import metrics
+    from turnstile.sources import sinks
+    from turnstile.functions.tokenize import RegexTokenizer
+    tok = RegexTokenizer(vocab_size=1000)
+    store = tokens.token_build(spark.createDataFrame([(1, "a b c")], "id long, text string"), "text", "id", tokenizer=tok)
+    small = tokens.narrow_ids(store, tok.vocab_size)
+    assert small.schema["token_ids"].dataType == T.ArrayType(T.ShortType())
+    assert small.first()["token_ids"] == store.first()["token_ids"]
+    assert tokens.narrow_ids(store, 65_536).schema["token_ids"].dataType == T.ArrayType(T.IntegerType())
+    cands = spark.createDataFrame([("a",), ("b",), ("c",)], "tokenizer string")
+    cache = spark.createDataFrame([("b", 3.1)], "tokenizer string, chars_per_token double")
+    assert sorted(r[0] for r in metrics.skip_cached(cands, cache).collect()) == ["a", "c"]
+    d = tempfile.mkdtemp(prefix="turnstile-err-")
+    rows = spark.createDataFrame([(1, None), (2, "boom")], "id long, error string")
+    sinks.write_with_errors(rows, d)
+    assert spark.read.parquet(f"{d}/results").count() == 1 and spark.read.parquet(f"{d}/errors").count() == 1

@@ -109,11 +109,6 @@ def count_in_set(col: Column, chars: str) -> Column:
     return F.length(col) - F.length(F.translate(col, chars, ""))
 
 
-def count_matches(col: Column, char_class: str) -> Column:
-    """Number of code points of ``col`` inside ``char_class`` (JVM regex count)."""
-    return F.regexp_count(col, F.lit(char_class))
-
-
 def sql_str(s: str) -> str:
     """Quote a Python string as an ANSI SQL literal (for generated oracle SQL)."""
     return "'" + s.replace("'", "''") + "'"
