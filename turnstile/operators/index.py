@@ -32,8 +32,10 @@ from ..session import materialize
 
 # A (group x partition) offsets table larger than this is joined by shuffle.
 BROADCAST_MAX_ROWS = 2_000_000
-# Key rows per range partition (keys are a few tens of bytes: ~100 MB per task).
+# Key rows per range partition (keys are a few tens of bytes: ~100 MB per task);
+# small inputs are not spread thinner than MIN_ROWS_PER_PARTITION per task.
 ROWS_PER_PARTITION = 4_000_000
+MIN_ROWS_PER_PARTITION = 50_000
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -52,7 +54,8 @@ def _tagged(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
         if n is None:
             # size partitions from the data (the count also fills the cache)
             rows = src.count()
-            n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PARTITION))
+            default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            n = max(-(-rows // ROWS_PER_PARTITION), min(default, -(-rows // MIN_ROWS_PER_PARTITION)), 1)
         ranged = src.repartitionByRange(n, *_cols(keys)).sortWithinPartitions(*_cols(keys))
         tagged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
         return materialize(tagged, "row-index")
