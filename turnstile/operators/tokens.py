@@ -197,8 +197,8 @@ def sample_pack(df: DataFrame, id_col: str, len_col: str, capacity: int,
     about ``group_rows`` so no group grows with the data (larger groups pack a
     little tighter, smaller ones use less memory per task); every sample lands
     in exactly one bin and no bin exceeds ``capacity``.  Best-fit (tightest
-    remaining bin) is used instead of first-fit for the same contract with
-    O(log bins) lookups.  Samples longer than ``capacity`` are flagged
+    remaining bin, found by binary search) is used instead of first-fit; the
+    contract is the same.  Samples longer than ``capacity`` are flagged
     (``bin`` null) or, with ``over_long='truncate'``, packed as ``capacity``
     tokens.
     """
