@@ -80,3 +80,21 @@ def test_property_map_and_leak_batches(spark):
     assert out[1]["bad_token_ids"] == [9, 8, 7, 6] and out[1]["bad_mask"] == [1.0] * 4
     assert out[2]["bad_token_ids"] == [9, 0, 0, 0] and out[2]["bad_mask"] == [1.0, 0.0, 0.0, 0.0]
     assert out[2]["good_token_id"] == -100 and out[2]["input_ids"] == [5, 0, 0] and out[2]["attention_mask"] == [1, 0, 0]
+
+
+class CountingBackend:
+    """Answers with how many times this worker process has built a backend."""
+
+    def __init__(self):
+        import sys
+        sys._turnstile_test_builds = getattr(sys, "_turnstile_test_builds", 0) + 1
+        self.n = sys._turnstile_test_builds
+
+    def generate_batch(self, prompts):
+        return [str(self.n)] * len(prompts)
+
+
+def test_backend_built_once_per_worker(spark):
+    df = spark.range(64).selectExpr("id", "cast(id as string) as prompt").repartition(16)
+    out = {r["response"] for r in judge.generate_with_backend(df, CountingBackend).collect()}
+    assert out == {"1"}

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from .arrays import at
 from .text import PY_WHITESPACE, WS_CHARS_BODY
+from .worker import get_or_build
 
 # Word runs (letters, marks, digits, underscore) or one non-space symbol.
 TOKEN_PATTERN = rf"[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_{WS_CHARS_BODY}]"
@@ -102,14 +103,12 @@ COUNTERS: dict[str, tuple[Callable[[Column], Column], int]] = {
 
 # --------------------------------------------------------------------------- plug-in path
 
-_WORKER_CACHE: dict[str, object] = {}
-
-
 @dataclass
 class PluggableTokenizer:
     """Wrap any tokenizer factory as an Arrow-batched UDF.
 
-    ``factory`` is called at most once per Python worker (cached by ``name``);
+    ``factory`` is called at most once per Python worker process (registry
+    keyed by ``name``);
     the object it returns must provide ``encode(text) -> list[int]``.
     """
 
@@ -124,10 +123,7 @@ class PluggableTokenizer:
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def encode(texts: pd.Series) -> pd.Series:
-            tok = _WORKER_CACHE.get(name)
-            if tok is None:
-                tok = factory()
-                _WORKER_CACHE[name] = tok
+            tok = get_or_build(f"tokenizer:{name}", factory)
             out = []
             for t in texts:
                 if t is None:
@@ -154,10 +150,7 @@ class PluggableTokenizer:
         @F.pandas_udf(schema)
         def encode(texts: pd.Series) -> pd.DataFrame:
             try:
-                tok = _WORKER_CACHE.get(name)
-                if tok is None:
-                    tok = factory()
-                    _WORKER_CACHE[name] = tok
+                tok = get_or_build(f"tokenizer:{name}", factory)
             except Exception as exc:  # noqa: BLE001 - reported per row as a status
                 return pd.DataFrame({"ids": [None] * len(texts),
                                      "error": [f"tokenizer_setup_error: {exc}"] * len(texts)})
