@@ -98,3 +98,14 @@ def test_backend_built_once_per_worker(spark):
     df = spark.range(64).selectExpr("id", "cast(id as string) as prompt").repartition(16)
     out = {r["response"] for r in judge.generate_with_backend(df, CountingBackend).collect()}
     assert out == {"1"}
+
+
+class SizeBackend:
+    def generate_batch(self, prompts):
+        return [str(len(prompts))] * len(prompts)
+
+
+def test_backend_batch_size(spark):
+    df = spark.range(10).selectExpr("id", "cast(id as string) as prompt").coalesce(1)
+    sizes = [r["response"] for r in judge.generate_with_backend(df, SizeBackend, batch_size=4).orderBy("id").collect()]
+    assert sizes == ["4"] * 8 + ["2"] * 2
