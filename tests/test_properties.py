@@ -119,3 +119,24 @@ def test_rank_packing_matches_python(spark, lengths, seq, world):
     for k, v in got.items():
         assert [x for x in v if x in (wid.bos_id, wid.eos_id)] == [x for x in want[k] if x in (wid.bos_id, wid.eos_id)]
         assert len(v) == len(want[k])
+
+
+_JUDGE_ALPHABET = st.sampled_from(list("ab <>&;/ \n\t") + ["amp;", "<b>", "</b>", "é", "　", "same", "A is better"])
+
+
+@SETTINGS
+@given(expl=st.lists(_JUDGE_ALPHABET, max_size=8), verd=st.lists(_JUDGE_ALPHABET, max_size=4),
+       wrap=st.sampled_from(["plain", "fence", "noise"]))
+def test_judge_fast_path_agrees_with_parser(spark, expl, verd, wrap):
+    from turnstile.operators import judge
+    e, v = "".join(expl), "".join(verd)
+    core = f"<result><explanation>{e}</explanation><verdict>{v}</verdict></result>"
+    raw = {"plain": core, "fence": "```xml\n" + core + "\n```", "noise": "x " + core + " y"}[wrap]
+    df = spark.createDataFrame([(1, "p", "a", "b", raw)],
+                               "id bigint, prompt string, response_a string, response_b string, raw_response string")
+
+    def one(fast):
+        r = judge.judge_rows(df, on_error="default", fast_path=fast).first()
+        return r["verdict"], r["error"], r["result"]["score"], r["result"]["custom_fields"]["explanation"]
+
+    assert one(True) == one(False)
