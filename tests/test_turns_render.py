@@ -113,3 +113,18 @@ def test_flat_chatml_matches_nested(spark):
                                      F.size("conversations").alias("n"))
     assert got == {r["conv_id"]: (r["t"], r["n"]) for r in nested.collect()}
     assert got[2] == ("", 1) and got[3][0].startswith("<|im_start|>system\na<|im_end|>")
+
+
+def test_flat_templates_match_nested(spark):
+    from turnstile.sources.tables import nest_turns
+    flat = spark.createDataFrame([(1, 0, "system", "S"), (1, 1, "user", "U"), (1, 2, "tool", "x"), (1, 3, "assistant", "A"),
+                                  (2, 0, "user", "only")], "conv_id long, turn long, role string, text string")
+    nested = nest_turns(flat)
+    c = F.col("conversations")
+    cases = [(render.role_upper_piece, render.role_upper(c), ""),
+             (render.instruction_ja_piece, render.instruction_ja(c, True), render.instruction_ja_prompt()),
+             (render.vicuna_piece(True), render.vicuna(c, parity_misspelling=True), "")]
+    for piece, nested_col, suffix in cases:
+        a = {r["conv_id"]: r["text"] for r in render.render_flat(flat, piece, suffix=suffix).collect()}
+        b = {r["conv_id"]: r["t"] for r in nested.select("conv_id", nested_col.alias("t")).collect()}
+        assert a == b

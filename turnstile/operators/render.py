@@ -81,28 +81,37 @@ def llama2(conv: Column, bos: str = DEFAULT_BOS, eos: str = DEFAULT_EOS, bos_on_
     return _join(conv, piece)
 
 
+def instruction_ja_piece(t: Column) -> Column:
+    """One PRJ16 turn (null for roles the template ignores)."""
+    c = _content_text(t["content"])
+    return (F.when(t["role"] == "system", F.concat(c, F.lit("\n\n")))
+            .when(t["role"] == "user", F.concat(F.lit("### 指示:\n"), c, F.lit("\n\n")))
+            .when(t["role"] == "assistant", F.concat(F.lit("### 応答:\n"), c, F.lit("\n\n"))))
+
+
+def instruction_ja_prompt(variant: str = "swallow") -> str:
+    return "### 応答:" if variant == "swallow" else "### 応答:\n"
+
+
 def instruction_ja(conv: Column, add_generation_prompt: bool = False, variant: str = "swallow") -> Column:
     """PRJ16: ``### 指示`` / ``### 応答`` template; the generation prompt differs per variant."""
-    def piece(t: Column) -> Column:
-        c = _content_text(t["content"])
-        return (F.when(t["role"] == "system", F.concat(c, F.lit("\n\n")))
-                .when(t["role"] == "user", F.concat(F.lit("### 指示:\n"), c, F.lit("\n\n")))
-                .when(t["role"] == "assistant", F.concat(F.lit("### 応答:\n"), c, F.lit("\n\n"))))
-    body = _join(conv, piece)
-    if not add_generation_prompt:
-        return body
-    return F.concat(body, F.lit("### 応答:" if variant == "swallow" else "### 応答:\n"))
+    body = _join(conv, instruction_ja_piece)
+    return F.concat(body, F.lit(instruction_ja_prompt(variant))) if add_generation_prompt else body
+
+
+def role_upper_piece(t: Column) -> Column:
+    """One PRJ17 turn."""
+    return F.concat(F.upper(_content_text(t["role"])), F.lit(": "), _content_text(t["content"]), F.lit("\n"))
 
 
 def role_upper(conv: Column, add_generation_prompt: bool = False) -> Column:
     """PRJ17: ``ROLE: content\\n`` with the role upper-cased."""
-    body = _join(conv, lambda t: F.concat(F.upper(_content_text(t["role"])), F.lit(": "),
-                                          _content_text(t["content"]), F.lit("\n")))
+    body = _join(conv, role_upper_piece)
     return F.concat(body, F.lit("ASSISTANT: ")) if add_generation_prompt else body
 
 
-def vicuna(conv: Column, add_generation_prompt: bool = False, parity_misspelling: bool = False) -> Column:
-    """PRJ18: ``USER:\\n… ASSISTANT:\\n…``; ``parity_misspelling`` reproduces the source's 'ASISTANT'."""
+def vicuna_piece(parity_misspelling: bool = False):
+    """One PRJ18 turn (a piece builder; ``parity_misspelling`` gives 'ASISTANT')."""
     label = " ASISTANT:\n" if parity_misspelling else " ASSISTANT:\n"
 
     def piece(t: Column) -> Column:
@@ -110,7 +119,12 @@ def vicuna(conv: Column, add_generation_prompt: bool = False, parity_misspelling
         return (F.when(t["role"] == "system", F.concat(c, F.lit(" ")))
                 .when(t["role"] == "user", F.concat(F.lit("USER:\n"), c, F.lit(" ")))
                 .when(t["role"] == "assistant", F.concat(F.lit(label), c, F.lit(" "))))
-    body = _join(conv, piece)
+    return piece
+
+
+def vicuna(conv: Column, add_generation_prompt: bool = False, parity_misspelling: bool = False) -> Column:
+    """PRJ18: ``USER:\\n… ASSISTANT:\\n…``; ``parity_misspelling`` reproduces the source's 'ASISTANT'."""
+    body = _join(conv, vicuna_piece(parity_misspelling))
     return F.concat(body, F.lit("ASSISTANT: ")) if add_generation_prompt else body
 
 
@@ -194,3 +208,19 @@ def chatml_strict_flat(flat: DataFrame, id_col: str = "conv_id", order_col: str
     ps = F.col("_t")["_p"]
     text = F.when(F.size(F.array_compact(ps)) > 0, F.concat(F.array_join(ps, "\n"), F.lit("\n"))).otherwise(F.lit(""))
     return grouped.select(id_col, text.alias("text"), "n_turns")
+
+
+def render_flat(flat: DataFrame, piece, id_col: str = "conv_id", order_col: str = "turn",
+                role_col: str = "role", content_col: str = "text", sep: str = "", suffix: str = "") -> DataFrame:
+    """Any per-turn template (pieces that do not depend on the turn's position) on a
+    flat turn table: ``id, text``.
+
+    ``piece`` maps a ``struct<role, content>`` Column to the turn's text (null to
+    skip); it is evaluated per row with codegen'd expressions before the one
+    ``groupBy`` that joins the ordered pieces with ``sep`` and appends ``suffix``.
+    """
+    t = F.struct(F.col(role_col).alias("role"), F.col(content_col).cast("string").alias("content"))
+    pieces = flat.select(id_col, order_col, piece(t).alias("_p"))
+    grouped = pieces.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(order_col, "_p"))).alias("_t"))
+    text = F.concat(F.array_join(F.col("_t")["_p"], sep), F.lit(suffix)) if suffix else F.array_join(F.col("_t")["_p"], sep)
+    return grouped.select(id_col, text.alias("text"))

@@ -125,6 +125,15 @@ def _template_query(column_builder, doc: str):
     return q
 
 
+def _flat_template_query(piece, doc: str, suffix: str = ""):
+    """Position-independent templates render per turn on the flat table (no lambdas)."""
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        flat = turns.normalize_flat(load_table(spark, sf_dir, "conversations"))
+        return render.render_flat(flat, piece, suffix=suffix)
+    q.__doc__ = doc
+    return q
+
+
 def _template_sql(piece: str, tail: str = "", head: str = "") -> str:
     return f"""WITH {SQL_NORM}
 SELECT conv_id, {head}string_agg({piece}, '' ORDER BY turn){tail} AS text FROM normi GROUP BY conv_id"""
@@ -132,7 +141,9 @@ SELECT conv_id, {head}string_agg({piece}, '' ORDER BY turn){tail} AS text FROM n
 
 register("render_chatml_generation", _template_sql(
     f"'<|im_start|>' || role || {NL} || content || '<|im_end|>' || {NL}", tail=f" || '<|im_start|>assistant' || {NL}"))(
-    _template_query(lambda c: render.chatml(c, add_generation_prompt=True), "PRJ14: ChatML default template with generation prompt."))
+    _flat_template_query(lambda t: render.chatml_piece(t["role"], t["content"]),
+                         "PRJ14: ChatML default template with generation prompt.",
+                         suffix=render.IM_START + "assistant\n"))
 
 register("render_llama2", _template_sql(
     f"""CASE WHEN role = 'user' AND idx > 1 THEN '<s>[INST] ' || content || ' [/INST]'
@@ -144,16 +155,19 @@ register("render_instruction_ja", _template_sql(
     f"""CASE WHEN role = 'system' THEN content || {NL} || {NL}
          WHEN role = 'user' THEN '### 指示:' || {NL} || content || {NL} || {NL}
          WHEN role = 'assistant' THEN '### 応答:' || {NL} || content || {NL} || {NL} END""",
-    tail=" || '### 応答:'"))(_template_query(lambda c: render.instruction_ja(c, True, "swallow"), "PRJ16: ### 指示 / ### 応答 template (swallow generation prompt)."))
+    tail=" || '### 応答:'"))(_flat_template_query(render.instruction_ja_piece,
+                         "PRJ16: ### 指示 / ### 応答 template (swallow generation prompt).",
+                         suffix=render.instruction_ja_prompt("swallow")))
 
 register("render_role_upper", _template_sql(f"upper(role) || ': ' || content || {NL}"))(
-    _template_query(render.role_upper, "PRJ17: upper-cased ROLE: content template."))
+    _flat_template_query(render.role_upper_piece, "PRJ17: upper-cased ROLE: content template."))
 
 register("render_vicuna", _template_sql(
     f"""CASE WHEN role = 'system' THEN content || ' '
          WHEN role = 'user' THEN 'USER:' || {NL} || content || ' '
          WHEN role = 'assistant' THEN ' ASISTANT:' || {NL} || content || ' ' END"""))(
-    _template_query(lambda c: render.vicuna(c, parity_misspelling=True), "PRJ18: USER/ASISTANT template (parity spelling)."))
+    _flat_template_query(render.vicuna_piece(parity_misspelling=True),
+                         "PRJ18: USER/ASISTANT template (parity spelling)."))
 
 register("render_header", _template_sql(
     f"""CASE WHEN idx = 0 THEN '<|begin_of_text|>' ELSE '' END || '<|start_header_id|>' || role
