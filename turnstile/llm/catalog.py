@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
 from . import decontaminate as D
+from . import mixing as M
 from . import quality as Q
+from . import sharding as S
 from .oracles import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +22,25 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+MIX_WEIGHTS, MIX_EPOCHS = (1, 2, 3), 3
+SHARDS = 24
+
+
+@_query
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.mix_report(*M.mix_plan(load_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_EPOCHS))
+
+
+@_query
+def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select(
+        "doc_id", "text", S.row_size().alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    placed = S.shard_documents(docs, SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = Q.quality_rules(load_table(spark, sf_dir, "documents"))
