@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
 from . import decontaminate as D
+from . import jaccard as J
 from . import mixing as M
 from . import quality as Q
 from . import sharding as S
@@ -48,6 +49,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "base_failed", "kept")
 
 
+@_query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = J.jaccard_components(load_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 @_query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = D.build_index(load_table(spark, sf_dir, "benchmark"))
