@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import load_table
+from . import bloomlm as B
 from . import decontaminate as D
 from . import jaccard as J
 from . import mixing as M
@@ -29,6 +30,13 @@ MIX_WEIGHTS, MIX_EPOCHS = (1, 2, 3), 3
 SHARDS = 24
 
 
+@_query
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = B.LanguageModel(docs.where(~B.held_out("doc_id")))
+    return model.score(docs).withColumn("held_out", B.held_out("doc_id"))
+
+
 @_query
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mix_report(*M.mix_plan(load_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_EPOCHS))
