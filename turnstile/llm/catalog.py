@@ -12,10 +12,12 @@ from ..sources.tables import load_table
 from . import bloomlm as B
 from . import decontaminate as D
 from . import jaccard as J
+from . import language as L
 from . import mixing as M
 from . import quality as Q
 from . import sharding as S
 from . import tokenstore as T
+from . import urlfilter as U
 from .oracles import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +54,34 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+URL_RULES = (U.Rule("com", "/", "allow"), U.Rule("example.com", "/en/", "block"),
+             U.Rule("www.example.com", "/en/", "allow"), U.Rule("net", "/es/", "block"), U.Rule("net", "/fr/", "block"))
+
+
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls of the labelled documents: the number in a page's path is its document; toxic ones are to be blocked."""
+    labels = load_table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull())
+    urls = load_table(spark, sf_dir, "pages").select(U.host_of("url").alias("host"), U.path_of("url").alias("path"))
+    numbered = urls.withColumn("doc_id", F.expr("try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)"))
+    return numbered.join(labels, "doc_id").select("host", "path", F.col("toxic").cast("double").alias("block"))
+
+
+@_query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load_table(spark, sf_dir, "pages").select("page_id", "url")
+    return U.judge_urls(pages, URL_RULES, labelled_urls(spark, sf_dir))
+
+
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = L.train_text(load_table(spark, sf_dir, "documents"))
+    pages = load_table(spark, sf_dir, "pages")
+    host = U.host_of("url")
+    found = L.identify(pages.select("page_id", "url", "html"), model, L.visible_text("html"), host,
+                       L.markup_language("html"), L.suffix_of(host))
+    return found.select("page_id", U.host_of("url").alias("host"), "language", "posterior", "accepted")
+
+
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = Q.quality_rules(load_table(spark, sf_dir, "documents"))
