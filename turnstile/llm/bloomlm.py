@@ -233,12 +233,12 @@ class LanguageModel:
         """id, n_tokens, n_known, train_tokens, base_score, score of every row."""
         spark, m = self.spark, self.model
         rows = docs.select(F.col(id_col).alias("id"), F.col(self.text_col).alias("text"), F.lit(None).cast("binary").alias("state"))
-        shared = spark.sparkContext.broadcast(m)
+        shared = spark.sparkContext.broadcast(vars(m))        # plain values: workers may lack this package
         count = -(-SLICES // self.slices_per_pass)
         for i, part in enumerate(self.passes()):
             if i:
                 rows = materialize(rows, "lm-pass")
-            rows = rows.mapInArrow(_score_pass(spark.sparkContext.broadcast(part), shared, i == count - 1),
+            rows = rows.mapInArrow(_score_pass(spark.sparkContext.broadcast(vars(part)), shared, i == count - 1),
                                    _PASS_SCHEMA if i < count - 1 else _LAST_SCHEMA)
         found = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
 
@@ -262,7 +262,8 @@ _LAST_SCHEMA = ("id long, n_tokens long, n_rest long, base double, score double,
 
 def _score_pass(filter_part, shared, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sep, part, model, means = W.space_separators(), filter_part.value, shared.value, level_counts()
+        sep, means = W.space_separators(), level_counts()
+        part, model = Filter(**filter_part.value), Model(**shared.value)
         for batch in batches:
             for lo, hi, words in W.chunks(batch.column(1), sep, True):
                 token, before, first = _tokens(words)

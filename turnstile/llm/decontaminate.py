@@ -86,7 +86,7 @@ def build_index(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
         if part:
             part.sort(key=lambda x: x["key"] & (2 ** 64 - 1))
             items = [x["items"] for x in part]
-            segments.append(spark.sparkContext.broadcast(Segment(
+            segments.append(spark.sparkContext.broadcast((       # plain values: workers may lack this package
                 W.unsigned(np.array([x["key"] for x in part], np.int64)),
                 W.unsigned(np.array([x["check"] for x in part], np.int64)),
                 np.array([x["length"] for x in part], np.int32),
@@ -106,7 +106,7 @@ def _scan(words: W.Words, h: np.ndarray, segments: list, lengths: list[list[int]
     """Mark the words of verified hits in ``cover`` and collect the items of each document."""
     made: dict[int, tuple] = {}
     for segment, own in zip(segments, lengths):
-        s = segment.value
+        s = Segment(*segment.value)
         for n in own:
             if n not in made:
                 made[n] = _two_hashes(words, h, n)
@@ -126,7 +126,7 @@ def _scan(words: W.Words, h: np.ndarray, segments: list, lengths: list[list[int]
 
 
 def _lengths(segments: list) -> list[list[int]]:
-    return [np.unique(s.value.length).tolist() for s in segments]
+    return [np.unique(Segment(*s.value).length).tolist() for s in segments]
 
 
 def scan_documents(docs: DataFrame, segments: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
