@@ -15,6 +15,7 @@ from . import jaccard as J
 from . import language as L
 from . import mixing as M
 from . import quality as Q
+from . import secretscan as X
 from . import sharding as S
 from . import tokenstore as T
 from . import urlfilter as U
@@ -95,6 +96,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+@_query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.scan_secrets(load_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

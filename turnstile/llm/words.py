@@ -174,3 +174,16 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def unsigned(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.int64).view(np.uint64)
+
+
+def substring_hashes(data: np.ndarray, doc: np.ndarray, shortest: int,
+                     longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, hash, start) of all substrings inside one text, length by length; equal bytes hash as words do."""
+    total, power = np.zeros(len(data), np.uint64), _BASE
+    value = _BYTE_VALUE[data]
+    for n in range(1, min(longest, len(data)) + 1):
+        total = total[:len(data) - n + 1] + value[n - 1:] * np.uint64(power)
+        power = power * _BASE & _MASK
+        if n >= shortest:
+            at = np.flatnonzero(doc[:len(doc) - n + 1] == doc[n - 1:])
+            yield n, mix(total[at] ^ np.uint64(n)), at
