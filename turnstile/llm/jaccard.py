@@ -12,6 +12,8 @@ their prefixes (the first ``n - ceil(percent * n) + 1`` tokens) share a token.
    documents that share a prefix token meet in the cell named by the smallest
    id with that token, so a document joins a cell once, not once per token or
    per pair.
+   Cells and documents that cannot hold a link by size and number of shared
+   prefix tokens are dropped before any set is fetched.
 3. In a cell, pairs must also share a prefix token under further orders
    (hash permutations); the filters are intersected, and what is left is
    verified on the full sets.  Cells are cut into blocks of bounded bytes and
@@ -39,7 +41,7 @@ from .graph import components
 
 SHINGLE, PERCENT = 5, 80
 # Length of the broadcast list of frequent tokens (16 bytes each), and the count that makes a token frequent.
-FREQUENT_TOKENS, FREQUENT_FROM = 1 << 18, 8
+FREQUENT_TOKENS, FREQUENT_FROM = 1 << 19, 4
 FLUSH_TOKENS = 1 << 21
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
 ORDERS = 3
@@ -212,6 +214,26 @@ def _cell_links(percent: int):
     return run
 
 
+def _possible(met: DataFrame, percent: int) -> DataFrame:
+    """(cell, id) of rows that can have a partner in the cell, by sizes and numbers of shared prefix tokens.
+
+    A set shares at most its prefix tokens that others have, plus all its tokens behind the prefix; this bounds the
+    size of a partner by ``most``.  Of two linked sets the smaller, y, has ``most`` >= the size of the larger >= its
+    own: a *strong* set.  So a cell needs one, and the others of the cell must be within reach of its strong sets.
+    """
+    rest = F.col("n") - (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    shared = (met.groupBy("id", "n").agg(F.sum("shared").alias("s"))
+              .select("id", F.floor((F.col("s") + rest) * (100 + percent) / percent - F.col("n")).alias("most")))
+    sized = met.select("cell", "id", "n").join(shared, "id")
+    strong = F.col("most") >= F.col("n")
+    reach = F.least("most", F.floor(F.col("n") * 100 / percent))
+    cells = (sized.groupBy("cell").agg(F.min(F.when(strong, F.col("n"))).alias("low"),
+                                       F.max(F.when(strong, reach)).alias("high"), F.count(F.lit(1)).alias("c"))
+             .where("low is not null and c > 1"))
+    return (sized.join(cells, "cell").where("n >= low and n <= high and most >= low")
+            .select("cell", "id"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
                        percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, class_id (smallest id with an equal set), component_id."""
@@ -219,14 +241,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialize(sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
 
     reps = sig.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    postings = reps.select("id", F.explode("prefix").alias("token"))
+    postings = reps.select("id", "n", F.explode("prefix").alias("token"))
     centers = postings.groupBy("token").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = materialize(postings.join(centers.select("token", "cell"), "token").select("cell", "id").distinct(),
-                          "jaccard-cells")
+    met = materialize(postings.join(centers.select("token", "cell"), "token")
+                      .groupBy("cell", "id", "n").agg(F.count(F.lit(1)).alias("shared")), "jaccard-cells")
+    members = materialize(_possible(met, percent), "jaccard-members")
 
     active = members.select("id").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(_full_sets(rows.join(active, "id", "left_semi"), "id", "text", k).distinct(), "jaccard-sets")
+    sets = materialize(_full_sets(rows.join(active, "id", "left_semi"), "id", "text", k), "jaccard-sets")
 
     size = sets.groupBy("id").agg(F.sum(F.octet_length("tokens")).alias("bytes"))
     blocks = (members.join(size, "id").groupBy("cell")
