@@ -33,7 +33,7 @@ def test_stream_pack_matches_python_reference(spark):
 
 def test_sample_pack_contract(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([6, 4, 7, 3, 12])], "id long, n long")
-    out = tokens.sample_pack(df, "id", "n", 10).collect()
+    out = tokens.sample_pack(df, "id", "n", 10, F.lit(0)).collect()
     assert len(out) == 5
     over = [r["id"] for r in out if r["over_long"]]
     assert over == [4]
@@ -42,7 +42,7 @@ def test_sample_pack_contract(spark):
         if r["bin"] is not None:
             bins[r["bin"]] = bins.get(r["bin"], 0) + r["n"]
     assert all(v <= 10 for v in bins.values()) and sum(bins.values()) == 20
-    trunc = tokens.sample_pack(df, "id", "n", 10, over_long="truncate").collect()
+    trunc = tokens.sample_pack(df, "id", "n", 10, F.lit(0), over_long="truncate").collect()
     assert all(r["bin"] is not None for r in trunc)
 
 
@@ -117,3 +117,21 @@ def test_fused_rank_packing_equals_two_step(spark):
     one = tokens.stream_pack_ranks(docs, "text", "id", 12, 3)
     assert sorted(map(tuple, two.collect()), key=lambda r: (r[0], r[1])) == \
         sorted(map(tuple, one.collect()), key=lambda r: (r[0], r[1]))
+
+
+def test_leak_empty_string_falls_back_to_meta(spark):
+    rows = [(1, "a b good d", "a b bad d", "", "", '{"leak_tokens": "bad", "corrected_token": "good"}')]
+    df = spark.createDataFrame(rows, "id long, chosen string, rejected string, leak_tokens string, corrected_token string, meta string")
+    got = leak.leak_records(df).first()
+    assert got["skip_reason"] is None and got["leak_tokens_resolved"] == ["bad"] and not got["truncated"]
+
+
+def test_leak_texts_are_used_whole(spark):
+    words = " ".join(f"w{i}" for i in range(5000))
+    df = spark.createDataFrame([(1, words + " good", words + " bad", ["bad"], "missing")],
+                               "id long, chosen string, rejected string, leak_tokens array<string>, corrected_token string")
+    got = leak.leak_records(df, meta_col=None).first()
+    cut = leak.leak_records(df, meta_col=None, max_length=100).first()
+    assert got["skip_reason"] is None and got["position"] >= 5000 and cut["skip_reason"] == "no_position" and cut["truncated"]
+    plan = spark._jvm.PythonSQLUtils.explainString(leak.leak_records(df, meta_col=None)._jdf.queryExecution(), "simple")
+    assert plan.count("regexp_extract_all(chosen") <= 2 and plan.count("regexp_extract_all(rejected") <= 2

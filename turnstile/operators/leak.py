@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from ..functions.arrays import at
 from ..functions.text import ustrip
 from ..functions.tokenize import RegexTokenizer
-from .index import BROADCAST_MAX_ROWS
 
 # Wide hash vocabulary so distinct pieces practically never share an id.
 LEAK_TOKENIZER = RegexTokenizer(name="regex-word-wide", vocab_size=2_147_483_000)
@@ -24,12 +23,13 @@ LEAK_TOKENIZER = RegexTokenizer(name="regex-word-wide", vocab_size=2_147_483_000
 def _as_list(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.ArrayType):
         return c.cast(T.ArrayType(T.StringType()))
-    return F.when(c.isNotNull(), F.array(c.cast("string")))
+    return F.when(F.length(c.cast("string")) > 0, F.array(c.cast("string")))     # an empty string is no token
 
 
 def _as_scalar(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.ArrayType):
-        return at(c.cast(T.ArrayType(T.StringType())), 1)   # null when empty
+        first = at(c.cast(T.ArrayType(T.StringType())), 1)
+        return F.when(c.isNotNull(), F.coalesce(first, F.lit("")))      # an empty list stays empty: no fallback
     return c.cast("string")
 
 
@@ -52,9 +52,12 @@ def leak_records(df: DataFrame, tokenizer: RegexTokenizer = LEAK_TOKENIZER, chos
                  rejected_col: str = "rejected", leak_col: str = "leak_tokens",
                  corrected_col: str = "corrected_token", meta_col: str | None = "meta",
                  meta_leak_key: str | None = None, meta_corrected_key: str | None = None,
-                 max_length: int = 2048, key_col: str | None = None) -> DataFrame:
+                 max_length: int | None = None, key_col: str | None = None) -> DataFrame:
     """LEAK1-7 + FLT9: one row per input with ``skip_reason`` (null = usable record).
 
+    Texts are used whole; with ``max_length`` only that many ids are, and
+    ``truncated`` says which records lost some.
+
     With the built-in tokenizer every step is a Column.  With a plug-in
     (Python) tokenizer the candidate ids are encoded once per *distinct*
     leak/correction string and joined back by ``key_col``.
@@ -68,38 +71,43 @@ def leak_records(df: DataFrame, tokenizer: RegexTokenizer = LEAK_TOKENIZER, chos
             meta = F.to_json(F.col(meta_col))
         leak = F.when(F.coalesce(F.size(leak), F.lit(0)) > 0, leak).otherwise(
             _json_as_list(_meta_value(meta, meta_leak_key or leak_col)))
-        corrected = F.when(F.coalesce(F.length(corrected), F.lit(0)) > 0, corrected).otherwise(
+        listed = isinstance(types.get(corrected_col), T.ArrayType)
+        given = corrected.isNotNull() if listed else F.coalesce(F.length(corrected), F.lit(0)) > 0
+        corrected = F.when(given, corrected).otherwise(
             _json_as_scalar(_meta_value(meta, meta_corrected_key or corrected_col)))
     leak = F.coalesce(leak, F.array().cast(T.ArrayType(T.StringType())))
     tok = tokenizer
-    staged = df.withColumn("_leak", leak).withColumn("_corr", corrected)
+    # the ids are columns of their own: nothing below may tokenize a text again
+    staged = (df.withColumn("_leak", leak).withColumn("_corr", corrected)
+              .withColumn("_ids", tok.ids(F.col(chosen_col))))
+    if rejected_col in types:
+        staged = staged.withColumn("_rej_ids", tok.ids(F.col(rejected_col)))
     if isinstance(tok, RegexTokenizer):
         def candidate_id(s: Column) -> Column:
             return F.coalesce(tok.single_id_or_null(s), tok.single_id_or_null(F.concat(F.lit(" "), s)),
                               tok.single_id_or_null(ustrip(s)), tok.first_id_or_null(s))
 
-        staged = (staged.withColumn("input_ids", F.slice(tok.ids(F.col(chosen_col)), 1, max_length))
-                  .withColumn("bad_token_ids", F.filter(F.transform("_leak", candidate_id), lambda x: x.isNotNull()))
+        staged = (staged.withColumn("bad_token_ids", F.filter(F.transform("_leak", candidate_id), lambda x: x.isNotNull()))
                   .withColumn("good_token_id", F.when(F.col("_corr").isNotNull(), candidate_id(F.col("_corr")))))
-        rej_ids = F.slice(tok.ids(F.col(rejected_col)), 1, max_length) if rejected_col in types else None
     else:
         if key_col is None:
             raise ValueError("a plug-in tokenizer needs key_col to join candidate ids back")
         staged = _plugin_candidates(staged, tok, key_col)
-        staged = staged.withColumn("input_ids", F.slice(tok.ids(F.col(chosen_col)), 1, max_length))
-        if rejected_col in types:
-            staged = staged.withColumn("_rej_ids", F.slice(tok.ids(F.col(rejected_col)), 1, max_length))
-            rej_ids = F.col("_rej_ids")
-        else:
-            rej_ids = None
+
+    def cut(ids: str) -> Column:
+        return F.col(ids) if max_length is None else F.slice(ids, 1, max_length)
+
+    staged = (staged.withColumn("truncated", F.lit(False) if max_length is None else F.size("_ids") > max_length)
+              .withColumn("input_ids", cut("_ids")))
     pos = F.array_position("input_ids", F.col("good_token_id")) - 1
     direct = F.when(pos > 0, pos)
-    if rej_ids is not None:
-        shorter = F.least(F.size("input_ids"), F.size(rej_ids))
-        diffs = F.filter(F.sequence(F.lit(0), shorter - 1),
-                         lambda i: (i >= 1) & (i < shorter) & (at("input_ids", i + 1) != at(rej_ids, i + 1)))
-        fallback = F.when(F.length(F.col(rejected_col)) > 0, at(diffs, 1))
-        position = F.coalesce(direct, fallback)
+    if rejected_col in types:
+        staged = staged.withColumn("_rej_ids", cut("_rej_ids"))
+        paired = F.arrays_zip(F.col("input_ids").alias("a"), F.col("_rej_ids").alias("b"))
+        differs = F.transform(paired, lambda x, i: (i >= 1) & x["a"].isNotNull() & x["b"].isNotNull() & (x["a"] != x["b"]))
+        first = F.array_position(differs, True) - 1
+        wanted = direct.isNull() & (F.length(F.col(rejected_col)) > 0)        # looked for only where it is needed
+        position = F.coalesce(direct, F.when(wanted & (first > 0), first))
     else:
         position = direct
     reason = (F.when((F.size("_leak") == 0) | F.coalesce(F.length("_corr") == 0, F.lit(True)), F.lit("missing_metadata"))
@@ -109,7 +117,8 @@ def leak_records(df: DataFrame, tokenizer: RegexTokenizer = LEAK_TOKENIZER, chos
             .withColumn("skip_reason", reason)
             .withColumn("multi_leak", F.size("_leak") > 1)
             .withColumnRenamed("_leak", "leak_tokens_resolved")
-            .withColumnRenamed("_corr", "corrected_token_resolved"))
+            .withColumnRenamed("_corr", "corrected_token_resolved")
+            .drop("_ids", "_rej_ids"))
 
 
 def _plugin_candidates(staged: DataFrame, tok, key_col: str) -> DataFrame:
@@ -128,7 +137,6 @@ def _plugin_candidates(staged: DataFrame, tok, key_col: str) -> DataFrame:
 
     cand = strings.select("s", F.coalesce(single(plain), single(spaced), single(stripped),
                                           F.when(F.size(plain) >= 1, at(plain, 1))).alias("cid"))
-    cand = F.broadcast(cand) if cand.count() <= BROADCAST_MAX_ROWS else cand
     bad = (staged.select(key_col, F.posexplode("_leak").alias("_pos", "s")).join(cand, "s", "left")
            .groupBy(key_col)
            .agg(F.array_sort(F.collect_list(F.struct("_pos", "cid"))).alias("_b"))
@@ -146,13 +154,13 @@ def leak_summary(records: DataFrame) -> DataFrame:
                        F.count_if(F.col("skip_reason").isNull() & F.col("multi_leak")).alias("multi_leak"))
 
 
-def probability_means(scored: DataFrame, order_col: str, n: int = 100) -> DataFrame:
-    """LEAK8: mean bad-token and good-token probability over the first ``n`` samples.
+def probability_means(scored: DataFrame, order_col: str, n: int | None = None) -> DataFrame:
+    """LEAK8: mean bad-token and good-token probability over all samples, or the first ``n``.
 
     ``scored`` supplies ``bad_probs ARRAY<DOUBLE>`` and ``good_prob DOUBLE``
     (model scoring itself is outside this engine).
     """
-    first = scored.orderBy(order_col).limit(n)
+    first = scored if n is None else scored.orderBy(order_col).limit(n)
     bad_sum = F.aggregate("bad_probs", F.lit(0.0), lambda acc, x: acc + x)
     return first.agg((F.sum(bad_sum) / F.sum(F.size("bad_probs"))).alias("mean_bad_prob"),
                      F.avg("good_prob").alias("mean_good_prob"))
