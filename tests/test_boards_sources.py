@@ -100,9 +100,22 @@ def test_catalog_and_materialize(spark):
 
 
 def test_envelope(spark):
-    ex = spark.createDataFrame([("q", 1.0)], "input_text string, score double")
-    env = sinks.judge_envelope(ex, "m").first()
-    assert env["models"][0]["name"] == "m" and len(env["examples"]) == 1
+    import json
+    ex = spark.createDataFrame([(i, f"q{i}\n", None if i else 1.0) for i in range(30)], "id long, input_text string, score double")
+    doc = json.loads("\n".join(r["value"] for r in sinks.judge_envelope(ex.repartition(4), "m", ["id"]).collect()))
+    assert doc["models"] == [{"name": "m"}] and doc["metadata"]["source_path"] == "m"
+    assert [e["id"] for e in doc["examples"]] == list(range(30)) and doc["examples"][1]["score"] is None
+    empty = json.loads("\n".join(r["value"] for r in sinks.judge_envelope(ex.limit(0), "m", ["id"]).collect()))
+    assert empty["examples"] == []
+
+
+def test_shards_keep_the_seeded_order(spark, tmp_path):
+    from turnstile.operators import mix
+    df = spark.range(200)
+    sinks.write_jsonl(mix.deterministic_shuffle(df, ["id"]), str(tmp_path / "s"), 4, order_by=[mix.shuffle_key(["id"])])
+    files = sorted((tmp_path / "s").glob("*.json"))
+    back = [int(line.split(":")[1].rstrip("}\n")) for f in files for line in open(f)]
+    assert len(files) == 4 and back == [r.id for r in mix.deterministic_shuffle(df, ["id"]).collect()]
 
 
 def test_bucketed_turns_nest_without_exchange(spark):

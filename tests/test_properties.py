@@ -57,7 +57,7 @@ def test_stream_pack_conserves_tokens(spark, lengths, seq):
 @given(lengths=st.lists(st.integers(1, 30), min_size=1, max_size=60), cap=st.integers(5, 40))
 def test_sample_pack_capacity(spark, lengths, cap):
     df = spark.createDataFrame(list(enumerate(lengths)), "id long, n long")
-    out = tokens.sample_pack(df, "id", "n", cap).collect()
+    out = tokens.sample_pack(df, "id", "n", cap, F.lit(0)).collect()
     assert sorted(r["id"] for r in out) == list(range(len(lengths)))
     sums = {}
     for r in out:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from turnstile.operators import mix, quality
+from turnstile.operators import index, mix, quality
 from turnstile.operators.index import with_prefix_sum, with_row_index
 
 MSG = "id bigint, messages array<struct<role:string,content:string>>"
@@ -108,3 +108,17 @@ def test_python_round_parity(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(quality.python_round(F.col("x"), 3)).collect()]
     assert got == [round(v, 3) for v in vals]
+
+
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4), (None, 5)], "g string, id long")
+    got = sorted(r["id"] for r in mix.cap_per_group(df, 2, ["g"], ["id"]).collect())
+    assert got == [1, 2, 3, 4]
+
+
+def test_row_index_leaves_the_callers_cache(spark):
+    df = spark.range(50).cache()
+    df.count()
+    index.with_row_index(df, ["id"]).count()
+    assert df.storageLevel.useMemory
+    df.unpersist()

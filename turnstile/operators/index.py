@@ -14,7 +14,7 @@ the classic two-pass scheme instead:
    an executor is lost and a stage re-runs;
 3. aggregate a tiny ``(group, partition) -> count/sum`` table, turn it into
    per-partition offsets with a window over that small table, and join it
-   back (broadcast only after its row count has been checked).
+   back (the optimizer chooses the join by its size in bytes).
 
 Only the key columns the caller passes in are shuffled; callers project
 before calling.
@@ -26,12 +26,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..session import materialize
 
-# A (group x partition) offsets table larger than this is joined by shuffle.
-BROADCAST_MAX_ROWS = 2_000_000
 # Key rows per range partition (keys are a few tens of bytes: ~100 MB per task);
 # small inputs are not spread thinner than MIN_ROWS_PER_PARTITION per task.
 ROWS_PER_PARTITION = 4_000_000
@@ -46,29 +43,22 @@ def _tagged(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     keys = [*group_cols, *order_cols]
-    # The range partitioner samples its input in a separate pass; keep the
-    # (narrow) input so that pass and the shuffle do not both recompute it.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = partitions
-        if n is None:
-            # size partitions from the data (the count also fills the cache)
-            rows = src.count()
-            default = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            n = max(-(-rows // ROWS_PER_PARTITION), min(default, -(-rows // MIN_ROWS_PER_PARTITION)), 1)
-        ranged = src.repartitionByRange(n, *_cols(keys)).sortWithinPartitions(*_cols(keys))
-        tagged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-        return materialize(tagged, "row-index")
-    finally:
-        src.unpersist()
+    # The range partitioner samples its input in a separate pass; the (narrow)
+    # keys are written once, so that pass and the shuffle read them from there.
+    src = materialize(df, "row-index-keys")
+    n = partitions
+    if n is None:
+        rows = src.count()                      # from the Parquet footers
+        default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = max(-(-rows // ROWS_PER_PARTITION), min(default, -(-rows // MIN_ROWS_PER_PARTITION)), 1)
+    ranged = src.repartitionByRange(n, *_cols(keys)).sortWithinPartitions(*_cols(keys))
+    tagged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    return materialize(tagged, "row-index")
 
 
 def _attach(tagged: DataFrame, stats: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     keys = [*group_cols, "_pid"]
-    # ungrouped: one row per partition, bounded by construction; grouped: count it
-    small = (not group_cols) or stats.count() <= BROADCAST_MAX_ROWS
-    right = F.broadcast(stats) if small else stats
-    renamed = right.select(*[F.col(k).alias(f"_r{k}") for k in keys],
+    renamed = stats.select(*[F.col(k).alias(f"_r{k}") for k in keys],
                            *[c for c in stats.columns if c not in keys])
     cond = None
     for k in keys:

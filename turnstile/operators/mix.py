@@ -12,12 +12,13 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .index import BROADCAST_MAX_ROWS, with_row_index
+from .index import with_row_index
 
 
 class SliceSyntaxError(ValueError):
@@ -59,6 +60,13 @@ def _bound_col(value: Column, percent: Column, n: Column, default: Column) -> Co
     return F.greatest(F.lit(0).cast("long"), F.least(v, n))
 
 
+def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys where null is a group like any other."""
+    renamed = right.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_j_{k}" for k in keys])
+
+
 def slice_rows(df: DataFrame, spec: SliceSpec | str | None, order_cols: Sequence[str],
                group_cols: Sequence[str] = (), per_group: Mapping[object, SliceSpec | str] | None = None) -> DataFrame:
     """MIX1: rows ``[start, stop)`` of each group in ``order_cols`` order.
@@ -90,14 +98,14 @@ def slice_rows(df: DataFrame, spec: SliceSpec | str | None, order_cols: Sequence
         specs = spark.createDataFrame(rows, T.StructType([
             T.StructField(group_cols[0], gtype), T.StructField("_a", T.DoubleType()),
             T.StructField("_b", T.DoubleType()), T.StructField("_pct", T.BooleanType())]))
-        df = df.join(F.broadcast(specs.select(group_cols[0])), group_cols[0], "left_semi")
+        df = _join_groups(df, specs.select(group_cols[0]), group_cols, "left_semi")
     else:
         specs = None
     keys = [*group_cols, *order_cols]
     idx = with_row_index(df.select(*keys), order_cols, group_cols, name="_i")
     counts = idx.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     if specs is not None:
-        counts = counts.join(F.broadcast(specs), group_cols[0])
+        counts = _join_groups(counts, specs, group_cols)
     else:
         counts = (counts.withColumn("_a", F.lit(None if spec.start is None else float(spec.start)).cast("double"))
                   .withColumn("_b", F.lit(None if spec.stop is None else float(spec.stop)).cast("double"))
@@ -105,16 +113,11 @@ def slice_rows(df: DataFrame, spec: SliceSpec | str | None, order_cols: Sequence
     n = F.col("_n")
     bounds = counts.select(*group_cols, _bound_col(F.col("_a"), F.col("_pct"), n, F.lit(0)).alias("_lo"),
                            _bound_col(F.col("_b"), F.col("_pct"), n, n).alias("_hi"))
-    # one row per group: bounded on the driver for a recipe or a single group, else counted
-    known = len(per_group) if per_group is not None else (1 if constant_group else None)
-    small = (known if known is not None else bounds.count()) <= BROADCAST_MAX_ROWS
-    bounds = F.broadcast(bounds) if small else bounds
-    kept = (idx.join(bounds, list(group_cols), "inner")
+    kept = (_join_groups(idx, bounds, group_cols)
             .where((F.col("_i") >= F.col("_lo")) & (F.col("_i") < F.col("_hi"))))
     order = F.struct(*[F.col(c) for c in order_cols])
     cut = kept.groupBy(*group_cols).agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
-    cut = F.broadcast(cut) if small else cut
-    out = (df.withColumn("_ord", order).join(cut, list(group_cols), "inner")
+    out = (_join_groups(df.withColumn("_ord", order), cut, group_cols)
            .where((F.col("_ord") >= F.col("_first")) & (F.col("_ord") <= F.col("_last")))
            .drop("_ord", "_first", "_last"))
     return out.drop("_g") if constant_group else out
@@ -128,8 +131,10 @@ def concat_sources(dfs: Sequence[DataFrame]) -> DataFrame:
 
 
 def shuffle_key(key_cols: Sequence[str], seed: int = 42, epoch: Column | None = None) -> Column:
-    parts = [F.lit(seed)] + ([epoch] if epoch is not None else []) + [F.col(c) for c in key_cols]
-    return F.xxhash64(*parts)
+    """Seeded 60-bit key of a row: the first 15 hex digits of the MD5 of ``seed:[epoch:]key:...`` (null is empty)."""
+    parts = [F.lit(str(seed))] + ([epoch.cast("string")] if epoch is not None else [])
+    parts += [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
 def deterministic_shuffle(df: DataFrame, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
@@ -147,15 +152,12 @@ def holdout_flag(key_cols: Sequence[str], fraction: float, seed: int = 42) -> Co
 
 
 def split_boundaries(n: int, weights: Sequence[float]) -> list[int]:
-    """MIX13: contiguous split boundaries from weights (e.g. ``995,5,0``), rounded
-    to the closest row and corrected so the last boundary equals ``n``."""
-    total = float(sum(weights))
-    fracs = [w / total for w in weights]
-    idx = [0]
-    for f in fracs:
-        idx.append(idx[-1] + int(round(f * float(n))))
-    diff = idx[-1] - n
-    return [idx[0]] + [b - diff for b in idx[1:]]
+    """MIX13: where contiguous parts begin and end: cumulative sizes, each part's
+    share of ``n`` rounded half to even; the last boundary is ``n``, and what
+    rounding left over or took too much moves all the others with it."""
+    sizes = [round(n * (w / sum(weights))) for w in weights]
+    surplus = sum(sizes) - n
+    return [0, *(end - surplus for end in accumulate(sizes))]
 
 
 def _boundary_keys(df: DataFrame, order_cols: Sequence[str], starts: Sequence[int]) -> list:

@@ -9,7 +9,7 @@ tokens in a bounded ``groupBy(shard, chunk)``.
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import at
 from ..functions.tokenize import DEFAULT_TOKENIZER, RegexTokenizer, optimal_id_type
-from .index import BROADCAST_MAX_ROWS, with_prefix_sum, with_row_index
+from .index import with_prefix_sum, with_row_index
 from .quality import document_status
 
 
@@ -93,7 +93,6 @@ def stream_pack(docs: DataFrame, text_col: str, id_col: str, seq_len: int,
     narrow = base.select("_shard", "_id", (tokenizer.count(F.col("_text")) + F.lit(2)).alias("_n"))
     offs = with_prefix_sum(narrow, "_n", ["_id"], ["_shard"], name="_start")
     totals = offs.groupBy("_shard").agg(F.floor(F.sum("_n") / F.lit(width)).alias("_chunks"))
-    totals = F.broadcast(totals) if totals.count() <= BROADCAST_MAX_ROWS else totals
     # one row per document that reaches a full chunk: its first and last chunk
     docinfo = (offs.join(totals, "_shard")
                .withColumn("_c0", F.floor(F.col("_start") / width))
@@ -167,9 +166,6 @@ def stream_pack_ranks(docs: DataFrame, text_col: str, id_col: str, seq_len: int,
 
 # --------------------------------------------------------------------------- TOK5 whole-sample packing
 
-MAX_PACK_GROUP_ROWS = 20_000
-
-
 def _best_fit_decreasing(ids, lengths, capacity):
     import bisect
     order = sorted(range(len(ids)), key=lambda i: (-lengths[i], ids[i]))
@@ -190,25 +186,22 @@ def _best_fit_decreasing(ids, lengths, capacity):
 
 
 def sample_pack(df: DataFrame, id_col: str, len_col: str, capacity: int,
-                over_long: str = "flag", group_rows: int = MAX_PACK_GROUP_ROWS) -> DataFrame:
+                shard: Column, over_long: str = "flag") -> DataFrame:
     """TOK5: whole samples into bins of ``capacity`` tokens (best-fit decreasing).
 
-    Only ``(id, length)`` reaches Python.  Rows are hash-bucketed into groups of
-    about ``group_rows`` so no group grows with the data (larger groups pack a
-    little tighter, smaller ones use less memory per task); every sample lands
+    Only ``(id, length)`` reaches Python.  ``shard`` names the group a sample is
+    packed in (a data shard; the caller chooses how many there are); every sample lands
     in exactly one bin and no bin exceeds ``capacity``.  Best-fit (tightest
     remaining bin, found by binary search) is used instead of first-fit; the
     contract is the same.  Samples longer than ``capacity`` are flagged
     (``bin`` null) or, with ``over_long='truncate'``, packed as ``capacity``
     tokens.
     """
-    n = df.count()
-    groups = max(1, math.ceil(n / group_rows))
     length = F.col(len_col).cast("long")
     if over_long == "truncate":
         length = F.least(length, F.lit(capacity))
     base = df.select(F.col(id_col).cast("long").alias("id"), length.alias("n"),
-                     F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).cast("int").alias("group"))
+                     shard.cast("int").alias("group"))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()),
                            T.StructField("group", T.IntegerType()), T.StructField("bin", T.LongType())])
 
@@ -227,7 +220,7 @@ def sample_pack(df: DataFrame, id_col: str, len_col: str, capacity: int,
 # --------------------------------------------------------------------------- TOK7/TOK8 padding
 
 def pad_fixed(ids: Column, length: int, pad_id: int = 0) -> Column:
-    """TOK8: right-pad (after truncating) to exactly ``length``."""
+    """TOK8: right-pad (after truncating) to exactly ``length``; callers flag the longer rows (``size(ids) > length``)."""
     cut = F.slice(ids, 1, length)
     return F.concat(cut, F.array_repeat(F.lit(pad_id), F.lit(length) - F.size(cut)))
 
@@ -252,20 +245,25 @@ def pad_batches(df: DataFrame, ids_col: str, order_cols: Sequence[str], batch_si
 
 
 def leak_batches(records: DataFrame, order_cols: Sequence[str], batch_size: int, pad_id: int = 0,
-                 max_bad_tokens: int = 4) -> DataFrame:
+                 max_bad_tokens: int | None = None) -> DataFrame:
     """TOK7 for leak-correction records: batch padding plus fixed-width bad-token lists.
 
-    ``bad_token_ids`` keeps at most ``max_bad_tokens`` ids padded with 0 and a
-    float ``bad_mask``; a missing or zero good id becomes -100 (ignored).
+    ``bad_token_ids`` is padded with 0 to the longest list of the batch (or cut
+    and padded to ``max_bad_tokens``) with a float ``bad_mask``; a missing or zero good id becomes -100 (ignored).
     """
     padded = pad_batches(records, "input_ids", order_cols, batch_size, pad_id)
-    bad = F.slice("bad_token_ids", 1, max_bad_tokens)
-    missing = F.lit(max_bad_tokens) - F.size(bad)
+    if max_bad_tokens is None:
+        bad = F.col("bad_token_ids")
+        width = F.max(F.size("bad_token_ids")).over(Window.partitionBy("batch"))
+    else:
+        bad, width = F.slice("bad_token_ids", 1, max_bad_tokens), F.lit(max_bad_tokens)
+    padded = padded.withColumn("_width", width)
+    missing = F.col("_width") - F.size(bad)
     good = F.when(F.coalesce(F.col("good_token_id"), F.lit(0)) != 0, F.col("good_token_id")).otherwise(F.lit(-100))
     return (padded.withColumn("bad_mask", F.concat(F.array_repeat(F.lit(1.0), F.size(bad)),
                                                    F.array_repeat(F.lit(0.0), missing)))
             .withColumn("bad_token_ids", F.concat(bad, F.array_repeat(F.lit(0), missing)))
-            .withColumn("good_token_id", good.cast("long")))
+            .withColumn("good_token_id", good.cast("long")).drop("_width"))
 
 
 # --------------------------------------------------------------------------- TOK9-11 planning
@@ -340,8 +338,10 @@ def vocab_count(spark, path: str) -> DataFrame:
 
 def completeness(spark, directory: str, required: Sequence[str]) -> DataFrame:
     """TOK14: required artifact names left-joined with the directory listing (path, size)."""
-    listing = (spark.read.format("binaryFile").load(directory).select("path", "length")
-               .withColumn("name", at(F.split("path", "/"), -1)))
+    # a table may be a folder of files: a name's size is that of all files below it
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path", "length")
+    below = F.regexp_replace("path", "^.*?" + re.escape("/" + directory.rstrip("/").rpartition("/")[2] + "/"), "")
+    listing = files.withColumn("name", at(F.split(below, "/"), 1)).groupBy("name").agg(F.sum("length").alias("length"))
     need = spark.createDataFrame([(r,) for r in required], "name string")
     return (need.join(listing, "name", "left")
             .select("name", F.col("length").alias("size"), F.col("length").isNotNull().alias("present")))

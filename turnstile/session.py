@@ -10,6 +10,7 @@ setting is absent (local runs and tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -48,7 +49,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can
     reach (HDFS/S3/...).  We read it from the session; only when it is missing
-    (local mode, tests) do we fall back to a fresh folder of our own.
+    and the master is local (tests) do we fall back to a fresh folder of our
+    own.  On a cluster a machine-local folder would lose rows, so there a
+    missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder all executors share (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="turnstile-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,9 @@ def read_judge_document(spark: SparkSession, path: str) -> DataFrame:
     missing or malformed documents contribute no rows."""
     try:
         doc = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    except Exception:  # noqa: BLE001 - a missing document is an empty result
+    except AnalysisException as exc:            # any other failure to read is the caller's to see
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "example string")
     if "examples" not in doc.columns:
         return spark.createDataFrame([], "example string")
@@ -80,13 +83,15 @@ def question_range(df: DataFrame, begin: int | None, end: int | None, order_col:
     from ..operators.index import with_row_index
     if begin is None and end is None:
         return df
-    idx = with_row_index(df, [order_col], name="_q")
+    idx = with_row_index(df.select(order_col), [order_col], name="_q")
     cond = F.lit(True)
     if begin is not None:
         cond = cond & (F.col("_q") >= begin)
     if end is not None:
         cond = cond & (F.col("_q") < end)
-    return idx.where(cond).drop("_q")
+    # positions are a contiguous range, so the questions are those between its first and last key
+    low, high = idx.where(cond).agg(F.min(order_col), F.max(order_col)).first()
+    return df.where(F.col(order_col).between(F.lit(low), F.lit(high))) if low is not None else df.limit(0)
 
 
 def dataset_list(text: str, is_json: bool = False) -> list[str]:

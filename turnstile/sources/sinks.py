@@ -4,73 +4,97 @@ checked materialisation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
-def _sharded(df: DataFrame, num_shards: int | None) -> DataFrame:
-    return df.repartition(num_shards) if num_shards else df
+def _sharded(df: DataFrame, num_shards: int | None, order_by: Sequence[str | Column] = ()) -> DataFrame:
+    """``num_shards`` files; with ``order_by`` they are consecutive ranges of that order, each sorted."""
+    if not num_shards:
+        return df
+    if order_by:
+        return df.repartitionByRange(num_shards, *order_by).sortWithinPartitions(*order_by)
+    return df.repartition(num_shards)
 
 
 def write_jsonl(df: DataFrame, path: str, num_shards: int | None = None, ascii_only: bool = False,
-                mode: str = "overwrite") -> None:
+                mode: str = "errorifexists", order_by: Sequence[str | Column] = ()) -> None:
     """SNK1/SNK2/SNK5/SNK10: JSON lines; ``ascii_only`` escapes non-ASCII as ``\\uXXXX``.
 
     ``num_shards`` sets the file count; without it the partitioning is kept
-    (no single-file funnel for large outputs).
+    (no single-file funnel for large outputs).  A shard count moves rows; give
+    ``order_by`` (the seeded key of a mix) to keep an order across the shards.
     """
-    w = _sharded(df, num_shards).write.mode(mode).option("ignoreNullFields", False)
+    w = _sharded(df, num_shards, order_by).write.mode(mode).option("ignoreNullFields", False)
     if ascii_only:
         w = w.option("writeNonAsciiCharacterAsCodePoint", True)
     w.json(path)
 
 
-def write_parquet(df: DataFrame, path: str, num_shards: int | None = None, mode: str = "overwrite",
-                  partition_by: list[str] | None = None) -> None:
-    """SNK3/SNK8: columnar save with an optional shard count."""
-    w = _sharded(df, num_shards).write.mode(mode)
+def write_parquet(df: DataFrame, path: str, num_shards: int | None = None, mode: str = "errorifexists",
+                  partition_by: list[str] | None = None, order_by: Sequence[str | Column] = ()) -> None:
+    """SNK3/SNK8: columnar save with an optional shard count (``order_by`` as in ``write_jsonl``)."""
+    w = _sharded(df, num_shards, order_by).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
 
 
-def write_summary_csv(df: DataFrame, path: str) -> None:
-    """SNK4: small summary tables as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
-
-ENVELOPE_MAX_EXAMPLES = 1_000_000
+def write_summary_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """SNK4: small summary tables as one CSV file with a header (only the result itself meets in one task)."""
+    df.repartition(1).write.mode(mode).option("header", True).csv(path)
 
 
-def judge_envelope(examples: DataFrame, model_name: str, max_examples: int = ENVELOPE_MAX_EXAMPLES) -> DataFrame:
-    """SNK6: one-row ``{metadata, models, examples}`` envelope.
+def judge_envelope(examples: DataFrame, model_name: str, order_by: Sequence[str | Column]) -> DataFrame:
+    """SNK6: the ``{metadata, models, examples}`` document as the lines of a text, in order.
 
-    The format is a single document, so every example ends up in one row and
-    one task; the size is checked first and larger result sets must be written
-    as a table (``write_parquet``/``write_jsonl``) instead.
+    The first and the last line hold the envelope, every other line an
+    example, so a document of any size is written and sorted in parallel.
     """
-    n = examples.count()
-    if n > max_examples:
-        raise ValueError(f"{n} examples exceed the single-document envelope limit ({max_examples}); "
-                         "write them as a table instead")
-    return examples.agg(F.collect_list(F.struct(*examples.columns)).alias("examples")).select(
-        F.struct(F.lit(model_name).alias("source_path"),
-                 F.array().cast("array<string>").alias("custom_fields_schema")).alias("metadata"),
-        F.array(F.struct(F.lit(model_name).alias("name"))).alias("models"),
-        "examples")
-
-
-def write_with_errors(df: DataFrame, path: str, error_col: str = "error") -> None:
-    """SNK7: results and error rows side by side (``path/results``, ``path/errors``)."""
-    df.where(F.col(error_col).isNull()).drop(error_col).write.mode("overwrite").parquet(f"{path}/results")
-    df.where(F.col(error_col).isNotNull()).write.mode("overwrite").parquet(f"{path}/errors")
+    head = examples.sparkSession.createDataFrame([(model_name,)], "m string").select(F.concat(
+        F.lit('{"metadata": '), F.to_json(F.struct(F.col("m").alias("source_path"),
+                                                   F.array().cast("array<string>").alias("custom_fields_schema"))),
+        F.lit(', "models": '), F.to_json(F.array(F.struct(F.col("m").alias("name")))), F.lit(', "examples": [')).alias("value"))
+    n_keys = len(order_by)
+    keys = [f"k{i}" for i in range(n_keys)]
+    lines = examples.select(*[(F.col(k) if isinstance(k, str) else k).alias(a) for k, a in zip(order_by, keys)],
+                            F.to_json(F.struct(*examples.columns), {"ignoreNullFields": "false"}).alias("value"))
+    # separators lead, so that only the first example has none
+    first = lines.agg(F.min(F.struct(*keys))).first()[0]          # one key; ``order_by`` must be unique
+    if first is not None:
+        leads = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, first)])
+        lines = lines.withColumn("value", F.when(leads, F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))))
+    nothing = [F.lit(None).cast(lines.schema[k].dataType).alias(k) for k in keys]
+    end = examples.sparkSession.createDataFrame([("]}",)], "value string")
+    parts = [p.select(F.lit(i).alias("part"), *ks, "value") for i, (p, ks) in enumerate(
+        ((head, nothing), (lines, keys), (end, nothing)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("part", *keys).select("value")
+
+
+def write_with_errors(df: DataFrame, path: str, error_col: str = "error", mode: str = "errorifexists") -> None:
+    """SNK7: results and error rows side by side (``path/results``, ``path/errors``).
+
+    The rows are computed once and split from what was written, so a model
+    that answers differently each time can't put a row into both or neither.
+    """
+    rows = materialize(df, "with-errors")
+    rows.where(F.col(error_col).isNull()).drop(error_col).write.mode(mode).parquet(f"{path}/results")
+    rows.where(F.col(error_col).isNotNull()).write.mode(mode).parquet(f"{path}/errors")
 
 
 def newest_mtime(spark: SparkSession, path: str):
     """Latest modification time of the files under ``path`` (None when absent)."""
     try:
         listing = spark.read.format("binaryFile").load(path).select("modificationTime")
-    except Exception:  # noqa: BLE001 - absent path
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     row = listing.agg(F.max("modificationTime").alias("m")).first()
     return row["m"] if row else None
