@@ -11,17 +11,25 @@ from turnstile.plans import catalog, recipes
 def test_conversation_mix_isolates_bad_sources(spark):
     recipe = recipes.Recipe(catalog.SFT_RECIPE.sources + [recipes.SourceSpec("bad-split", "train[10%]", "messages",
                                                                               path="messages")],
-                            order_cols=("conv_id",))
+                            order_cols=("conv_id",), strict=False)
     mixed, status = recipes.build_conversation_mix(spark, recipe, catalog._layout_reader(SF_SMALL))
     st = {r["source"]: r["status"] for r in status.collect()}
     assert st["chat-missing-column"] == "error" and st["bad-split"] == "error" and st["chat-messages"] == "ok"
     assert set(r["source"] for r in mixed.select("source").distinct().collect()) == {
         "chat-messages", "chat-original", "chat-sharegpt"}
     import pytest
-    with pytest.raises(Exception):
-        recipes.build_conversation_mix(spark, recipes.Recipe(recipe.sources, order_cols=("conv_id",), strict=True),
+    with pytest.raises(Exception):          # strict is the default
+        recipes.build_conversation_mix(spark, recipes.Recipe(recipe.sources, order_cols=("conv_id",)),
                                        catalog._layout_reader(SF_SMALL))
 
+    def failing(spark, name):
+        raw = catalog._layout_reader(SF_SMALL)(spark, "messages")
+        broken = F.udf(lambda x: 1 // 0, "long")
+        return raw.withColumn("conv_id", broken("conv_id"))
+
+    with pytest.raises(Exception):          # a failed job is no bad source, even if bad sources are set aside
+        recipes.build_conversation_mix(spark, recipe, failing)
+
 
 def test_unshuffled_mix_keeps_order(spark):
     recipe = recipes.Recipe([recipes.SourceSpec("m", "train[:50%]", "messages", path="messages")],

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ class Recipe:
     seed: int = 42
     shuffle: bool = True
     order_cols: Sequence[str] = ("id",)
-    strict: bool = False
+    strict: bool = True                 # False: a bad source becomes a status row instead of an error
     extra: dict = field(default_factory=dict)
 
 
@@ -63,10 +64,10 @@ DOCUMENT_SPLITS = ["train", "train[:25%]", "train[:50%]", "train[:10%]", "train[
                    "train[:20%]", "train[10%]"]
 
 
-def document_recipe(n_sources: int = 20) -> Recipe:
-    """Recipe over the driver's ``documents`` sources ``src0..src{n-1}``."""
-    specs = [SourceSpec(f"src{i}", DOCUMENT_SPLITS[i % len(DOCUMENT_SPLITS)]) for i in range(n_sources)]
-    return Recipe(specs, order_cols=("doc_id",))
+def document_recipe(names: Sequence[str] = tuple(f"src{i}" for i in range(20))) -> Recipe:
+    """Recipe over ``documents`` sources; one of the patterns is malformed, so it isn't strict."""
+    specs = [SourceSpec(name, DOCUMENT_SPLITS[i % len(DOCUMENT_SPLITS)]) for i, name in enumerate(names)]
+    return Recipe(specs, order_cols=("doc_id",), strict=False)
 
 
 def build_document_mix(spark: SparkSession, sf_dir: str, recipe: Recipe) -> tuple[DataFrame, DataFrame]:
@@ -82,6 +83,10 @@ def build_document_mix(spark: SparkSession, sf_dir: str, recipe: Recipe) -> tupl
             if recipe.strict:
                 raise
             status.append((s.name, "error", str(exc)))
+    named = {s.name for s in recipe.sources}
+    for row in docs.groupBy("source").count().collect():           # one row per source
+        if row["source"] not in named:
+            status.append((row["source"], "not in the recipe", f"{row['count']} rows left out"))
     if not per_group:
         raise ValueError("ERROR: No datasets were successfully processed.")
     mixed = mix.slice_rows(docs, None, list(recipe.order_cols), ["source"], per_group=per_group)
@@ -109,8 +114,8 @@ def build_conversation_mix(spark: SparkSession, recipe: Recipe,
             conv = turns.rebuild_clean_schema(conv, "conversations", keep=list(recipe.order_cols))
             parts.append(conv.withColumn("source", F.lit(s.name)))
             status.append((s.name, "ok", s.split))
-        except Exception as exc:  # noqa: BLE001 - per-source isolation (MIX8)
-            if recipe.strict:
+        except (turns.SourceError, SliceSyntaxError, AnalysisException) as exc:      # MIX8; a failed job is no bad source
+            if recipe.strict or isinstance(exc, AnalysisException) and exc.getCondition() != "PATH_NOT_FOUND":
                 raise
             status.append((s.name, "error", str(exc).splitlines()[0][:500]))
     if not parts:
