@@ -33,7 +33,7 @@ from ..session import materialize
 from . import words as W
 
 BUCKETS = 1 << 13
-EVIDENCE, MIN_POSTERIOR = 60.0, 0.6
+EVIDENCE, MIN_POSTERIOR = 60.0, 0.35
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
 _DIGITS_AND_SPACE = 0x20
 
