@@ -26,7 +26,7 @@ MIX_WEIGHTS, MIX_EPOCHS, SHARDS = (1, 2, 3), 3, 24
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID with the declared language and the source as host; rejected documents go."""
     model = L.train_text(docs)
-    found = L.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, F.col("in_text"),
+    found = L.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, "in_text",
                        F.col("in_source"), F.col("in_lang"))
     return found.where("accepted").select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
 

@@ -248,7 +248,9 @@ def test_language_held_out_accuracy(docs):
     model = L.train_text(train)
     found = L.identify(test, model, F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("string")).collect()
     assert np.mean([r.language == r.lang for r in found]) > 0.95
-    assert all(r.accepted for r in identify(docs, L.train_text(docs)).collect())
+    by_name = L.identify(docs, L.train_text(docs), "text", F.col("source"), F.col("lang"))
+    assert all(r.accepted for r in by_name.collect())
+    assert sorted(by_name.collect()) == sorted(identify(docs, L.train_text(docs)).collect())
 
 
 def test_language_evidence_decides_short_texts(spark):

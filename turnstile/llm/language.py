@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,12 +129,17 @@ def _by(counts: DataFrame, key: str, languages: Sequence[str]) -> DataFrame:
             .agg(sums.alias(f"_n_{key}")))
 
 
-def identify(rows: DataFrame, model: TextModel, text: Column, host: Column, declared: Column,
+def identify(rows: DataFrame, model: TextModel, text: Column | str, host: Column, declared: Column,
              suffix: Column | None = None, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """``rows`` with language, posterior and accepted (these names replace columns of the input)."""
+    """``rows`` with language, posterior and accepted (these names replace columns of the input).
+
+    ``text`` is a column of ``rows`` by name (then it is sent to the workers once) or an expression.
+    """
     own = [c for c in rows.columns if c not in ("language", "posterior", "accepted")]
     # the working columns go beside the row, so any name is free for the input
-    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), text.alias("_text"),
+    place = own.index(text) if isinstance(text, str) else None
+    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),
+                        (F.col(f"`{text}`") if place is not None else text).alias("_text"),
                         F.lower(declared).alias("_declared"), (suffix if suffix is not None else F.lit(None).cast("string")).alias("_suffix"),
                         host.alias("_host"), domain_of(host).alias("_domain"))
     spark = rows.sparkSession
@@ -154,16 +160,17 @@ def identify(rows: DataFrame, model: TextModel, text: Column, host: Column, decl
         table = _by(counts, key, model.languages)
         joined = joined.join(table, F.col(f"_{key}") == F.col(f"_k_{key}"), "left").drop(f"_k_{key}")
     names = ("declared", "suffix", "host", "domain")
-    packed = joined.select("_row", "_text", *[f"_n_{k}" for k in names])
+    packed = joined.select("_row", *[f"_n_{k}" for k in names], *(["_text"] if place is None else []))
     schema = packed.schema["_row"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sep, m = W.space_separators(), TextModel(*shared.value)
         whole = np.array(total, float)
         for batch in batches:
-            for lo, hi, words in W.chunks(batch.column(1), sep, True):
+            texts = batch.column(5) if place is None else pc.struct_field(batch.column(0), [place])
+            for lo, hi, words in W.chunks(texts, sep, True):
                 logs, n = m.likelihoods(words)
-                posterior = _fuse(logs, n, whole, [_counts(batch.column(2 + i).slice(lo, hi - lo), n_languages)
+                posterior = _fuse(logs, n, whole, [_counts(batch.column(1 + i).slice(lo, hi - lo), n_languages)
                                                    for i in range(4)])
                 best = posterior.argmax(1)
                 chance = np.where(n > 0, posterior.max(1), 0.0)
