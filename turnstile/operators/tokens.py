@@ -1,10 +1,9 @@
 """Tokens, sequences, packing and step planning (TOK1-14).
 
-Stream packing (TOK4) never materialises a token stream per shard: it
-computes each document's exclusive token offset with the distributed prefix
-sum (``index.with_prefix_sum``), explodes every document into the chunk
-*spans* it overlaps, and assembles each chunk from at most ``seq_len + 1``
-tokens in a bounded ``groupBy(shard, chunk)``.
+Stream packing (TOK4) orders and tokenizes the texts in one pass that also
+keeps running token counts, cuts every document's ids at the window edges, and
+assembles each window from at most ``seq_len + 1`` tokens in a bounded
+``groupBy(shard, chunk)``.
 """
 
 from __future__ import annotations
@@ -12,14 +11,17 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import at
 from ..functions.tokenize import DEFAULT_TOKENIZER, RegexTokenizer, optimal_id_type
-from .index import with_prefix_sum, with_row_index
+from ..session import materialize
+from .index import with_row_index
 from .quality import document_status
 
 
@@ -79,46 +81,103 @@ def store_stats(store: DataFrame, vocab_size: int = DEFAULT_TOKENIZER.vocab_size
 
 # --------------------------------------------------------------------------- TOK4 stream packing
 
+def _running_starts(batches):
+    """Add the tokens and rows of the partition that come before each row (rows arrive in order)."""
+    from pyspark import TaskContext
+
+    part, tokens, rows = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.column("_n").to_numpy()
+        before = tokens + np.cumsum(n) - n
+        columns = [*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(before),
+                   pa.array(rows + np.arange(len(n)))]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_part", "_before", "_row"])
+        tokens, rows = tokens + int(n.sum()), rows + len(n)
+
+
+def _ordered_tokens(base: DataFrame, tokenizer: RegexTokenizer) -> DataFrame:
+    """``_shard, _id, _full, _n`` in (shard, id) order with ``_start`` (tokens before) and ``_i`` (rows before).
+
+    Texts are range-partitioned once, tokenized once behind that exchange, and
+    written with the running sums of their partition; the sums of the
+    partitions before (one row for each partition) are added on reading.
+    """
+    spark = base.sparkSession
+    ids = tokenizer.ids(F.coalesce(F.col("_text"), F.lit("")))
+    ordered = (base.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_shard", "_id")
+               .sortWithinPartitions("_shard", "_id")
+               .select("_shard", "_id", F.concat(F.array(F.lit(tokenizer.bos_id)), ids, F.array(F.lit(tokenizer.eos_id))).alias("_full"))
+               .withColumn("_n", F.size("_full").cast("long")))
+    schema = T.StructType([*ordered.schema.fields, T.StructField("_part", T.IntegerType()),
+                           T.StructField("_before", T.LongType()), T.StructField("_row", T.LongType())])
+    stored = materialize(ordered.mapInArrow(_running_starts, schema), "ordered-tokens")
+    parts = stored.groupBy("_part").agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("r"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("_t"),
+                           F.coalesce(F.sum("r").over(earlier), F.lit(0)).alias("_r"))
+    return (stored.join(offsets, "_part")
+            .select("_shard", "_id", "_full", "_n", (F.col("_t") + F.col("_before")).alias("_start"),
+                    (F.col("_r") + F.col("_row")).alias("_i")))
+
+
 def stream_pack(docs: DataFrame, text_col: str, id_col: str, seq_len: int,
                 shard_col: str | None = None, tokenizer: RegexTokenizer = DEFAULT_TOKENIZER) -> DataFrame:
     """TOK4: BOS+EOS around each text, concatenate per shard in ``id_col`` order,
     cut into non-overlapping chunks of ``seq_len + 1``; ``input = x[:-1]``,
-    ``label = x[1:]``; the remainder at the end of a shard is dropped.
+    ``label = x[1:]``; the remainder at the end of a shard is dropped (see
+    ``dropped_tokens``).  A null text is an empty one.
 
     Output: ``shard, chunk, input, label, doc_ids``.
     """
-    width = seq_len + 1
     shard = F.col(shard_col) if shard_col else F.lit(0)
     base = docs.select(shard.alias("_shard"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    narrow = base.select("_shard", "_id", (tokenizer.count(F.col("_text")) + F.lit(2)).alias("_n"))
-    offs = with_prefix_sum(narrow, "_n", ["_id"], ["_shard"], name="_start")
-    totals = offs.groupBy("_shard").agg(F.floor(F.sum("_n") / F.lit(width)).alias("_chunks"))
-    # one row per document that reaches a full chunk: its first and last chunk
-    docinfo = (offs.join(totals, "_shard")
-               .withColumn("_c0", F.floor(F.col("_start") / width))
-               .withColumn("_c1", F.least(F.floor((F.col("_start") + F.col("_n") - 1) / width), F.col("_chunks") - 1))
-               .where(F.col("_c0") <= F.col("_c1"))
-               .select("_shard", "_id", "_start", "_n", "_c0", "_c1"))
-    return _pack_spans(base, docinfo, seq_len, tokenizer, ["_shard", "_id"])
-
-
-def _pack_spans(base: DataFrame, docinfo: DataFrame, seq_len: int, tokenizer: RegexTokenizer,
-                join_cols: list[str]) -> DataFrame:
-    """Tokenize each document once, cut its per-window slices, assemble the windows."""
+    return _cut_windows(_ordered_tokens(base, tokenizer), seq_len)
+
+
+def stream_pack_ranks(docs: DataFrame, text_col: str, id_col: str, seq_len: int, world_size: int,
+                      tokenizer: RegexTokenizer = DEFAULT_TOKENIZER) -> DataFrame:
+    """TOK4 + MIX16 fused: contiguous rank shards of ``id_col`` order, each packed
+    into windows of ``seq_len + 1``; the shard follows from the row number.
+    Same output as ``shard_contiguous`` followed by ``stream_pack(..., shard_col="shard")``.
+    """
+    base = docs.select(F.lit(0).alias("_shard"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    ordered = _ordered_tokens(base, tokenizer)
+    div, mod = divmod(ordered.count(), world_size)
+    big, i = (div + 1) * mod, F.col("_i")
+    shard = F.when(i < big, F.floor(i / F.lit(div + 1))).otherwise(F.lit(mod) + F.floor((i - F.lit(big)) / F.lit(max(div, 1))))
+    return _cut_windows(ordered.withColumn("_shard", shard.cast("int")), seq_len)
+
+
+def _shard_starts(ordered: DataFrame, width: int) -> DataFrame:
+    """First token and number of whole windows of every shard (shards are runs of the order)."""
+    return ordered.groupBy("_shard").agg(F.min("_start").alias("_s0"), F.floor(F.sum("_n") / F.lit(width)).alias("_chunks"))
+
+
+def dropped_tokens(docs: DataFrame, text_col: str, id_col: str, seq_len: int, shard_col: str | None = None,
+                   tokenizer: RegexTokenizer = DEFAULT_TOKENIZER) -> DataFrame:
+    """Tokens at the end of each shard that fill no window: ``shard, dropped``."""
+    shard = F.col(shard_col) if shard_col else F.lit(0)
+    n = tokenizer.count(F.coalesce(F.col(text_col), F.lit(""))) + F.lit(2)
+    return (docs.select(shard.alias("shard"), n.alias("n")).groupBy("shard")
+            .agg(F.pmod(F.sum("n"), F.lit(seq_len + 1)).cast("long").alias("dropped")))
+
+
+def _cut_windows(ordered: DataFrame, seq_len: int) -> DataFrame:
+    """Cut each document's token array at the window edges and put the pieces of a window together."""
     width = seq_len + 1
-    full = F.concat(F.array(F.lit(tokenizer.bos_id)), tokenizer.ids(F.col("_text")), F.array(F.lit(tokenizer.eos_id)))
-    # tokenize each document once, cut the slice of every chunk it overlaps
-    # inside one projection, and explode only the slices (not the full array)
-    tokenized = (base.join(docinfo, join_cols)
-                 .select("_shard", "_id", "_start", "_c0", "_c1", full.alias("_full")))
+    starts = _shard_starts(ordered.select("_shard", "_start", "_n"), width).withColumnRenamed("_shard", "_s")
+    spans = (ordered.join(starts, F.col("_shard").eqNullSafe(F.col("_s")))
+             .withColumn("_start", F.col("_start") - F.col("_s0"))
+             .withColumn("_c0", F.floor(F.col("_start") / width))
+             .withColumn("_c1", F.least(F.floor((F.col("_start") + F.col("_n") - 1) / width), F.col("_chunks") - 1))
+             .where(F.col("_c0") <= F.col("_c1")))
 
     def piece(c):
         lo = F.greatest(F.col("_start"), c * width) - F.col("_start")
         hi = F.least(F.col("_start") + F.size("_full"), (c + 1) * width) - F.col("_start")
         return F.struct(c.alias("chunk"), F.slice("_full", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("_p"))
 
-    pieces = (tokenized.select("_shard", "_id", "_start",
-                               F.explode(F.transform(F.sequence("_c0", "_c1"), piece)).alias("_q"))
+    pieces = (spans.select("_shard", "_id", "_start", F.explode(F.transform(F.sequence("_c0", "_c1"), piece)).alias("_q"))
               .select("_shard", "_id", "_start", F.col("_q.chunk").alias("chunk"), F.col("_q._p").alias("_p")))
     packed = (pieces.groupBy("_shard", "chunk")
               .agg(F.array_sort(F.collect_list(F.struct("_start", "_id", "_p"))).alias("_ps"))
@@ -129,41 +188,6 @@ def _pack_spans(base: DataFrame, docinfo: DataFrame, seq_len: int, tokenizer: Re
                          F.slice("_x", 2, seq_len).alias("label"), "doc_ids")
 
 
-def stream_pack_ranks(docs: DataFrame, text_col: str, id_col: str, seq_len: int, world_size: int,
-                      tokenizer: RegexTokenizer = DEFAULT_TOKENIZER) -> DataFrame:
-    """TOK4 + MIX16 fused: contiguous rank shards of ``id_col`` order, each packed
-    into windows of ``seq_len + 1``.
-
-    One ungrouped pass of the distributed prefix sum yields both the row
-    number and the token offset of every document; the shard follows from the
-    row number by arithmetic and the offset inside the shard by subtracting
-    the shard's first offset (a ``world_size``-row table), so no second index
-    and no boundary lookup are needed.  Same output as ``shard_contiguous``
-    followed by ``stream_pack(..., shard_col="shard")``.
-    """
-    width = seq_len + 1
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    narrow = base.select("_id", (tokenizer.count(F.col("_text")) + F.lit(2)).alias("_n"), F.lit(1).alias("_one"))
-    pre = with_prefix_sum(narrow, ["_n", "_one"], ["_id"], name=["_gstart", "_i"])
-    n = pre.count()
-    div, mod = divmod(n, world_size)
-    big = (div + 1) * mod
-    i = F.col("_i")
-    shard = F.when(i < big, F.floor(i / F.lit(max(div + 1, 1)))).otherwise(
-        F.lit(mod) + F.floor((i - F.lit(big)) / F.lit(max(div, 1)))).cast("int")
-    ranked = pre.withColumn("_shard", shard)
-    # per shard: first global offset and total tokens (at most world_size rows)
-    shards = F.broadcast(ranked.groupBy("_shard").agg(
-        F.min("_gstart").alias("_s0"), F.floor(F.sum("_n") / F.lit(width)).alias("_chunks")))
-    docinfo = (ranked.join(shards, "_shard")
-               .withColumn("_start", F.col("_gstart") - F.col("_s0"))
-               .withColumn("_c0", F.floor(F.col("_start") / width))
-               .withColumn("_c1", F.least(F.floor((F.col("_start") + F.col("_n") - 1) / width), F.col("_chunks") - 1))
-               .where(F.col("_c0") <= F.col("_c1"))
-               .select("_shard", "_id", "_start", "_c0", "_c1"))
-    return _pack_spans(base, docinfo, seq_len, tokenizer, ["_id"])
-
-
 # --------------------------------------------------------------------------- TOK5 whole-sample packing
 
 def _best_fit_decreasing(ids, lengths, capacity):

@@ -800,6 +800,13 @@ def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("input").alias("input_len"), F.size("label").alias("label_len"))
 
 
+@register("stream_pack_dropped", f"""SELECT source AS shard, CAST(sum({_tok_count('text')} + 2) % {_SEQ + 1} AS BIGINT) AS dropped
+FROM documents GROUP BY source""")
+def stream_pack_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOK4: tokens at the end of each shard that fill no window (a shard for every source)."""
+    return tokens.dropped_tokens(load_table(spark, sf_dir, "documents"), "text", "doc_id", _SEQ, "source")
+
+
 _PACK_SHARDS, _PACK_BIN = 8, 8192
 
 
