@@ -40,7 +40,7 @@ from . import words as W
 BASE, BITS, PROBES, SLICES = 1.5, 12, 5, 4096
 MAX_LEVEL = 96
 MU = 50.0
-HOT_WORDS = 1 << 21                 # 12 bytes each: 25 MB
+HOT_WORDS = 1 << 19                 # 12 bytes each: 6 MB
 MAX_BROADCAST_BYTES = 512 << 20
 ADD = 0.1
 FLUSH_TOKENS = 1 << 21
