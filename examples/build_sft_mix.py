@@ -7,17 +7,24 @@ clean rebuild, seeded order) and writes ``{"conversations": [...]}`` lines.
 
 import sys
 
+from turnstile.operators import mix
 from turnstile.plans import catalog, recipes
-from turnstile.session import get_session
+from turnstile.session import get_session, scratch
 from turnstile.sources import sinks
 
 
 def main(sf_dir: str, out_dir: str, shards: int | None = None) -> None:
     spark = get_session()
-    mixed, status = recipes.build_conversation_mix(spark, catalog.SFT_RECIPE, catalog._layout_reader(sf_dir))
-    status.show(truncate=False)
-    sinks.write_jsonl(mixed.select("conversations"), f"{out_dir}/sft.jsonl", num_shards=shards)
-    sinks.write_summary_csv(status, f"{out_dir}/source_status")
+    with scratch(spark):
+        recipe = catalog.SFT_RECIPE
+        mixed, status = recipes.build_conversation_mix(spark, recipe, catalog._layout_reader(sf_dir))
+        status.show(truncate=False)
+        order = ["source", *recipe.order_cols]
+        key = mix.shuffle_key(order, recipe.seed)
+        if shards:          # consecutive ranges of the seeded order, so reading the shards in turn gives the mix
+            mixed = mixed.repartitionByRange(shards, key, *order).sortWithinPartitions(key, *order)
+        sinks.write_jsonl(mixed.select("conversations"), f"{out_dir}/sft.jsonl")
+        sinks.write_summary_csv(status, f"{out_dir}/source_status")
 
 
 if __name__ == "__main__":

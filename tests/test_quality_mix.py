@@ -122,3 +122,14 @@ def test_row_index_leaves_the_callers_cache(spark):
     index.with_row_index(df, ["id"]).count()
     assert df.storageLevel.useMemory
     df.unpersist()
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from turnstile.session import _scratch_root, scratch
+    with scratch(spark):
+        kept = index.with_row_index(spark.range(50), ["id"]).collect()
+        root = _scratch_root(spark).replace("file:", "").replace("//", "/")
+        assert len(kept) == 50 and os.listdir(root)
+    assert not os.path.exists(root)

@@ -64,7 +64,8 @@ def _flagged_union(datasets: Mapping[str, DataFrame], order_cols: Mapping[str, S
                    roles_to_train: Sequence[str]) -> DataFrame:
     flagged = []
     for name, df in datasets.items():
-        f = scan_flags(df, roles_to_train)
+        # an example table that was scanned flat (see ``flat_scan``) already has its flags
+        f = df if {"num_turns", "last_role", "not_trainable"} <= set(df.columns) else scan_flags(df, roles_to_train)
         order = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols[name])])
         flagged.append(f.select(F.lit(name).alias("dataset"), order.alias("_order"),
                                 "num_turns", "last_role", "not_trainable"))

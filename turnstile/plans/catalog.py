@@ -18,7 +18,7 @@ from ..functions.text import japanese_or_acceptable_class, sql_str
 from ..functions.tokenize import COUNTERS, DEFAULT_TOKENIZER, TOKEN_PATTERN, WHITESPACE_TOKEN_PATTERN
 from ..operators import judge, leak, metrics, mix, prefs, quality, render, tokens, turns
 from ..operators.index import with_row_index
-from ..sources.tables import conversations_nested, conversations_sharegpt, load_table, nest_turns
+from ..sources.tables import SHAREGPT_ROLE_NAMES, conversations_nested, conversations_sharegpt, load_table, nest_turns
 from . import recipes
 from . import sqlgen as S
 
@@ -269,11 +269,13 @@ allrows AS (
 
 
 def _scan_inputs(spark: SparkSession, sf_dir: str):
-    raw = conversations_nested(spark, sf_dir)
+    """The chat table in two layouts, scanned flat (no text, no nesting), and a table without messages."""
+    flat = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     datasets = {
-        "messages": raw.withColumnRenamed("conversations", "messages"),
-        "sharegpt": conversations_sharegpt(spark, sf_dir),
-        "documents": load_table(spark, sf_dir, "documents"),
+        "messages": quality.flat_scan(flat),
+        # the {from, value} layout has no role field: its last turns name no role
+        "sharegpt": quality.flat_scan(flat.withColumn("role", F.lit(None).cast("string"))),
+        "documents": load_table(spark, sf_dir, "documents").select("doc_id"),
     }
     order = {"messages": ["conv_id"], "sharegpt": ["conv_id"], "documents": ["doc_id"]}
     return datasets, order
@@ -713,7 +715,6 @@ def rendered_chars_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     Both counts are additive over ChatML pieces, so they are summed per turn on
     the flat table (partial aggregation; no conversation is assembled).
     """
-    from ..sources.tables import SHAREGPT_ROLE_NAMES
     m = turns.literal_map(SHAREGPT_ROLE_NAMES)
     flat = load_table(spark, sf_dir, "conversations")
     pieces = flat.select(render.chatml_piece(F.coalesce(m[F.col("role")], F.col("role")), F.col("text")).alias("text"))

@@ -13,6 +13,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -66,10 +67,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    """This application's own folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/turnstile-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique path under the shared checkpoint folder for materialised tables."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A unique path in the application's scratch folder for materialised tables."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; frames that read them can't be used afterwards.
+
+    Call it when the results of a job have been written (``scratch`` does so at the end of a block).
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Block that owns the scratch tables made in it."""
+    try:
+        yield
+    finally:
+        clear_scratch(spark)
 
 
 def materialize(df, name: str):
