@@ -365,6 +365,25 @@ def recipe_status(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("source", "status", F.coalesce("n", F.lit(0)).alias("n_rows")))
 
 
+_CATALOG = {name: recipes.catalog_recipe(name, [f"src{i}" for i in range(len(splits))], ("doc_id",))
+            for name, splits in recipes.CATALOG_SPLITS.items()}
+_CATALOG_VALUES = ", ".join(f"({sql_str(name)}, {sql_str(x.name)}, {x.percent})" for name, r in _CATALOG.items() for x in r.sources)
+
+
+@register("recipe_catalog", f"""WITH r(recipe, source, pct) AS (VALUES {_CATALOG_VALUES}),
+d AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+SELECT recipe, source, CAST(round_even(CAST(pct AS DOUBLE) * n / CAST(100 AS DOUBLE), 0) AS BIGINT) AS n_rows
+FROM r JOIN d USING (source)
+WHERE round_even(CAST(pct AS DOUBLE) * n / CAST(100 AS DOUBLE), 0) > 0""")
+def recipe_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MIX7: rows that each known mix takes from its sources (the ``documents`` sources in order)."""
+    parts = []
+    for name, recipe in _CATALOG.items():
+        mixed, _ = recipes.build_document_mix(spark, sf_dir, recipe)
+        parts.append(mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("recipe"), "source", "n_rows"))
+    return mix.concat_sources(parts)
+
+
 def _key_sql(key: str, seed: int = 42) -> str:
     return f"('0x' || substr(md5({sql_str(f'{seed}:')} || {key}), 1, 15))::BIGINT"
 

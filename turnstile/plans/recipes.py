@@ -64,6 +64,27 @@ DOCUMENT_SPLITS = ["train", "train[:25%]", "train[:50%]", "train[:10%]", "train[
                    "train[:20%]", "train[10%]"]
 
 
+# The slices of the known mixes, one entry per source in order; in the mid-training
+# mix the second and third entry are one table read through two message columns.
+CATALOG_SPLITS = {
+    "instruction-1": ["train", "train", "train[:25%]", "train[:25%]", "train[:8%]", "train[:8%]", "train", "train[:50%]"],
+    "instruction-2": ["train", "train", "train[:50%]", "train[:25%]", "train", "train", "train[:25%]", "train", "train",
+                      "train[:10%]", "train[:10%]", "train"],
+    "mid-training": ["train"] * 16,
+    "single-source": ["train"],
+}
+CATALOG_COLUMNS = {"mid-training": {1: "messages", 2: "original_messages", 3: "original_messages"}}
+
+
+def catalog_recipe(name: str, sources: Sequence[str], order_cols: Sequence[str] = ("id",)) -> Recipe:
+    """A known mix over the caller's sources, in the order of its slices."""
+    splits, columns = CATALOG_SPLITS[name], CATALOG_COLUMNS.get(name, {})
+    if len(sources) != len(splits):
+        raise ValueError(f"recipe {name!r} has {len(splits)} sources, got {len(sources)}")
+    return Recipe([SourceSpec(s, split, columns.get(i, "conversations")) for i, (s, split) in enumerate(zip(sources, splits))],
+                  order_cols=order_cols)
+
+
 def document_recipe(names: Sequence[str] = tuple(f"src{i}" for i in range(20))) -> Recipe:
     """Recipe over ``documents`` sources; one of the patterns is malformed, so it isn't strict."""
     specs = [SourceSpec(name, DOCUMENT_SPLITS[i % len(DOCUMENT_SPLITS)]) for i, name in enumerate(names)]
