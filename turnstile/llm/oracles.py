@@ -82,3 +82,58 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (bad OR base_failed) AS kept
 FROM base
 """
+
+_RATIO = "ORDER BY cap / nullif(weight, 0) NULLS FIRST, cap, weight"
+
+ORACLE["op2_mix_sources"] = f"""
+WITH d AS (
+  SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         ('0x' || substr(md5('17:' || doc_id), 1, 15))::BIGINT AS draw
+  FROM documents
+), s AS (
+  SELECT source, cast(sum(size) AS BIGINT) AS source_size,
+         [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM d GROUP BY source
+), c AS (
+  SELECT *, source_size * 3::DOUBLE AS cap, cast(sum(source_size) OVER () AS DOUBLE) AS total FROM s
+), w AS (
+  SELECT *, cap * sum(weight) OVER ({_RATIO} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= weight * (total
+            - coalesce(sum(cap) OVER ({_RATIO} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS clamped
+  FROM c
+), t AS (
+  SELECT source, source_size, clamped, CASE WHEN clamped THEN cap ELSE weight
+         * ((total - coalesce(sum(cap) FILTER (clamped) OVER (), 0)) / (sum(weight) FILTER (NOT clamped) OVER ())) END AS target
+  FROM w
+), p AS (
+  SELECT *, cast(CASE WHEN clamped THEN 3 ELSE coalesce(floor(target / nullif(source_size, 0)), 0) END AS BIGINT) AS whole FROM t
+), x AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS want,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id) AS upto
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target, cast(size * (whole + (want > 0 AND (upto < want
+       OR (upto - size < want AND 2 * (want - (upto - size)) >= size)))::INT) AS BIGINT) AS taken
+FROM x
+"""
+
+ORACLE["op7_jaccard_join"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (g) GROUP BY ALL
+), links AS (
+  SELECT x, y, c = nx.n AND c = ny.n AS same
+  FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), reach(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.node
+), comp AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id
+), class AS (SELECT x AS doc_id, min(y) AS class_id FROM links WHERE same GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       coalesce(class_id, d.doc_id) AS class_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id) LEFT JOIN class USING (doc_id)
+"""
