@@ -45,6 +45,7 @@ FREQUENT_TOKENS, FREQUENT_FROM = 1 << 19, 4
 FLUSH_TOKENS = 1 << 21
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
 ORDERS = 3
+BROADCAST_IDS = 1 << 19
 
 
 def _sets(words: W.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,22 +235,45 @@ def _possible(met: DataFrame, percent: int) -> DataFrame:
             .select("cell", "id"))
 
 
+def _without_contained(members: DataFrame) -> DataFrame:
+    """Drop cells whose rows all lie in one other cell, which then sees all their pairs.
+
+    The other cell is the smallest that holds the cell's name as a document; in a group of near copies nearly all
+    cells are contained in the one of the smallest id, so a document is fetched for about one cell.
+    """
+    cells = members.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+    parent = (members.join(cells.select(F.col("cell").alias("id")), "id").groupBy(F.col("id").alias("cell"))
+              .agg(F.min("cell").alias("parent")).where("parent < cell"))
+    there = members.select(F.col("cell").alias("parent"), "id")
+    inside = members.join(parent, "cell").join(there, ["parent", "id"]).groupBy("cell").agg(F.count(F.lit(1)).alias("common"))
+    contained = inside.join(cells, "cell").where("common = rows").select("cell")
+    return members.join(contained, "cell", "left_anti")
+
+
+def _checked(ids: DataFrame) -> DataFrame:
+    """Ids, hinted for broadcast if they are few by count (8 bytes each); beyond that the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
                        percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, class_id (smallest id with an equal set), component_id."""
     sig = materialize(signatures(docs, id_col, text_col, k, percent), "jaccard-signatures")
     classes = materialize(sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
 
-    reps = sig.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    copies = materialize(sig.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).where("id <> rep").select("id"),
+                         "jaccard-copies")
+    reps = sig.where("id is not null").join(_checked(copies), "id", "left_anti")
     postings = reps.select("id", "n", F.explode("prefix").alias("token"))
     centers = postings.groupBy("token").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("c")).where("c > 1")
     met = materialize(postings.join(centers.select("token", "cell"), "token")
                       .groupBy("cell", "id", "n").agg(F.count(F.lit(1)).alias("shared")), "jaccard-cells")
     members = materialize(_possible(met, percent), "jaccard-members")
+    members = materialize(_without_contained(members), "jaccard-members")
 
-    active = members.select("id").distinct()
+    active = materialize(members.select("id").distinct(), "jaccard-active")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(_full_sets(rows.join(active, "id", "left_semi"), "id", "text", k), "jaccard-sets")
+    sets = materialize(_full_sets(rows.join(_checked(active), "id", "left_semi"), "id", "text", k), "jaccard-sets")
 
     size = sets.groupBy("id").agg(F.sum(F.octet_length("tokens")).alias("bytes"))
     blocks = (members.join(size, "id").groupBy("cell")
