@@ -14,7 +14,7 @@ slices, and between passes the levels found so far travel with their document.
 
 Model: P(w | h) = (c(hw) + MU * P1(w)) / (max(c(h), c(hw)) + MU), where the
 counts come from the filter.  P1 is the add-0.1 unigram estimate with exact
-counts for the ``HOT_WORDS`` most frequent words, which are broadcast as a
+counts for the most frequent words (``HOT_WORDS`` at most), broadcast as a
 bounded table; all rarer or unseen words share what is left in equal parts.
 The base score is exact: words beyond the hot table are joined with their counts.
 
@@ -214,7 +214,7 @@ class LanguageModel:
         self.words_per_slice = max(1, -(-entries * BITS // (64 * SLICES)))
         self.slices = materialize(build_slices(self.counts, self.words_per_slice), "lm-filter")
         self.slices_per_pass = max(1, min(SLICES, max_broadcast_bytes // (8 * self.words_per_slice)))
-        hot = (self.counts.where("word").orderBy(F.desc("n"), "key").limit(hot_words).select("key", "n").toArrow())
+        hot = W.most_frequent(self.counts.where("word"), hot_words).select("key", "n").toArrow()
         key, n = W.unsigned(hot["key"].to_numpy()), hot["n"].to_numpy()
         order = np.argsort(key)
         # counts beyond 32 bits stay exact: the table is widened when one needs it

@@ -45,7 +45,8 @@ FREQUENT_TOKENS, FREQUENT_FROM = 1 << 19, 4
 FLUSH_TOKENS = 1 << 21
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
 ORDERS = 3
-BROADCAST_IDS = 1 << 19
+# Rows of at most five 8-byte numbers: 20 MB.
+BROADCAST_ROWS = 1 << 18
 
 
 def _sets(words: W.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +98,8 @@ def frequent_tokens(docs: DataFrame, id_col: str, text_col: str, k: int) -> tupl
             yield flush()
 
     counted = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = (counted.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).toArrow())
+    counted = materialize(counted.where(F.col("n") >= FREQUENT_FROM), "jaccard-frequent")
+    found = W.most_frequent(counted, FREQUENT_TOKENS).toArrow()
     token, count = W.unsigned(found["token"].to_numpy()), found["n"].to_numpy()
     order = np.argsort(token)
     return token[order], count[order]
@@ -216,7 +218,7 @@ def _cell_links(percent: int):
 
 
 def _possible(met: DataFrame, percent: int) -> DataFrame:
-    """(cell, id) of rows that can have a partner in the cell, by sizes and numbers of shared prefix tokens.
+    """The rows (cell, id, n, shared) that can have a partner in their cell, by sizes and shared prefix tokens.
 
     A set shares at most its prefix tokens that others have, plus all its tokens behind the prefix; this bounds the
     size of a partner by ``most``.  Of two linked sets the smaller, y, has ``most`` >= the size of the larger >= its
@@ -225,14 +227,14 @@ def _possible(met: DataFrame, percent: int) -> DataFrame:
     rest = F.col("n") - (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     shared = (met.groupBy("id", "n").agg(F.sum("shared").alias("s"))
               .select("id", F.floor((F.col("s") + rest) * (100 + percent) / percent - F.col("n")).alias("most")))
-    sized = met.select("cell", "id", "n").join(shared, "id")
+    sized = met.join(shared, "id")
     strong = F.col("most") >= F.col("n")
     reach = F.least("most", F.floor(F.col("n") * 100 / percent))
     cells = (sized.groupBy("cell").agg(F.min(F.when(strong, F.col("n"))).alias("low"),
                                        F.max(F.when(strong, reach)).alias("high"), F.count(F.lit(1)).alias("c"))
              .where("low is not null and c > 1"))
     return (sized.join(cells, "cell").where("n >= low and n <= high and most >= low")
-            .select("cell", "id"))
+            .select("cell", "id", "n", "shared"))
 
 
 def _without_contained(members: DataFrame) -> DataFrame:
@@ -250,9 +252,9 @@ def _without_contained(members: DataFrame) -> DataFrame:
     return members.join(contained, "cell", "left_anti")
 
 
-def _checked(ids: DataFrame) -> DataFrame:
-    """Ids, hinted for broadcast if they are few by count (8 bytes each); beyond that the join shuffles."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _checked(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers, hinted for broadcast if they are few by count; beyond that the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
@@ -268,7 +270,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     centers = postings.groupBy("token").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("c")).where("c > 1")
     met = materialize(postings.join(centers.select("token", "cell"), "token")
                       .groupBy("cell", "id", "n").agg(F.count(F.lit(1)).alias("shared")), "jaccard-cells")
-    members = materialize(_possible(met, percent), "jaccard-members")
+    members = materialize(_possible(met, percent).select("cell", "id"), "jaccard-members")
     members = materialize(_without_contained(members), "jaccard-members")
 
     active = materialize(members.select("id").distinct(), "jaccard-active")
@@ -296,8 +298,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that name their component; of rows that repeat an id, one."""
     named = found.where(F.col(id_col).isNotNull())
-    gone = named.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = materialize(named.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "jaccard-gone")
+    kept = docs.join(_checked(gone), id_col, "left_anti").select(*docs.columns)
     twice = named.groupBy(id_col).count().where("count > 1").select(id_col)
     if twice.isEmpty():
         return kept

@@ -101,8 +101,9 @@ def dictionary(docs: DataFrame, text_col: str, size: int = DICTIONARY) -> np.nda
         if held:
             yield flush()
 
-    found = (docs.select(text_col).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "key").limit(size).select("key").toArrow())
+    counts = materialize(docs.select(text_col).mapInArrow(run, "key long, n long").groupBy("key")
+                         .agg(F.sum("n").alias("n")), "secret-words")
+    found = W.most_frequent(counts, size).select("key").toArrow()
     return np.sort(W.unsigned(found["key"].to_numpy()))
 
 

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -167,6 +169,22 @@ def chunks(column: pa.Array, separators: np.ndarray, lower: bool,
         lo = hi
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of (.., n) with the highest ``n``, at most ``most`` of them.
+
+    A histogram of the counts (at most 16 levels for each power of two) gives the lowest level that still fits;
+    nothing is sorted and no task meets more than its own rows.  ``counts`` is read twice: pass a stored table.
+    """
+    level = F.floor(F.log2("n") * 16)
+    kept, lowest = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect(),
+                    key=lambda r: -r["level"]):
+        if kept + r["rows"] > most:
+            break
+        kept, lowest = kept + r["rows"], r["level"]
+    return counts.where(level >= lowest) if lowest is not None else counts.limit(0)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Spark's bigint has no unsigned form."""
     return x.view(np.int64)
