@@ -283,7 +283,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = (members.join(blocks, "cell").withColumn("side", F.pmod(F.xxhash64("id"), F.col("nb")))
               .select("cell", "id", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
               .select("cell", "id", "side", F.least("side", "other").alias("b0"), F.greatest("side", "other").alias("b1")))
-    links = (placed.join(sets, "id").groupBy("cell", "b0", "b1")
+    placed = _checked(materialize(placed, "jaccard-placed"))
+    links = (sets.join(placed, "id").groupBy("cell", "b0", "b1")
              .applyInArrow(_cell_links(percent), "u long, v long"))
 
     root = components(links)
