@@ -9,9 +9,10 @@ partition.  The container is Parquet in a folder that all executors share:
 Spark commits its files, so lost executors leave no half segments.
 
 Tokenizing: the byte-level pre-tokenizer always ends a piece before a single
-space between two characters that are not white space, so a text is cut there
-and each distinct piece is encoded once per worker (a bounded cache).  Texts
-without such cuts go through the tokenizer whole.
+space between two characters that are not white space, and around a single
+line feed between two such characters, so a text is cut there and each
+distinct piece is encoded once per worker (a bounded cache).  Texts without
+such cuts go through the tokenizer whole.
 
 Null text is the empty text: only the end id.  Rows that share an id are kept,
 in the order of their texts; a null id comes first.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +37,27 @@ SEGMENT_IDS = 1 << 20
 CACHE_PIECES, CACHE_CHARS = 800_000, 64
 END_ID = 2
 
-_UNSAFE = re.compile(r" \s|\s ")
+_CROWDED, _OTHER_SPACE = re.compile(r"\s\s"), re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"^\s|\s$|\s\s| ")
 _SPACE = "\u0120"          # how byte-level vocabularies write a space
 _RUN = 200
 
 
+def _crowded(text: str) -> bool:
+    """Has two white-space characters in a row."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return True
+    return _OTHER_SPACE.search(text) is not None and _CROWDED.search(text) is not None
+
+
 class PieceEncoder:
     """Ids of whole texts, as little-endian 32-bit bytes, through a cache of pieces."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.cache: dict[str, bytes] = {}       # of " " + piece
+        self.plain: dict[str, bytes] = {}       # of pieces that begin a line or a text
+        self.newline = self._encode(["\n"])[0].tobytes()
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)      # tokens that begin with the space
         self.opens[[i for t, i in vocabulary.items() if t.startswith(_SPACE)]] = True
@@ -67,29 +76,41 @@ class PieceEncoder:
             body, edges = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
             self.cache.update(zip(run, [body[a:b] for a, b in zip(edges, edges[1:])]))
 
+    def _learn_singly(self, cache: dict[str, bytes], pieces: Iterable[str], lead: str) -> None:
+        new = [p for p in pieces if p not in cache]
+        cache.update(zip(new, [x.tobytes() for x in self._encode([lead + p for p in new])]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut, pieces = [], set()
+        if len(self.cache) + len(self.plain) > CACHE_PIECES:
+            self.cache.clear()
+            self.plain.clear()
+        cut, spaced, plain, odd = [], set(), set(), {""}        # "" stands for a space at the end of a text
         for text in texts:
-            if _UNSAFE.search(text):
+            if _crowded(text):
                 first, *rest = _CUT.split(text)
-                rest = [u[1:] for u in rest]
+                lines = [[first, *[u[1:] for u in rest]]]
+                odd.update(lines[0][1:])
             else:
-                first, *rest = text.split(" ")
-            cut.append((first, rest))
-            pieces.update(rest)
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = list(pieces - self.cache.keys())
-        odd = [p for p in new if not p or _ODD.search(p)]       # an end of the text, or white space other than one \n
-        self.cache.update(zip(odd, [x.tobytes() for x in self._encode([" " + p for p in odd])]))
-        gone = set(odd)
-        self._learn([p for p in new if p not in gone])
-        firsts = [x.tobytes() for x in self._encode([first for first, _ in cut])]
-        get = self.cache.__getitem__
-        out = [begin + b"".join(map(get, rest)) for begin, (_, rest) in zip(firsts, cut)]
-        for p in new:
-            if len(p) > CACHE_CHARS:
-                del self.cache[p]
+                lines = [line.split(" ") for line in text.split("\n")]
+                for parts in lines:
+                    spaced.update(parts[1:])
+            plain.update([parts[0] for parts in lines])
+            cut.append(lines)
+        self._learn_singly(self.cache, odd, " ")
+        self._learn_singly(self.plain, plain, "")
+        new = list(spaced - self.cache.keys())
+        self._learn(new)
+        out, get, begin = [], self.cache.__getitem__, self.plain.__getitem__
+        for lines in cut:
+            found = []
+            for parts in lines:
+                found.append(begin(parts[0]))
+                found.extend(map(get, parts[1:]))
+                found.append(self.newline)
+            out.append(b"".join(found[:-1]))
+        for cache, pieces in ((self.cache, new), (self.cache, odd), (self.plain, plain)):
+            for p in [p for p in pieces if len(p) > CACHE_CHARS]:
+                cache.pop(p, None)
         return out
 
 
