@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _random_words(n: int, seed: int) -> np.ndarray:
