@@ -1,0 +1,22 @@
+"""Cases in which an operator once did less than the whole job."""
+
+import pytest
+
+from tests.llm.test_operators import brute_components
+from turnstile.llm import jaccard as J
+
+
+@pytest.mark.parametrize("copies", [1, 5])
+def test_jaccard_one_sided_additions(spark, copies):
+    """One text is the other plus new words (J from 0.79 to 0.89) in front, behind or inside; with and without 4 exact copies."""
+    rows = []
+    for g, (size, more) in enumerate((s, m) for s in (20, 60, 104) for m in (s // 8, s // 6, s // 5, (s - 4) // 4, s // 4 + 1)):
+        text = [f"g{g}w{i}" for i in range(size)]
+        new = [f"g{g}n{i}" for i in range(more)]
+        rows += [" ".join(text)] * copies
+        for place in (0, size // 2, size):
+            rows.append(" ".join(text[:place] + [f"{w}p{place}" for w in new] + text[place:]))
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.jaccard_components(table).collect()}
+    assert got == brute_components(rows)

@@ -12,8 +12,8 @@ their prefixes (the first ``n - ceil(percent * n) + 1`` tokens) share a token.
    documents that share a prefix token meet in the cell named by the smallest
    id with that token, so a document joins a cell once, not once per token or
    per pair.
-   Cells and documents that cannot hold a link by size and number of shared
-   prefix tokens are dropped before any set is fetched.
+   Cells and documents that cannot hold a link by size and by the place of
+   the first shared prefix token are dropped before any set is fetched.
 3. In a cell, pairs must also share a prefix token under further orders
    (hash permutations); the filters are intersected, and what is left is
    verified on the full sets.  Cells are cut into blocks of bounded bytes and
@@ -218,23 +218,22 @@ def _cell_links(percent: int):
 
 
 def _possible(met: DataFrame, percent: int) -> DataFrame:
-    """The rows (cell, id, n, shared) that can have a partner in their cell, by sizes and shared prefix tokens.
+    """The rows (cell, id, n, first) that can have a partner in their cell, by sizes and token positions.
 
-    A set shares at most its prefix tokens that others have, plus all its tokens behind the prefix; this bounds the
-    size of a partner by ``most``.  Of two linked sets the smaller, y, has ``most`` >= the size of the larger >= its
-    own: a *strong* set.  So a cell needs one, and the others of the cell must be within reach of its strong sets.
+    Linked sets share their first common token inside both prefixes, and in its cell it lies at ``first`` (the first
+    place of the set's tokens of this cell) or behind, in either set.  So each of the two shares at most its tokens
+    from ``first`` on; this bounds the size of a partner by ``most``.  The smaller of the two has ``most`` >= the size
+    of the larger >= its own: a *strong* set.  So a cell needs one, and the others of the cell must be within reach of
+    its strong sets.
     """
-    rest = F.col("n") - (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    shared = (met.groupBy("id", "n").agg(F.sum("shared").alias("s"))
-              .select("id", F.floor((F.col("s") + rest) * (100 + percent) / percent - F.col("n")).alias("most")))
-    sized = met.join(shared, "id")
+    sized = met.withColumn("most", F.floor((F.col("n") - F.col("first")) * (100 + percent) / percent - F.col("n")))
     strong = F.col("most") >= F.col("n")
     reach = F.least("most", F.floor(F.col("n") * 100 / percent))
     cells = (sized.groupBy("cell").agg(F.min(F.when(strong, F.col("n"))).alias("low"),
                                        F.max(F.when(strong, reach)).alias("high"), F.count(F.lit(1)).alias("c"))
              .where("low is not null and c > 1"))
     return (sized.join(cells, "cell").where("n >= low and n <= high and most >= low")
-            .select("cell", "id", "n", "shared"))
+            .select("cell", "id", "n", "first"))
 
 
 def _without_contained(members: DataFrame) -> DataFrame:
@@ -266,10 +265,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = materialize(sig.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).where("id <> rep").select("id"),
                          "jaccard-copies")
     reps = sig.where("id is not null").join(_checked(copies), "id", "left_anti")
-    postings = reps.select("id", "n", F.explode("prefix").alias("token"))
+    postings = reps.select("id", "n", F.posexplode("prefix").alias("at", "token"))
     centers = postings.groupBy("token").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("c")).where("c > 1")
     met = materialize(postings.join(centers.select("token", "cell"), "token")
-                      .groupBy("cell", "id", "n").agg(F.count(F.lit(1)).alias("shared")), "jaccard-cells")
+                      .groupBy("cell", "id", "n").agg(F.min("at").alias("first")), "jaccard-cells")
     members = materialize(_possible(met, percent).select("cell", "id"), "jaccard-members")
     members = materialize(_without_contained(members), "jaccard-members")
 
