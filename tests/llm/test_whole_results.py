@@ -20,3 +20,15 @@ def test_jaccard_one_sided_additions(spark, copies):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.jaccard_components(table).collect()}
     assert got == brute_components(rows)
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    """A text of a repeated id stays a representative though another text of the id is a copy; its links join all."""
+    def text(name, *more):
+        return " ".join([f"{name}{i}" for i in range(60)] + list(more))
+
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("b", "x")), (4, text("c")), (5, text("c")),
+            (6, text("d")), (7, text("d")), (7, text("c")), (8, text("e")), (8, text("f")), (9, text("f", "y")), (10, text("g"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in J.jaccard_components(table).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 4), (8, 8), (9, 8), (10, 10)}

@@ -256,20 +256,32 @@ def _checked(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _same_id(copies: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (u, v) from an id with several sets to the representatives of these sets.
+
+    Such an id is a copy in one class at least and appears in another one, as a copy or as its representative.
+    """
+    ids = _checked(copies.select("id").distinct())
+    places = copies.select("id", "f1", "f2", "n").distinct().select("id").unionByName(
+        classes.select(F.col("rep").alias("id")).join(ids, "id", "left_semi"))
+    several = places.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+    return copies.join(several, "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
                        percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, class_id (smallest id with an equal set), component_id."""
     sig = materialize(signatures(docs, id_col, text_col, k, percent), "jaccard-signatures")
     classes = materialize(sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
 
-    copies = materialize(sig.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).where("id <> rep").select("id"),
-                         "jaccard-copies")
-    reps = sig.where("id is not null").join(_checked(copies), "id", "left_anti")
+    copies = materialize(sig.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).where("id <> rep"), "jaccard-copies")
+    again = copies.select("id", "f1", "f2", "n").distinct()
+    reps = sig.where("id is not null").join(_checked(again), ["id", "f1", "f2", "n"], "left_anti")
     postings = reps.select("id", "n", F.posexplode("prefix").alias("at", "token"))
     centers = postings.groupBy("token").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("c")).where("c > 1")
     met = materialize(postings.join(centers.select("token", "cell"), "token")
                       .groupBy("cell", "id", "n").agg(F.min("at").alias("first")), "jaccard-cells")
-    members = materialize(_possible(met, percent).select("cell", "id"), "jaccard-members")
+    members = materialize(_possible(met, percent).select("cell", "id").distinct(), "jaccard-members")
     members = materialize(_without_contained(members), "jaccard-members")
 
     active = materialize(members.select("id").distinct(), "jaccard-active")
@@ -286,7 +298,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = (sets.join(placed, "id").groupBy("cell", "b0", "b1")
              .applyInArrow(_cell_links(percent), "u long, v long"))
 
-    root = components(links)
+    root = components(links.unionByName(_same_id(copies, classes)))
     label = materialize(
         classes.join(root.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
         .select("f1", "f2", "n", "rep", F.coalesce("root", "rep").alias("root")), "jaccard-labels")
