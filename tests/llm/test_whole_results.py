@@ -1,8 +1,15 @@
 """Cases in which an operator once did less than the whole job."""
 
+import collections
+import math
+import re
+
+import numpy as np
 import pytest
 
 from tests.llm.test_operators import brute_components
+from tests.llm.test_words_codec import SPACES, low
+from turnstile.llm import bloomlm as B
 from turnstile.llm import jaccard as J
 
 
@@ -32,3 +39,34 @@ def test_jaccard_ids_with_several_texts(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in J.jaccard_components(table).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 4), (8, 8), (9, 8), (10, 10)}
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1 << 19])
+def test_lm_score_knows_rare_words_at_every_table_size(spark, hot):
+    """Scores against exact counts (1 to 3, so levels are exact), whatever the number of hot words; unseen words have count 0."""
+    train = [(i, " ".join(f"w{(i * 7 + j * (j + i)) % 400}" for j in range(20))) for i in range(60)]
+    test = train[:20] + [(100, "never seen words at all"), (101, "w1 never w2"), (102, "")]
+    tokens = {d: re.findall(SPACES, low(t)) + [None] for d, t in train + test}
+    count, pair, begin = collections.Counter(), collections.Counter(), object()
+    for d, _ in train:
+        count.update(tokens[d])
+        pair.update(zip([begin, *tokens[d]], tokens[d]))
+    norm = sum(count.values()) + 0.1 * (len(count) + 1)
+    means = B.level_counts()
+
+    def read(c):
+        return means[B.level_of(np.array([c]))[0]] if c else 0.0
+
+    def score(words):
+        total = 0.0
+        for h, w in zip([begin, *words], words):
+            c, ch = read(pair[h, w]), read(len(train) if h is begin else count[h])
+            p1 = ((count[w] if hot > 3 or w is None else read(count[w])) + 0.1) / norm
+            total += math.log10((c + B.MU * p1) / (max(c, ch) + B.MU))
+        return total
+
+    schema = "doc_id long, text string"
+    model = B.LanguageModel(spark.createDataFrame(train, schema), hot_words=hot)
+    got = dict(model.score(spark.createDataFrame(test, schema)).select("doc_id", "score").collect())
+    off = [abs(got[d] - score(tokens[d])) / len(tokens[d]) for d, _ in test]
+    assert np.median(off) < 0.005 and max(off) < 0.15          # some counts are read one level too high

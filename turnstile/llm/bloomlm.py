@@ -14,8 +14,9 @@ slices, and between passes the levels found so far travel with their document.
 
 Model: P(w | h) = (c(hw) + MU * P1(w)) / (max(c(h), c(hw)) + MU), where the
 counts come from the filter.  P1 is the add-0.1 unigram estimate with exact
-counts for the most frequent words (``HOT_WORDS`` at most), broadcast as a
-bounded table; all rarer or unseen words share what is left in equal parts.
+counts for end tokens and the most frequent words (``HOT_WORDS`` at most),
+broadcast as a bounded table; for all rarer words the counts come from the
+filter too (0 for unseen ones).
 The base score is exact: words beyond the hot table are joined with their counts.
 
 Null text is the empty text (one end token).  An empty training part knows no
@@ -181,6 +182,7 @@ class Model:
     count: np.ndarray
     total: int
     distinct: int
+    ends: int
     mu: float
 
     def counts_of(self, token: np.ndarray) -> np.ndarray:
@@ -195,9 +197,7 @@ class Model:
         return self.total + ADD * (self.distinct + 1)
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
-        rest = (self.total - int(self.count.sum()) + ADD * (self.distinct - len(self.key) + 1)) / (
-            self.distinct - len(self.key) + 1)
-        return np.where(count >= 0, count + ADD, rest) / self.norm
+        return (count + ADD) / self.norm
 
 
 class LanguageModel:
@@ -209,8 +209,9 @@ class LanguageModel:
         self.counts = materialize(ngram_counts(docs, text_col), "lm-counts")
         level = 1 + F.floor(F.log(F.col("n")) / math.log(BASE) + 1e-9)
         row = self.counts.agg(F.sum(level).alias("entries"), F.sum(F.when(F.col("word"), F.col("n"))).alias("total"),
-                              F.sum(F.col("word").cast("long")).alias("distinct")).first()
-        entries, total, distinct = (int(x or 0) for x in row)
+                              F.sum(F.col("word").cast("long")).alias("distinct"),
+                              F.sum(F.when(F.col("word") & (F.col("key") == int(END.view(np.int64))), F.col("n"))).alias("ends")).first()
+        entries, total, distinct, ends = (int(x or 0) for x in row)
         self.words_per_slice = max(1, -(-entries * BITS // (64 * SLICES)))
         self.slices = materialize(build_slices(self.counts, self.words_per_slice), "lm-filter")
         self.slices_per_pass = max(1, min(SLICES, max_broadcast_bytes // (8 * self.words_per_slice)))
@@ -219,7 +220,7 @@ class LanguageModel:
         order = np.argsort(key)
         # counts beyond 32 bits stay exact: the table is widened when one needs it
         width = np.int64 if len(n) and n.max() >= 1 << 31 else np.int32
-        self.model = Model(key[order], n[order].astype(width), total, distinct, mu)
+        self.model = Model(key[order], n[order].astype(width), total, distinct, ends, mu)
 
     def passes(self) -> Iterator[Filter]:
         for first in range(0, SLICES, self.slices_per_pass):
@@ -294,7 +295,9 @@ def _scores(ids: pa.Array, model: Model, token: np.ndarray, first: np.ndarray, p
             context: np.ndarray) -> pa.RecordBatch:
     count = model.counts_of(token)
     hot = count >= 0
-    chance = (pair + model.mu * model.unigram(count)) / (np.maximum(context, pair) + model.mu)
+    own = np.append(context[1:], 0.0)                   # a word's count is the context of the token behind it
+    own[first[1:] - 1] = model.ends
+    chance = (pair + model.mu * model.unigram(np.where(hot, count, own))) / (np.maximum(context, pair) + model.mu)
     base = np.where(hot, np.log10(np.maximum(count, 0) + ADD), 0.0)
     doc = np.repeat(np.arange(len(ids)), np.diff(first))
     left = np.flatnonzero(~hot)
