@@ -6,11 +6,14 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tests.conftest import SF_CHECK
 from tests.llm.test_operators import brute_components
 from tests.llm.test_words_codec import SPACES, low
 from turnstile.llm import bloomlm as B
 from turnstile.llm import jaccard as J
+from turnstile.llm import language as L
 
 
 @pytest.mark.parametrize("copies", [1, 5])
@@ -70,3 +73,27 @@ def test_lm_score_knows_rare_words_at_every_table_size(spark, hot):
     got = dict(model.score(spark.createDataFrame(test, schema)).select("doc_id", "score").collect())
     off = [abs(got[d] - score(tokens[d])) / len(tokens[d]) for d, _ in test]
     assert np.median(off) < 0.005 and max(off) < 0.15          # some counts are read one level too high
+
+
+def test_language_rejects_unknown_and_keeps_mixes(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", "lang")
+    long = docs.where("length(text) > 400")
+
+    def accepted(rows, model):
+        rows = L.identify(rows, model, F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("string")).collect()
+        return np.mean([r.accepted for r in rows]), len(rows)
+
+    whole = L.train_text(docs)
+    r = np.random.default_rng(1)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    noise = [(i, " ".join("".join(r.choice(letters, 76)) for _ in range(6)), None) for i in range(50)]
+    noise += [(100 + i, "".join(chr(int(c)) for c in r.integers(0x430, 0x450, 200)), None) for i in range(50)]
+    assert accepted(spark.createDataFrame(noise, docs.schema), whole) == (0.0, 100)
+    first = {x.lang: x.text for x in long.groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    mixes = [(i, " ".join(first[x][:200] for x in pair), None)
+             for i, pair in enumerate((a, b) for a in sorted(first) for b in sorted(first) if a < b)]
+    share, n = accepted(spark.createDataFrame(mixes, docs.schema), whole)
+    assert share == 1.0 and n == 6
+    assert accepted(docs.where("doc_id % 2 = 1"), L.train_text(docs.where("doc_id % 2 = 0")))[0] > 0.99
+    without = L.train_text(docs.where("lang <> 'de'"))
+    assert accepted(long.where("lang = 'de'"), without)[0] < 0.1

@@ -10,8 +10,15 @@
 
 The tables of the last three come from a first pass that labels every row by
 its text alone, summed up by grouped aggregation; in the second pass a row's
-own label is left out of the counts.  A row is rejected if its text has no
-letters or no language reaches ``MIN_POSTERIOR``.
+own label is left out of the counts.
+
+A row is rejected if its text has no letters, if no language reaches
+``MIN_POSTERIOR``, or if the text is in none of the known languages: the mean
+over its trigrams of the best language's log likelihood (less the mean of that
+language, so mixes of known languages stay) is ``RANGE`` deviations or more
+below the mean of the labelled texts of its language, each measured with its
+own trigrams left out.  The deviation has a part between texts and one within,
+which falls with the number of trigrams, so a short text is rarely rejected.
 
 Null text is empty (rejected).  A null host, suffix or declared language is no
 evidence.  Without any labelled document no language is known and all rows are
@@ -36,6 +43,8 @@ from . import words as W
 BUCKETS = 1 << 13
 EVIDENCE, MIN_POSTERIOR = 60.0, 0.35
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
+# Overlapping trigrams are not independent: so many count as one.
+RANGE, OVERLAP = 4.0, 3.0
 _DIGITS_AND_SPACE = 0x20
 
 
@@ -60,6 +69,20 @@ class TextModel:
 
     languages: list[str]
     logs: np.ndarray
+    ranges: np.ndarray      # mean, variance between texts and variance of a trigram's familiarity, by language
+
+    @property
+    def centred(self) -> np.ndarray:
+        """Log likelihoods less the mean of each language's own trigrams."""
+        return self.logs - (np.exp(self.logs) * self.logs).sum(1, keepdims=True)
+
+    def familiar(self, words: W.Words, language: np.ndarray) -> np.ndarray:
+        """True for texts within the range of the labelled texts of their language."""
+        bucket, doc = _trigrams(words)
+        n = np.maximum(np.bincount(doc, minlength=words.n_docs), 1)
+        mean = np.bincount(doc, self.centred.max(0)[bucket], words.n_docs) / n
+        middle, between, within = self.ranges[language].T
+        return mean >= middle - RANGE * np.sqrt(between + OVERLAP * within / n)
 
     def likelihoods(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """(tempered log likelihood by text and language, number of trigrams by text)."""
@@ -94,7 +117,50 @@ def train_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     place = {name: i for i, name in enumerate(languages)}
     rows = np.array([place[x] for x in counted["lang"].to_pylist()], np.int64)
     table[rows, counted["bucket"].to_numpy()] += counted["n"].to_numpy()
-    return TextModel(languages, np.log(table / table.sum(1, keepdims=True)))
+    model = TextModel(languages, np.log(table / table.sum(1, keepdims=True)), np.zeros((len(languages), 3)))
+    return TextModel(languages, model.logs, _ranges(docs, text_col, lang_col, model, table.sum(1)))
+
+
+def _ranges(docs: DataFrame, text_col: str, lang_col: str, model: TextModel, totals: np.ndarray) -> np.ndarray:
+    """Ranges of familiarity by language; each labelled text's own trigrams are left out of its language's counts."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs, model.centred, totals))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sep, (languages, logs, centred, total) = W.space_separators(), shared.value
+        place = {name: i for i, name in enumerate(languages)}
+        means = (logs - centred)[:, 0]
+        sums = np.zeros((len(languages), 4))
+        for batch in batches:
+            langs = np.array([place.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+            for lo, hi, words in W.chunks(batch.column(1), sep, True):
+                bucket, doc = _trigrams(words)
+                lang = langs[lo:hi]
+                bucket, doc = bucket[lang[doc] >= 0], doc[lang[doc] >= 0]
+                n = np.bincount(doc, minlength=hi - lo)
+                both, times = np.unique(doc * BUCKETS + bucket, return_counts=True)
+                d, b = both // BUCKETS, both % BUCKETS
+                mine = lang[d]
+                left = np.exp(logs[mine, b]) * total[mine] - times
+                own = np.log(np.maximum(left, 1.0) / (total[mine] - n[d])) - means[mine]
+                others = centred[:, b]
+                others[mine, np.arange(len(b))] = -np.inf
+                z = np.maximum(own, others.max(0))
+                text = np.bincount(d, z * times, hi - lo)
+                some = n > 0
+                for k, x in enumerate((n[some], text[some], text[some] ** 2 / n[some])):
+                    sums[:, k] += np.bincount(lang[some], x, len(languages))
+                sums[:, 3] += np.bincount(mine, z * z * times, len(languages))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int32())] + [pa.array(c) for c in sums.T],
+                                         ["lang", "n", "z", "texts", "squares"])
+
+    sums = np.zeros((len(model.languages), 4))
+    for row in (docs.where(F.col(lang_col).isNotNull()).select(lang_col, text_col)
+                .mapInArrow(run, "lang int, n double, z double, texts double, squares double")
+                .groupBy("lang").agg(*[F.sum(c) for c in ("n", "z", "texts", "squares")]).collect()):
+        sums[row["lang"]] = row[1:]
+    n = np.maximum(sums[:, 0], 1.0)
+    mean = sums[:, 1] / n
+    return np.stack([mean, np.maximum(sums[:, 2] / n - mean ** 2, 0.0), np.maximum(sums[:, 3] / n - mean ** 2, 0.0)], 1)
 
 
 def domain_of(host: Column) -> Column:
@@ -143,7 +209,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column | str, host: Column
                         F.lower(declared).alias("_declared"), (suffix if suffix is not None else F.lit(None).cast("string")).alias("_suffix"),
                         host.alias("_host"), domain_of(host).alias("_domain"))
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((model.languages, model.logs))    # plain values: workers may lack this package
+    shared = spark.sparkContext.broadcast((model.languages, model.logs, model.ranges))    # plain values: workers may lack this package
     n_languages = len(model.languages)
     if not n_languages:
         return keyed.select("_row.*", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"),
@@ -177,7 +243,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column | str, host: Column
                 language = pa.array([m.languages[b] if k else None for b, k in zip(best, n)], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), language, pa.array(chance),
-                     pa.array((n > 0) & (chance >= min_posterior))], ["_row", "language", "posterior", "accepted"])
+                     pa.array((n > 0) & (chance >= min_posterior) & m.familiar(words, best))], ["_row", "language", "posterior", "accepted"])
 
     out = packed.mapInArrow(run, _schema(schema))
     return out.select("_row.*", "language", "posterior", "accepted")
