@@ -1,7 +1,8 @@
 """Secret scans: wide candidate patterns, then a random forest that removes false positives.
 
-Candidates are known key formats, values assigned to a name like ``password``,
-and any long run of key characters.  Each is described by its length, how
+Candidates are known key formats, values assigned to a name that is or ends in
+a word like ``password`` (quoted or not, blanks around the sign or not), and any
+long run of key characters.  Each is described by its length, how
 unusual its character transitions are in this corpus, how often its character
 class changes, the share of its characters inside dictionary words (the most
 frequent words of the corpus), its path, and its neighbouring words.  The
@@ -41,10 +42,12 @@ FEATURES = ("length", "transitions", "changes", "coverage", "path_depth", "path_
 # Public key formats and the names that announce a secret.
 FORMAT = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,})"
 NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
-_CANDIDATE = re.compile(
-    rf"(?<![A-Za-z0-9_])(?:(?P<format>{FORMAT})(?![A-Za-z0-9])"
-    rf"|(?P<name>(?i:{NAMES}))\s?[=:]\s?[\"']?(?P<value>[^\s\"',;]{{6,}})"
-    r"|(?<![+/-])(?P<run>[A-Za-z0-9+/_-]{16,}))")
+# A name may end a longer one (DB_PASSWORD, conf/client.secret); the lookahead passes over words without a sign at once.
+_NAME = (r"(?:(?<![\w.+/-])(?=[\w.+/-]*+[\"']?\s*+[=:])[\w.+/-]*?|(?<![A-Za-z0-9_]))" rf"(?i:{NAMES})")
+_FORMAT = rf"(?<![A-Za-z0-9_])(?P<format>{FORMAT})(?![A-Za-z0-9])"
+_RUN = r"(?<![A-Za-z0-9_])(?<![+/-])(?P<run>[A-Za-z0-9+/_-]{16,})"
+_CANDIDATE = re.compile(rf"{_FORMAT}|(?P<name>{_NAME})[\"']?\s*[=:]\s*[\"']?(?P<value>[^\s\"',;]{{6,}})|{_RUN}")
+_UNNAMED = re.compile(rf"{_FORMAT}|{_RUN}")
 _PLACEHOLDER = r"(?i)^(?:x+|\*+|<.*>|\$\{?.*|example.*|changeme.*|your.*)$"
 
 
@@ -154,6 +157,14 @@ def _describe(values: list[str], paths: list[str], named: list[bool], before: li
         _first_word_known(before, words), _first_word_known(after, words)], 1).astype(float)
 
 
+def _candidates(text: str) -> Iterator[re.Match]:
+    """Candidates that don't overlap; the words before a sign are searched too."""
+    for m in _CANDIDATE.finditer(text):
+        if m.lastgroup == "value":
+            yield from _UNNAMED.finditer(text, m.start(), m.end("name"))
+        yield m
+
+
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """One row per candidate: id, start, end (characters), kind, value, features."""
     spark = docs.sparkSession
@@ -163,7 +174,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         for batch in batches:
             ids, found = [], []
             for i, (text, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for m in _CANDIDATE.finditer(text or ""):
+                for m in _candidates(text or ""):
                     kind = m.lastgroup
                     a, b = m.span(kind)
                     head = text[max(0, m.start() - 40):m.start()].split()
