@@ -269,11 +269,11 @@ def pad_batches(df: DataFrame, ids_col: str, order_cols: Sequence[str], batch_si
 
 
 def leak_batches(records: DataFrame, order_cols: Sequence[str], batch_size: int, pad_id: int = 0,
-                 max_bad_tokens: int | None = None) -> DataFrame:
+                 max_bad_tokens: int | None = 4) -> DataFrame:
     """TOK7 for leak-correction records: batch padding plus fixed-width bad-token lists.
 
-    ``bad_token_ids`` is padded with 0 to the longest list of the batch (or cut
-    and padded to ``max_bad_tokens``) with a float ``bad_mask``; a missing or zero good id becomes -100 (ignored).
+    ``bad_token_ids`` is cut and padded with 0 to ``max_bad_tokens`` (None: padded to the longest list of the
+    batch) with a float ``bad_mask``; a missing or zero good id becomes -100 (ignored).
     """
     padded = pad_batches(records, "input_ids", order_cols, batch_size, pad_id)
     if max_bad_tokens is None:
