@@ -15,8 +15,10 @@ from . import jaccard as J
 from . import language as L
 from . import mixing as M
 from . import quality as Q
+from . import repair as R
 from . import secretscan as X
 from . import sharding as S
+from . import tokencounts as C
 from . import tokenstore as T
 from . import urlfilter as U
 from .oracles import ORACLE
@@ -118,4 +120,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         D.items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@_query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return C.count_tokens(load_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.repair_report(R.damage(load_table(spark, sf_dir, "conversations")), gone=F.col("dropped"))
+
+
 __all__ = ["ORACLE", "QUERIES"]

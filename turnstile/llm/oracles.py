@@ -137,3 +137,95 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id
        coalesce(class_id, d.doc_id) AS class_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id) LEFT JOIN class USING (doc_id)
 """
+
+# crc32 of an ASCII string column ``k`` by its usual table; ``tab`` is the table's column.
+_CRC_TABLE = ("list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda x, y: "
+              "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))")
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda ch: ascii(ch)::BIGINT)), "
+        "lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295)")
+
+
+def _then(label: str, cost: str, edit: str) -> str:
+    """A label (cost, audit) with one more edit; no label stays none."""
+    return f"CASE WHEN {label} IS NOT NULL THEN {{'c': {label}.c + {cost}, 'a': {label}.a || '{edit}'}} END"
+
+
+def _when(condition: str, label: str) -> str:
+    return f"CASE WHEN {condition} THEN {label} END"
+
+
+# Labels of the states nothing, system, user, assistant after a row: Delete, Keep and Rerole ...
+_ROW_EDITS = {
+    "p0": [_then("s0", "2", "D")],
+    "p1": [_then("s1", "2", "D"), _when("fault < 2 AND initial = 's'", _then("s0", "5 * fault", "K"))],
+    "p2": [_then("s2", "2", "D"),
+           *[_when("fault < 2 AND initial = 'u'", _then(s, "5 * fault", "K")) for s in ("s0", "s1", "s3")],
+           *[_when("fault < 2", _then(s, "5 * fault + 1", "R")) for s in ("s0", "s1", "s3")]],
+    "p3": [_then("s3", "2", "D"), _when("fault < 2 AND initial = 'a'", _then("s2", "5 * fault", "K")),
+           _when("fault < 2", _then("s2", "5 * fault + 1", "R"))],
+}
+_ROW_LABELS = ", ".join(f"least({', '.join(x)}, NULL) AS {p}" for p, x in _ROW_EDITS.items())
+# ... and then Insert; two in a row suffice, more would lead back to the same state.
+_AFTER_INSERT = ", ".join(["p0 AS s0", "p1 AS s1", "i2 AS s2", f"least(p3, {_then('i2', '5', 'I')}) AS s3"])
+_INSERT_USER = f"least(p2, {', '.join(_then(p, '5', 'I') for p in ('p0', 'p1', 'p3'))}) AS i2"
+
+ORACLE["op12_repair_conversations"] = f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind
+  FROM (SELECT *, coalesce(cast(conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' ') AS k, tab
+        FROM conversations, (SELECT {_CRC_TABLE} AS tab))
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM raw
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS seq,
+         substr(role, 1, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended
+  FROM damaged
+), faults AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY seq) AS earlier,
+         CASE WHEN ended = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY seq) > 1 THEN 'd'
+              WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS kind
+  FROM numbered
+), steps AS (
+  SELECT conv_id, seq, initial, CASE kind WHEN '' THEN 0 WHEN 't' THEN 1 ELSE 2 END AS fault FROM faults
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS seq, {{'c': 0::BIGINT, 'a': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR) AS s1,
+         {{'c': 5::BIGINT, 'a': 'I'}} AS s2, {{'c': 10::BIGINT, 'a': 'II'}} AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, seq, {_AFTER_INSERT}
+  FROM (SELECT *, {_INSERT_USER}
+        FROM (SELECT w.conv_id, t.seq, {_ROW_LABELS}
+              FROM walk w JOIN steps t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.seq = w.seq + 1))
+), audits AS (
+  SELECT conv_id, seq AS n, least(s0, s3) AS best FROM walk
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) = 1
+), edits AS (
+  SELECT conv_id, edit, p, count(*) FILTER (edit <> 'I') OVER upto AS seq, count(*) FILTER (edit <> 'D') OVER upto AS place
+  FROM (SELECT conv_id, unnest(string_split(best.a, '')) AS edit, unnest(range(1, length(best.a) + 1)) AS p
+        FROM audits WHERE best.a <> '')
+  WINDOW upto AS (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING)
+), kept AS (
+  SELECT e.conv_id, e.edit, e.place, f.role, f.text,
+         max(CASE WHEN e.place = 1 AND e.edit = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS lead
+  FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.seq = e.seq AND e.edit <> 'I'
+  WHERE e.edit <> 'D'
+), texts AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                    || ':' || coalesce(text, ''), chr(10) ORDER BY place)) AS digest
+  FROM kept GROUP BY conv_id
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (kind = 'b') AS blank, count(*) FILTER (kind = 'd') AS duplicate,
+         count(*) FILTER (kind = 't') AS truncated,
+         count(*) FILTER (seq > 1 AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT a.conv_id, cast(coalesce(f.gaps, 0) AS BIGINT) AS gaps, coalesce(f.blank, 0) AS blank,
+       coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated, coalesce(f.illegal, 0) AS illegal,
+       a.best.c AS cost, a.best.a AS audit, coalesce(t.digest, sha256('')) AS repaired_sha256
+FROM audits a LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
