@@ -11,6 +11,7 @@ from ..session import scratch_path
 from ..sources.tables import load_table
 from . import bloomlm as B
 from . import decontaminate as D
+from . import hardneg as H
 from . import jaccard as J
 from . import language as L
 from . import mixing as M
@@ -132,4 +133,11 @@ def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.repair_report(R.damage(load_table(spark, sf_dir, "conversations")), gone=F.col("dropped"))
 
 
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label").cast("long") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = load_table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return H.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 __all__ = ["ORACLE", "QUERIES"]

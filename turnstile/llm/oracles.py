@@ -229,3 +229,26 @@ SELECT a.conv_id, cast(coalesce(f.gaps, 0) AS BIGINT) AS gaps, coalesce(f.blank,
 FROM audits a LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM a.conv_id
 LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
 """
+
+ORACLE["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same,
+         cast(list_inner_product(cast(a.q AS DOUBLE[]), cast(v.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 100 = 0) a, v
+  WHERE a.vec_id <> v.vec_id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, cast(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score,
+       s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 10
+"""
