@@ -12,7 +12,6 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from ..functions.arrays import at
 from ..functions.tokenize import DEFAULT_TOKENIZER, RegexTokenizer, optimal_id_type
 from ..session import materialize
 from .index import with_row_index
+from .packing import sample_pack  # noqa: F401  (TOK5)
 from .quality import document_status
 
 
@@ -188,59 +188,6 @@ def _cut_windows(ordered: DataFrame, seq_len: int) -> DataFrame:
                          F.slice("_x", 2, seq_len).alias("label"), "doc_ids")
 
 
-# --------------------------------------------------------------------------- TOK5 whole-sample packing
-
-def _best_fit_decreasing(ids, lengths, capacity):
-    import bisect
-    order = sorted(range(len(ids)), key=lambda i: (-lengths[i], ids[i]))
-    caps: list[tuple[int, int]] = []     # (remaining, bin) kept sorted
-    bins = [0] * len(ids)
-    nbins = 0
-    for i in order:
-        need = lengths[i]
-        j = bisect.bisect_left(caps, (need, -1))
-        if j < len(caps):
-            rem, b = caps.pop(j)
-        else:
-            rem, b = capacity, nbins
-            nbins += 1
-        bins[i] = b
-        bisect.insort(caps, (rem - need, b))
-    return bins
-
-
-def sample_pack(df: DataFrame, id_col: str, len_col: str, capacity: int,
-                shard: Column, over_long: str = "flag") -> DataFrame:
-    """TOK5: whole samples into bins of ``capacity`` tokens (best-fit decreasing).
-
-    Only ``(id, length)`` reaches Python.  ``shard`` names the group a sample is
-    packed in (a data shard; the caller chooses how many there are); every sample lands
-    in exactly one bin and no bin exceeds ``capacity``.  Best-fit (tightest
-    remaining bin, found by binary search) is used instead of first-fit; the
-    contract is the same.  Samples longer than ``capacity`` are flagged
-    (``bin`` null) or, with ``over_long='truncate'``, packed as ``capacity``
-    tokens.
-    """
-    length = F.col(len_col).cast("long")
-    if over_long == "truncate":
-        length = F.least(length, F.lit(capacity))
-    base = df.select(F.col(id_col).cast("long").alias("id"), length.alias("n"),
-                     shard.cast("int").alias("group"))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()),
-                           T.StructField("group", T.IntegerType()), T.StructField("bin", T.LongType())])
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        fits = pdf[pdf["n"] <= capacity]
-        rest = pdf[pdf["n"] > capacity]
-        bins = _best_fit_decreasing(fits["id"].tolist(), fits["n"].tolist(), capacity)
-        g = int(pdf["group"].iloc[0])
-        a = fits.assign(bin=[g * 10_000_000 + b for b in bins])
-        b = rest.assign(bin=None)
-        return pd.concat([a, b])[["id", "n", "group", "bin"]]
-
-    return base.groupBy("group").applyInPandas(pack, schema).withColumn("over_long", F.col("bin").isNull())
-
-
 # --------------------------------------------------------------------------- TOK7/TOK8 padding
 
 def pad_fixed(ids: Column, length: int, pad_id: int = 0) -> Column:

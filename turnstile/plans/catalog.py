@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.arrays import at
 from ..functions.text import japanese_or_acceptable_class, sql_str
 from ..functions.tokenize import COUNTERS, DEFAULT_TOKENIZER, TOKEN_PATTERN, WHITESPACE_TOKEN_PATTERN
-from ..operators import judge, leak, metrics, mix, prefs, quality, render, tokens, turns
+from ..operators import judge, leak, metrics, mix, packing, prefs, quality, render, tokens, turns
 from ..operators.index import with_row_index
+from ..session import materialize
 from ..sources.tables import SHAREGPT_ROLE_NAMES, conversations_nested, conversations_sharegpt, load_table, nest_turns
 from . import recipes
 from . import sqlgen as S
@@ -827,34 +828,54 @@ def stream_pack_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.dropped_tokens(load_table(spark, sf_dir, "documents"), "text", "doc_id", _SEQ, "source")
 
 
-_PACK_SHARDS, _PACK_BIN = 8, 8192
+_PACK_BIN = 8192
 
 
 @register("sample_pack")
 def sample_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOK5: whole documents packed into 8192-token bins, per data shard (over-long ones flagged)."""
+    """TOK5: whole documents packed into 8192-token bins (over-long ones flagged)."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", (DEFAULT_TOKENIZER.count(F.col("text")) + 1).alias("n"))
-    return tokens.sample_pack(docs, "doc_id", "n", _PACK_BIN, F.pmod("doc_id", F.lit(_PACK_SHARDS)))
+    return packing.sample_pack(docs, "doc_id", "n", _PACK_BIN)
 
 
-@register("sample_pack_summary", f"""WITH d AS (SELECT doc_id % {_PACK_SHARDS} AS g, {_tok_count('text')} + 1 AS n FROM documents)
-SELECT CAST(g AS INTEGER) AS "group", count(*) AS n_samples, CAST(sum(n) AS BIGINT) AS n_tokens,
-       CAST(count_if(n > {_PACK_BIN}) AS BIGINT) AS n_over_long, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_repeated,
-       true AS within_twice_least
-FROM d GROUP BY g""")
+@register("sample_pack_summary", f"""WITH d AS (SELECT {_tok_count('text')} + 1 AS n FROM documents)
+SELECT count(*) AS n_samples, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(count_if(n > {_PACK_BIN}) AS BIGINT) AS n_over_long,
+       CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_repeated, true AS numbered_without_gaps,
+       CAST(greatest(ceil(sum(n) FILTER (n <= {_PACK_BIN}) / {_PACK_BIN}), count_if(n <= {_PACK_BIN} AND 2 * n > {_PACK_BIN})) AS BIGINT) AS least_bins,
+       true AS within_five_percent
+FROM d""")
 def sample_pack_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOK5 by its contract: nothing lost or doubled, no bin overfull, at most twice the least number of bins."""
-    rows = sample_pack(spark, sf_dir)
-    bins = rows.where("bin is not null").groupBy("group", "bin").agg(F.sum("n").alias("fill"))
-    fills = bins.groupBy("group").agg(F.count_if(F.col("fill") > _PACK_BIN).alias("n_overfull"),
-                                      F.count(F.lit(1)).alias("bins"), F.sum("fill").alias("filled"))
-    again = rows.groupBy("group", "id").count().groupBy("group").agg(F.count_if(F.col("count") > 1).alias("n_repeated"))
-    return (rows.groupBy("group").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("n").alias("n_tokens"),
-                                      F.count_if("over_long").alias("n_over_long"))
-            .join(fills, "group", "left").join(again, "group")
-            .select("group", "n_samples", "n_tokens", "n_over_long", F.coalesce("n_overfull", F.lit(0)).alias("n_overfull"),
-                    "n_repeated", F.coalesce(F.col("bins") <= 2 * F.ceil(F.col("filled") / _PACK_BIN), F.lit(True))
-                    .alias("within_twice_least")))
+    """TOK5 by its contract: nothing lost or doubled, no bin overfull, at most 1.05 times the least number of bins."""
+    rows = materialize(sample_pack(spark, sf_dir), "packed")
+    one = F.lit(1).alias("one")
+    fills = rows.where("bin is not null").groupBy("bin").agg(F.sum("n").alias("fill"))
+    bins = fills.agg(one, F.count_if(F.col("fill") > _PACK_BIN).alias("n_overfull"), F.count(F.lit(1)).alias("bins"),
+                     F.coalesce(F.max("bin") + 1, F.lit(0)).alias("numbers"), F.sum("fill").alias("filled"))
+    again = rows.groupBy("id").count().agg(one, F.count_if(F.col("count") > 1).alias("n_repeated"))
+    total = rows.agg(one, F.count(F.lit(1)).alias("n_samples"), F.sum("n").alias("n_tokens"), F.count_if("over_long").alias("n_over_long"),
+                     F.count_if(~F.col("over_long") & (2 * F.col("n") > _PACK_BIN)).alias("halves"))
+    least = F.greatest(F.ceil(F.col("filled") / _PACK_BIN), F.col("halves"))
+    return (total.join(bins, "one").join(again, "one")
+            .select("n_samples", "n_tokens", "n_over_long", "n_overfull", "n_repeated",
+                    (F.col("bins") == F.col("numbers")).alias("numbered_without_gaps"), least.alias("least_bins"),
+                    (100 * F.col("bins") <= 105 * least).alias("within_five_percent")))
+
+
+@register("packed_sequences", f"""WITH {_STORE_SQL}
+SELECT doc_idx AS sample_id, n_tokens AS n, CAST(0 AS BIGINT) AS first_position, n_tokens - 1 AS last_position, true AS same_ids
+FROM store WHERE status = 'success' AND n_tokens <= 2048""")
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOK5: every conversation's ids found again, whole and with positions of its own, inside the sequence it was packed in."""
+    store = _store(spark, sf_dir).where(F.col("status") == "success")
+    bins = packing.sample_pack(store, "doc_idx", "n_tokens", 2048)
+    seq = packing.packed_sequences(store, bins)
+    first = F.aggregate(F.slice("lengths", 1, F.col("i")), F.lit(0), lambda a, x: a + x)
+    parts = (seq.select("*", F.posexplode("sample_ids").alias("i", "sample_id")).withColumn("lo", first + 1)
+             .withColumn("n", F.element_at("lengths", F.col("i") + 1))
+             .select("sample_id", "n", F.expr("slice(input_ids, lo, n)").alias("ids"), F.expr("slice(position_ids, lo, n)").alias("at")))
+    return (parts.join(store.select(F.col("doc_idx").alias("sample_id"), "token_ids"), "sample_id")
+            .select("sample_id", F.col("n").cast("long").alias("n"), F.element_at("at", 1).cast("long").alias("first_position"),
+                    F.element_at("at", -1).cast("long").alias("last_position"), (F.col("ids") == F.col("token_ids")).alias("same_ids")))
 
 
 @register("pad_batches", f"""WITH {_STORE_SQL},
