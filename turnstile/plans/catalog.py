@@ -980,3 +980,6 @@ def leak_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                  F.col("position")).alias("position"),
                        "skip_reason", F.size("bad_token_ids").cast("long").alias("n_bad"),
                        F.size("input_ids").cast("long").alias("n_input_ids"))
+
+
+from . import catalog_feeds, catalog_tables  # noqa: E402,F401  (they register their queries here)
