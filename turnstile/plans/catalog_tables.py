@@ -1,3 +1,51 @@
 """Registered queries of readers, sinks and stored tables (written to the session's scratch folder and read back)."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import scratch_path
+from ..sources import line_batches
+from ..sources.tables import load_table
+from .catalog import register
+
+_LINE_BATCHES = 4
+_TURN = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
+                      T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+_BROKEN = "(conv_id * 31 + turn) % 23 = 7"
+
+
+def _write_turn_lines(spark: SparkSession, sf_dir: str) -> str:
+    """``conversations`` as JSON lines in order, some of them broken off; the folder."""
+    path = scratch_path(spark, "turn-lines")
+    turns = load_table(spark, sf_dir, "conversations").repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    whole = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    turns.select(F.when(F.expr(_BROKEN), F.concat(F.lit('{"conv_id": '), "conv_id", F.lit(', "te'))).otherwise(whole).alias("value")).write.text(path)
+    return path
+
+
+@register("jsonl_line_batches", f"""WITH x AS (
+  SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line, count(*) OVER () AS total, {_BROKEN} AS broken FROM conversations),
+b AS (SELECT *, line // ((total + {_LINE_BATCHES - 1}) // {_LINE_BATCHES}) AS batch FROM x)
+SELECT CAST(batch AS INTEGER) AS batch, CAST(min(line) AS BIGINT) AS first_line, count_if(NOT broken) AS n_good, count_if(broken) AS n_bad,
+       min(line) FILTER (broken) AS first_bad, CAST(sum(line) FILTER (broken) AS BIGINT) AS bad_lines_sum,
+       CAST(sum(conv_id * 1000 + turn) FILTER (NOT broken) AS BIGINT) AS keys_sum,
+       CAST(sum(length(text)) FILTER (NOT broken) AS BIGINT) AS n_chars, max(line) + 1 = any_value(total) AS is_end
+FROM b GROUP BY batch""")
+def jsonl_line_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2 + SRC3: a folder of JSON lines read in batches by line number, with bad lines and the end."""
+    index = line_batches.index_lines(spark, _write_turn_lines(spark, sf_dir), range_bytes=1 << 16)
+    step, out = -(-index.lines // _LINE_BATCHES) or 1, None
+    for batch, start in enumerate(range(0, index.lines, step)):
+        rows = line_batches.parsed_lines(line_batches.read_lines(spark, index, start, step), _TURN)
+        broken = F.col("bad").isNotNull()
+        one = rows.agg(
+            F.lit(batch).alias("batch"), F.min("line").alias("first_line"), F.count_if(~broken).alias("n_good"),
+            F.count_if(broken).alias("n_bad"), F.min(F.when(broken, F.col("line"))).alias("first_bad"),
+            F.sum(F.when(broken, F.col("line"))).alias("bad_lines_sum"),
+            F.sum(F.col("record.conv_id") * 1000 + F.col("record.turn")).alias("keys_sum"),
+            F.sum(F.length("record.text")).cast("long").alias("n_chars"), F.max("is_end").alias("is_end"))
+        out = one if out is None else out.unionByName(one)
+    return out
