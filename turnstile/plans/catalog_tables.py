@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import mixed
 from ..session import scratch_path
 from ..sources import line_batches
 from ..sources.tables import load_table
@@ -49,3 +50,58 @@ def jsonl_line_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.length("record.text")).cast("long").alias("n_chars"), F.max("is_end").alias("is_end"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---------------------------------------------------------------------------- content of several kinds in one column
+
+def mixed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as messages in JSON whose content is, by turn, a text, a list of lines, null, a number, under the
+    older keys, or a list of mixed parts: ``conv_id, turn, message``."""
+    kind = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(6))
+    said = F.to_json(F.struct(F.col("text").alias("t")), {"ignoreNullFields": "false"})
+    text = F.expr("substr(said, 6, length(said) - 6)")              # the JSON form of the text alone
+    content = (F.when(F.col("kind") == 1, F.to_json(F.split("text", "\n"))).when(F.col("kind") == 2, "null")
+               .when(F.col("kind") == 3, F.concat((F.col("conv_id") + 1).cast("string"), F.lit(".5")))
+               .when(F.col("kind") == 5, F.concat(F.lit("["), text, F.lit(', 0, false, 7, null, true, 2.0, "", {"a": [1]}]'))).otherwise(text))
+    role = F.to_json(F.struct(F.col("role").alias("r")))
+    keys = F.when(F.col("kind") == 4, F.array(F.lit("from"), F.lit("value"))).otherwise(F.array(F.lit("role"), F.lit("content")))
+    turns = load_table(spark, sf_dir, "conversations").withColumn("kind", kind).withColumn("said", said)
+    message = F.concat(F.lit('{"'), keys[0], F.lit('": '), F.expr("substr(r, 6, length(r) - 6)"), F.lit(', "'), keys[1], F.lit('": '), "content", F.lit("}"))
+    return turns.withColumn("r", role).withColumn("content", content).select("conv_id", "turn", message.alias("message"))
+
+
+_MIXED_KIND = "(conv_id * 7 + turn) % 6"
+_MIXED_TEXT = f"""CASE {_MIXED_KIND} WHEN 1 THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10))
+  WHEN 2 THEN '' WHEN 3 THEN (conv_id + 1) || '.5'
+  WHEN 5 THEN array_to_string(list_filter([text, '7', 'True', '2.0', '{{"a":[1]}}'], lambda x: x <> ''), chr(10)) ELSE text END"""
+
+
+@register("mixed_content", f"""SELECT conv_id, turn, ['string', 'list', 'null', 'number', 'string', 'list'][{_MIXED_KIND} + 1] AS kind, role,
+       {_MIXED_TEXT} AS content FROM conversations""")
+def mixed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ1 + PRJ3: string, list, null and number content in one column, each as the text the builders write."""
+    m = mixed_turns(spark, sf_dir).select("conv_id", "turn", mixed.parsed("message").alias("m"))
+    content = mixed.message_content(F.col("m"))
+    return m.select("conv_id", "turn", mixed.kind_of(content).alias("kind"), mixed.scalar_text(mixed.message_role(F.col("m"))).alias("role"),
+                    mixed.content_text(content).alias("content"))
+
+
+@register("mixed_conversations", f"""WITH x AS (
+  SELECT conv_id, turn, role, {_MIXED_KIND} AS k, {_MIXED_TEXT} AS content FROM conversations)
+SELECT conv_id, count_if(k <> 2) AS n_turns, coalesce(string_agg(role || '|' || content, chr(10) ORDER BY turn) FILTER (k <> 2), '') AS normalized,
+       string_agg(CASE WHEN k IN (1, 5) THEN '' WHEN k = 2 THEN role || ': None' ELSE role || ': ' || content END, chr(10) ORDER BY turn) AS concatenated
+FROM x GROUP BY conv_id""")
+def mixed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ1-3 and PRJ12 over whole conversations stored as JSON lists of mixed messages.
+
+    Lines of list content are blanked in ``concatenated`` (there they are JSON text, which has no fixed form in SQL).
+    """
+    nested = (mixed_turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "message"))).alias("t"))
+              .select("conv_id", F.concat(F.lit("["), F.array_join(F.col("t.message"), ","), F.lit("]")).alias("messages")))
+    v = nested.select("conv_id", F.try_variant_get(mixed.parsed("messages"), "$", "array<variant>").alias("m"))
+    clean = mixed.normalize_messages(F.col("m"), {"user": ["user"], "assistant": ["assistant"], "system": ["system"]})
+    blanked = F.transform("m", lambda x: F.when(mixed.kind_of(mixed.message_content(x)) == "list", "").otherwise(
+        F.rtrim(mixed.concat_messages(F.array(x)), F.lit("\n"))))
+    return v.select("conv_id", F.size(clean).cast("long").alias("n_turns"),
+                    F.array_join(F.transform(clean, lambda t: F.concat(t["role"], F.lit("|"), t["content"])), "\n").alias("normalized"),
+                    F.array_join(blanked, "\n").alias("concatenated"))
