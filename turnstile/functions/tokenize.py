@@ -70,7 +70,16 @@ class RegexTokenizer:
         return F.when(F.size(pieces) >= 1, self.piece_id(at(pieces, 1)))
 
 
+class Md5Tokenizer(RegexTokenizer):
+    """The same pieces with ids that other engines can compute too: the first 8 hex digits of the piece's MD5."""
+
+    def piece_id(self, piece: Column) -> Column:
+        width = self.vocab_size - self.n_special
+        return (F.pmod(F.conv(F.substring(F.md5(piece), 1, 8), 16, 10).cast("long"), F.lit(width)) + F.lit(self.n_special)).cast("int")
+
+
 DEFAULT_TOKENIZER = RegexTokenizer()
+MD5_TOKENIZER = Md5Tokenizer(name="regex-word-md5")
 
 
 def optimal_id_type(vocab_size: int) -> T.DataType:

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import mixed
+from ..functions.tokenize import MD5_TOKENIZER, TOKEN_PATTERN
+from ..operators import leak, mixed, render, tokens, turns
 from ..session import scratch_path
-from ..sources import line_batches
+from ..sources import line_batches, token_store
 from ..sources.tables import load_table
-from .catalog import register
+from .catalog import _STORE_SQL, SQL_CHATML_STRICT, SQL_NORM, register
+from .sqlgen import sql_str
 
 _LINE_BATCHES = 4
 _TURN = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
@@ -105,3 +107,101 @@ def mixed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("conv_id", F.size(clean).cast("long").alias("n_turns"),
                     F.array_join(F.transform(clean, lambda t: F.concat(t["role"], F.lit("|"), t["content"])), "\n").alias("normalized"),
                     F.array_join(blanked, "\n").alias("concatenated"))
+
+
+# ---------------------------------------------------------------------------- token ids and the dense document index
+
+_WIDTH, _SPECIAL, _EOD = MD5_TOKENIZER.vocab_size - MD5_TOKENIZER.n_special, MD5_TOKENIZER.n_special, MD5_TOKENIZER.eod
+
+
+def _ids_sql(text: str) -> str:
+    """Ids of the MD5 tokenizer as a DuckDB list."""
+    return (f"list_transform(regexp_extract_all({text}, {sql_str(TOKEN_PATTERN)}), "
+            f"lambda p: cast('0x' || substr(md5(p), 1, 8) AS BIGINT) % {_WIDTH} + {_SPECIAL})")
+
+
+_IDS_SQL = f"""{SQL_NORM}, {SQL_CHATML_STRICT},
+ids AS (SELECT conv_id, list_append({_ids_sql('text')}, {_EOD}) AS ids FROM cm WHERE length(text) > 0 AND len({_ids_sql('text')}) > 0)"""
+
+
+def _weighted(ids: str) -> str:
+    """SQL: a sum that depends on every id and its place."""
+    return f"list_sum(list_transform({ids}, lambda x, i: x * (i % 1000 + 1)))"
+
+
+def weighted_sum(ids):
+    """The same as a Column; places count from 1."""
+    return F.aggregate(F.transform(ids, lambda x, i: x.cast("long") * ((i + 1) % 1000 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _md5_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = render.chatml_strict_flat(turns.normalize_flat(load_table(spark, sf_dir, "conversations")))
+    return tokens.token_build(rendered, "text", "conv_id", tokenizer=MD5_TOKENIZER)
+
+
+@register("token_ids", f"WITH {_IDS_SQL} SELECT conv_id AS doc_idx, len(ids) AS n_tokens, CAST({_weighted('ids')} AS BIGINT) AS ids_sum FROM ids")
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOK1: the ids themselves, by a sum over ids and places."""
+    return (_md5_store(spark, sf_dir).where("status = 'success'")
+            .select("doc_idx", F.col("n_tokens").cast("long").alias("n_tokens"), weighted_sum(F.col("token_ids")).alias("ids_sum")))
+
+
+_CUT = 64
+
+
+@register("token_ids_truncated", f"""WITH {SQL_NORM}, {SQL_CHATML_STRICT},
+x AS (SELECT conv_id, {_ids_sql('text')} AS ids FROM cm WHERE length(text) > 0 AND len({_ids_sql('text')}) > 0)
+SELECT conv_id AS doc_idx, least(len(ids), {_CUT}) + 1 AS n_tokens, len(ids) > {_CUT} AS truncated,
+       CAST({_weighted(f'list_append(ids[1:{_CUT}], {_EOD})')} AS BIGINT) AS ids_sum FROM x""")
+def token_ids_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOK1 + TOK6: ids cut to a maximum length, with a flag."""
+    rendered = render.chatml_strict_flat(turns.normalize_flat(load_table(spark, sf_dir, "conversations")))
+    store = tokens.token_build(rendered, "text", "conv_id", tokenizer=MD5_TOKENIZER, max_len=_CUT).where("status = 'success'")
+    return store.select("doc_idx", F.col("n_tokens").cast("long").alias("n_tokens"), "truncated", weighted_sum(F.col("token_ids")).alias("ids_sum"))
+
+
+_PART, _RANGES = 4096, ((0, 1), (1000, 5000), (4095, 4097), (9000, 20_000))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "token-store")
+    token_store.write_token_store(_md5_store(spark, sf_dir), path, ["doc_idx"], part_tokens=_PART, keep=["doc_idx"])
+    return path
+
+
+_INDEX_SQL = f"""WITH {_IDS_SQL},
+o AS (SELECT row_number() OVER (ORDER BY conv_id) - 1 AS doc, conv_id, ids, len(ids) AS n,
+             CAST(sum(len(ids)) OVER (ORDER BY conv_id) - len(ids) AS BIGINT) AS first FROM ids)"""
+
+
+@register("token_store_index", f"""{_INDEX_SQL}
+SELECT doc, first AS "offset", n AS n_tokens, CAST({_weighted('ids')} AS BIGINT) AS ids_sum FROM o
+UNION ALL SELECT count(*), CAST(coalesce(sum(n), 0) AS BIGINT), NULL, NULL FROM o""")
+def token_store_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK8 + TOK12: the store's index in original order with its sentinel, against lengths and ids read back from the data."""
+    path = _stored(spark, sf_dir)
+    docs = token_store.get_documents(spark, path, 0, 1 << 60)
+    return (token_store.document_index(spark, path)
+            .join(docs.select("doc", "n_tokens", weighted_sum(F.col("token_ids")).alias("ids_sum")), "doc", "left")
+            .select("doc", "offset", "n_tokens", "ids_sum"))
+
+
+@register("token_store_ranges", f"""{_INDEX_SQL}, r(lo, hi) AS (VALUES {', '.join(str(r) for r in _RANGES)})
+SELECT lo, doc, greatest(first, lo) AS first, least(first + n, hi) - greatest(first, lo) AS n_tokens,
+       CAST({_weighted('ids[greatest(first, lo) - first + 1 : least(first + n, hi) - first]')} AS BIGINT) AS ids_sum
+FROM o, r WHERE first < hi AND first + n > lo""")
+def token_store_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK8: token ranges of the stored stream, each read from the parts it touches."""
+    path, out = _stored(spark, sf_dir), None
+    for lo, hi in _RANGES:
+        found = token_store.get_tokens(spark, path, lo, hi)
+        one = found.select(F.lit(lo).alias("lo"), "doc", "first", F.size("token_ids").cast("long").alias("n_tokens"),
+                           weighted_sum(F.col("token_ids")).alias("ids_sum"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("first_document_lengths", f"{_INDEX_SQL} SELECT doc, n AS n_tokens FROM o WHERE doc < 10")
+def first_document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOK12: lengths of the first ten documents, from the index."""
+    return token_store.first_lengths(spark, _stored(spark, sf_dir))
