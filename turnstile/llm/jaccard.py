@@ -14,12 +14,16 @@ their prefixes (the first ``n - ceil(percent * n) + 1`` tokens) share a token.
    per pair.
    Cells and documents that cannot hold a link by size and by the place of
    the first shared prefix token are dropped before any set is fetched.
-3. In a cell, pairs must also share a prefix token under further orders
-   (hash permutations); the filters are intersected, and what is left is
-   verified on the full sets.  Cells are cut into blocks of bounded bytes and
-   rows, and each pair of blocks is one group; a group returns a spanning
-   forest of its links, so rows out are linear in rows in.
-4. Components of these links, by star contraction.
+3. Further orders (hash permutations): if two sets overlap in ``a`` tokens, their first ``n - a + l`` tokens under any
+   order have ``l`` in common.  So each document brings to its cells only its first tokens under these orders, as 4-byte
+   codes (about 2 bytes a token of its text instead of 8), and a pair of a cell stays a candidate if it has enough codes
+   in common under *every* order for its two sizes.  Equal codes of different tokens only let more pairs through.
+   A group returns a spanning forest of its candidates, so rows out are linear in rows in.
+4. Candidate groups (components of the candidate pairs) don't overlap, so the full set of each document that is left
+   moves once.  Groups are cut into blocks of bounded bytes and rows; a block gets the group's smallest document beside
+   its own rows and verifies its pairs on the full sets.  Only rows of larger groups that end up without a link to the
+   smallest document are then compared with the other blocks.
+5. Components of the verified links, by star contraction.
 
 Null, empty or wordless texts have the empty set and no links.  Fewer words
 than a shingle: the whole sequence is the only token.  Rows that share an id
@@ -44,7 +48,8 @@ SHINGLE, PERCENT = 5, 80
 FREQUENT_TOKENS, FREQUENT_FROM = 1 << 19, 4
 FLUSH_TOKENS = 1 << 21
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
-ORDERS = 3
+# Orders beyond the first one, and by how much of a set the prefix of each is longer than it must be (1 / EXTRA).
+ORDERS, EXTRA = (1, 2), 10
 # Rows of at most five 8-byte numbers: 20 MB.
 BROADCAST_ROWS = 1 << 18
 
@@ -150,73 +155,191 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, tokens binary")
 
 
+def code_length(n, percent: int):
+    """Tokens of a set whose codes are kept under each further order; works on arrays."""
+    return np.minimum(prefix_length(n, percent) + n // EXTRA, n)
+
+
+def common_codes(n, m, percent: int):
+    """Codes that two sets of n and m tokens have in common if they are linked (at least; below 1 counts as 1)."""
+    overlap = -(-percent * (n + m) // (100 + percent))
+    unseen = np.maximum(n - code_length(n, percent), m - code_length(m, percent))
+    return np.maximum(overlap - unseen, 1)
+
+
+def _codes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """id, n and, one order after the other, the codes of the first tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sep = W.space_separators()
+        for batch in batches:
+            for lo, hi, words in W.chunks(batch.column(1), sep, True):
+                token, doc, first = _sets(words, k)
+                n = np.diff(first)
+                keep = np.arange(len(token)) - first[doc] < code_length(n, percent)[doc]
+                parts = []
+                for seed in ORDERS:
+                    mixed = W.mix(token ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                    mixed = mixed[np.lexsort((mixed, doc))]
+                    parts.append((mixed[keep] >> np.uint64(32)).astype("<u4"))
+                at = np.concatenate([[0], np.cumsum(code_length(n, percent))])
+                codes = [b"".join([p[a:b].tobytes() for p in parts]) for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()),
+                                                  pa.array(codes, pa.binary())], ["id", "n", "codes"])
+
+    return docs.mapInArrow(run, "id long, n long, codes binary")
+
+
 class _Postings:
     """Members by token code, for counting shared tokens of one member with all others."""
 
-    def __init__(self, code: np.ndarray, member: np.ndarray, n_codes: int, n_members: int):
+    def __init__(self, lists: list[np.ndarray]):
+        _, code = np.unique(np.concatenate(lists), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        self.own = [code[a:b] for a, b in zip(first[:-1], first[1:])]
+        member = np.repeat(np.arange(len(lists)), np.diff(first))
         order = np.argsort(code, kind="stable")
         self.member = member[order]
-        self.at = np.searchsorted(code[order], np.arange(n_codes + 1))
-        self.n_members = n_members
+        self.at = np.searchsorted(code[order], np.arange(int(code.max(initial=-1)) + 2))
+        self.n_members = len(lists)
 
-    def shared(self, codes: np.ndarray) -> np.ndarray:
+    def shared(self, x: int) -> np.ndarray:
+        """Tokens that member x has in common with each member."""
+        codes = self.own[x]
         begin, size = self.at[codes], self.at[codes + 1] - self.at[codes]
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
         return np.bincount(self.member[place], minlength=self.n_members)
 
 
-def _links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs that reach the similarity (of different sides, if there are two)."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, side, sets = ids[order], side[order], [sets[i] for i in order]
-    n = np.array([len(s) for s in sets])
-    m, two = len(sets), side.min() != side.max()
-    token, code = np.unique(np.concatenate(sets), return_inverse=True)
-    member = np.repeat(np.arange(m), n)
-    first = np.concatenate([[0], np.cumsum(n)])
-    own = [code[first[i]:first[i + 1]] for i in range(m)]
-    prefixes, postings = [], []
-    for o in range(1, ORDERS):
-        rank = np.argsort(np.argsort(W.mix(token ^ np.uint64(o * 0x9E3779B97F4A7C15 & (1 << 64) - 1))))
-        pick = np.lexsort((rank[code], member))
-        head = pick[np.arange(len(code)) - first[member] < prefix_length(n, percent)[member]]
-        cut = np.searchsorted(member[head], np.arange(m + 1))
-        prefixes.append([code[head[cut[i]:cut[i + 1]]] for i in range(m)])
-        postings.append(_Postings(code[head], member[head], len(token), m))
-    full = None
-    group = np.arange(m)
-    edges = []
-    for x in range(m):
+def _forest(ids: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int, related) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs for which ``related(x, others)`` holds (of different sides, if there are two)."""
+    two = side.min() != side.max()
+    group, edges = np.arange(len(ids)), []
+    for x in np.argsort(n, kind="stable").tolist():
         near = np.flatnonzero((group != group[x]) & (100 * n >= percent * n[x]) & (percent * n <= 100 * n[x])
                               & (side != side[x] if two else True))
-        for mine, there in zip(prefixes, postings):
-            if not len(near):
-                break
-            near = near[there.shared(mine[x])[near] > 0]
         if not len(near):
             continue
-        if len(near) > 4:
-            full = full or _Postings(code, member, len(token), m)
-            both = full.shared(own[x])[near]
-        else:
-            both = np.array([np.isin(own[x], own[y], assume_unique=True).sum() for y in near])
-        for y in near[100 * both >= percent * (n[x] + n[near] - both)]:
+        for y in related(x, near).tolist():
             if group[y] != group[x]:
                 edges.append((int(ids[x]), int(ids[y])))
                 group[group == group[y]] = group[x]
     return edges
 
 
+def _candidates(ids: np.ndarray, n: np.ndarray, side: np.ndarray, codes: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Candidates under all further orders."""
+    length = code_length(n, percent)
+    postings = [_Postings([np.frombuffer(c, "<u4", w, 4 * o * w) for c, w in zip(codes, length.tolist())]) for o in range(len(ORDERS))]
+
+    def related(x: int, near: np.ndarray) -> np.ndarray:
+        need = common_codes(n[x], n[near], percent)
+        for p in postings:
+            enough = p.shared(x)[near] >= need
+            near, need = near[enough], need[enough]
+            if not len(near):
+                break
+        return near
+
+    return _forest(ids, n, side, percent, related)
+
+
+def _links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs that reach the similarity, on the full sets."""
+    n = np.array([len(s) for s in sets])
+    postings = None
+
+    def related(x: int, near: np.ndarray) -> np.ndarray:
+        nonlocal postings
+        if len(near) > 4:
+            postings = postings or _Postings(sets)
+            both = postings.shared(x)[near]
+        else:
+            both = np.array([np.isin(sets[x], sets[y], assume_unique=True).sum() for y in near])
+        return near[100 * both >= percent * (n[x] + n[near] - both)]
+
+    return _forest(ids, n, side, percent, related)
+
+
+def _pairs(edges: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([a for a, _ in edges], pa.int64()), "v": pa.array([b for _, b in edges], pa.int64())})
+
+
+def _cell_candidates(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        if len(table) < 2:
+            return _pairs([])
+        return _pairs(_candidates(*(table[c].to_numpy() for c in ("id", "n", "side")), table["codes"].to_pylist(), percent))
+    return run
+
+
 def _cell_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+        if len(table) < 2:
+            return _pairs([])
         sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-        found = _links(ids, side, sets, percent) if len(ids) > 1 else []
-        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+        return _pairs(_links(table["id"].to_numpy(), table["side"].to_numpy(), sets, percent))
     return run
 
 
+def _block_count(members: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
+    """Blocks (``nb``) that the members of each group need, by bytes and rows."""
+    return (members.join(sizes, "id").groupBy(by)
+            .agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).alias("nb")))
+
+
+def _block_of(nb: str = "nb"):
+    return F.pmod(F.xxhash64("id"), F.col(nb))
+
+
+def candidate_pairs(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (u, v) that connect the candidates of each cell; ``members`` is (cell, id)."""
+    active = materialize(members.select("id").distinct(), "jaccard-active")
+    codes = materialize(_codes(rows.join(_checked(active), "id", "left_semi").select("id", "text"), k, percent), "jaccard-codes")
+    size = codes.groupBy("id").agg(F.sum(F.octet_length("codes")).alias("bytes"))
+    placed = (members.join(_block_count(members, size, "cell"), "cell").withColumn("side", _block_of())
+              .select("cell", "id", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
+              .select("cell", "id", "side", F.least("side", "other").alias("b0"), F.greatest("side", "other").alias("b1")))
+    placed = _checked(materialize(placed, "jaccard-placed"))
+    return codes.join(placed, "id").groupBy("cell", "b0", "b1").applyInArrow(_cell_candidates(percent), "u long, v long")
+
+
+def verified_links(rows: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) that connect the linked documents of each group; ``groups`` is (group, id), the group named by its
+    smallest id."""
+    groups = materialize(groups, "jaccard-groups")
+    wanted = _checked(groups.select("id"))
+    sets = materialize(_full_sets(rows.join(wanted, "id", "left_semi"), "id", "text", k), "jaccard-sets")
+    size = sets.groupBy("id").agg(F.sum(F.octet_length("tokens")).alias("bytes"), F.count(F.lit(1)).alias("sets"))
+    placed = materialize(groups.join(_block_count(groups, size, "group"), "group").withColumn("block", _block_of()), "jaccard-blocks")
+    hubs = (placed.where("id = group and nb > 1").withColumnRenamed("block", "home")
+            .select("group", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("block"), "home")
+            .where("block <> home").select("group", "id", "block"))
+    first = _checked(placed.select("group", "id", "block").unionByName(hubs))
+    near = materialize(sets.join(first, "id").select("group", "block", "id", F.lit(0).alias("side"), "tokens")
+                       .groupBy("group", "block").applyInArrow(_cell_links(percent), "u long, v long"), "jaccard-links")
+    large = placed.where("nb > 1")
+    if large.isEmpty():
+        return near
+    # rows of large groups that aren't connected with the group's smallest document through their own block
+    inside = near.join(_checked(large.select(F.col("id").alias("u"), "group")), "u").select("u", "v")
+    root = components(inside)
+    linked = root.select(F.col("u").alias("id"), F.col("v").alias("group"))
+    again = large.join(size.where("sets > 1"), "id", "left_semi")          # an id with several texts: any of them may be apart
+    rest = materialize(large.where("id <> group").join(linked, ["id", "group"], "left_anti").unionByName(again).distinct(), "jaccard-rest")
+    if rest.isEmpty():
+        return near
+    blocks = _block_count(rest.select("group", "id"), size, "group").withColumnRenamed("nb", "nr")
+    mine = (rest.select("group", "id", "nb").join(blocks, "group").withColumn("r", _block_of("nr"))
+            .select("group", "id", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("block"), F.lit(0).alias("side")))
+    other = (large.join(blocks, "group")
+             .select("group", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("r"), "block", F.lit(1).alias("side")))
+    far = (sets.join(_checked(materialize(mine.unionByName(other.select(*mine.columns)), "jaccard-far")), "id")
+           .groupBy("group", "r", "block").applyInArrow(_cell_links(percent), "u long, v long"))
+    return near.unionByName(far)
+
+
 def _possible(met: DataFrame, percent: int) -> DataFrame:
     """The rows (cell, id, n, first) that can have a partner in their cell, by sizes and token positions.
 
@@ -284,19 +407,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = materialize(_possible(met, percent).select("cell", "id").distinct(), "jaccard-members")
     members = materialize(_without_contained(members), "jaccard-members")
 
-    active = materialize(members.select("id").distinct(), "jaccard-active")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(_full_sets(rows.join(_checked(active), "id", "left_semi"), "id", "text", k), "jaccard-sets")
-
-    size = sets.groupBy("id").agg(F.sum(F.octet_length("tokens")).alias("bytes"))
-    blocks = (members.join(size, "id").groupBy("cell")
-              .agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).alias("nb")))
-    placed = (members.join(blocks, "cell").withColumn("side", F.pmod(F.xxhash64("id"), F.col("nb")))
-              .select("cell", "id", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
-              .select("cell", "id", "side", F.least("side", "other").alias("b0"), F.greatest("side", "other").alias("b1")))
-    placed = _checked(materialize(placed, "jaccard-placed"))
-    links = (sets.join(placed, "id").groupBy("cell", "b0", "b1")
-             .applyInArrow(_cell_links(percent), "u long, v long"))
+    joined = components(candidate_pairs(rows, members, k, percent))
+    groups = joined.select(F.col("v").alias("group"), F.col("u").alias("id")).unionByName(
+        joined.select(F.col("v").alias("group"), F.col("v").alias("id")).distinct())
+    links = verified_links(rows, groups, k, percent)
 
     root = components(links.unionByName(_same_id(copies, classes)))
     label = materialize(
