@@ -66,3 +66,25 @@ def test_simple8b_is_smaller_than_plain_ids():
 def test_simple8b_rejects_other_bytes():
     with pytest.raises(ValueError):
         simple8b.decode(bytes(64))
+
+
+def test_pieces_encode_as_whole_texts():
+    """Cuts of the piece encoder against the library on texts of odd white space, and over an emptied cache."""
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    from turnstile.llm import tokenstore as T
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = T._tokenizer(f.read())
+    rng = random.Random(5)
+    alphabet = ["a", "b", " ", "  ", "\n", " \n", "\n\n", "\t", " ", "　", "\x1c", "é", "'s", "1", "23", "!", "?", " ", "\x85",
+                " ", "日本", "\r\n", "x" * 20, " y" * 3, "\x00", " ", "Â", " "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(8000)] + ["", " ", "\n", "z" * 5000]
+    want = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    encoder = T.PieceEncoder(tokenizer)
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == want
+    known, encoder.known = encoder.known, T.CACHE_PIECES
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == want and encoder.known <= known

@@ -60,23 +60,33 @@ class Keys:
         out.a, out.b, out.size, out.hash = self.a[at], self.b[at], self.size[at], self.hash[at]
         return out
 
+    def distinct(self) -> tuple[Keys, np.ndarray]:
+        """The distinct keys, and which of them each key is."""
+        order = np.lexsort((self.size, self.b, self.a))
+        a, b, size = self.a[order], self.b[order], self.size[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (size[1:] != size[:-1])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(first) - 1
+        return self.take(order[first]), which
+
     def strings(self) -> list[str]:
         body = np.stack([self.a, self.b], 1).astype("<u8").tobytes()
         return [body[KEY_BYTES * i:KEY_BYTES * i + n].decode() for i, n in enumerate(self.size.tolist())]
 
 
 class LengthTable:
-    """Open-addressing hash table from keys to token counts, probed for many keys at once."""
+    """Open-addressing hash table from keys to token counts (or other numbers), probed for many keys at once."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, kind: type = np.uint8):
         slots = 1 << max(4, (2 * most - 1).bit_length())
         self.a, self.b = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
-        self.size, self.tokens = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)     # size: bytes + 1; 0 is free
+        self.size, self.tokens = np.zeros(slots, np.uint8), np.zeros(slots, kind)     # size: bytes + 1; 0 is free
         self.most, self.held, self.mask = most, 0, np.uint64(slots - 1)
 
     def find(self, keys: Keys) -> np.ndarray:
         """Token count of each key, -1 where the table doesn't hold it."""
-        out = np.full(len(keys.a), -1, np.int16)
+        out = np.full(len(keys.a), -1, np.int16 if self.tokens.itemsize == 1 else np.int64)
         slot, left, size = (keys.hash & self.mask).astype(np.int64), np.arange(len(keys.a)), keys.size + np.uint8(1)
         while len(left):
             there = self.size[slot]
@@ -186,15 +196,10 @@ class PieceCounter:
             found = self.table.find(rest)
             unknown = np.flatnonzero(found < 0)
             if len(unknown):
-                new = rest.take(unknown)
-                order = np.lexsort((new.size, new.b, new.a))
-                new = new.take(order)
-                first = np.ones(len(order), bool)
-                first[1:] = (new.a[1:] != new.a[:-1]) | (new.b[1:] != new.b[:-1]) | (new.size[1:] != new.size[:-1])
-                one = new.take(np.flatnonzero(first))
+                one, which = rest.take(unknown).distinct()
                 n = self.encode(one.strings())
                 self.table.add(one, n)
-                found[unknown[order]] = n[np.cumsum(first) - 1]
+                found[unknown] = n[which]
             tokens[at[missing]] = found
         far = np.flatnonzero(end - start > KEY_BYTES)
         if len(far):
