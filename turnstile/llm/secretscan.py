@@ -5,13 +5,20 @@ a word like ``password`` (quoted or not, blanks around the sign or not), and any
 long run of key characters.  Each is described by its length, how
 unusual its character transitions are in this corpus, how often its character
 class changes, the share of its characters inside dictionary words (the most
-frequent words of the corpus), its path, and its neighbouring words.  The
-forest is trained on labelled findings, at most ``SAMPLE`` of each class (those
-with the smallest hash), and scores all findings.
+frequent words of the corpus), its digits, repeats and words of a stand-in, its
+path, and its neighbouring words.  The forest is trained on labelled findings,
+at most ``SAMPLE`` of each class (those with the smallest hash), and scores all.
 
-``labelled_findings`` labels by form: a known format or an assigned mixed value
-is a secret; a run without digits, or an assigned placeholder, is not; the rest
-stays open.  Other labels can be passed to ``train``.
+The labels are a table of lines in which the value is known to be a secret or
+not (``secret_labels``: named, announced and bare secrets; digests, ids, long
+words, versions, example keys, calls and prose).  They don't follow from the
+pattern that finds a candidate, so assigned values can be turned down and bare
+runs accepted.  The lines are described with the statistics of the corpus at
+hand.  Other labels can be passed.
+
+Parameters that bound what is looked at: the ``DICTIONARY`` most frequent words
+of ``SHORTEST`` to ``LONGEST`` bytes, and the words that begin within
+``CONTEXT`` characters of a candidate.
 
 Statistics (transitions, words) are counted over all texts.  Null text has no
 findings; a null path is the empty path; without labels of both classes every
@@ -32,12 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import secret_labels
 from . import words as W
 
 SAMPLE, DICTIONARY = 4000, 20_000
 SHORTEST, LONGEST = 3, 10              # bytes of dictionary words looked for inside a candidate
+CONTEXT, LABELLED_LINES = 40, 6000
 FLUSH_WORDS = 1 << 21
-FEATURES = ("length", "transitions", "changes", "coverage", "path_depth", "path_sample", "named", "word_before", "word_after")
+FEATURES = ("length", "transitions", "changes", "coverage", "path_depth", "path_sample", "named", "word_before", "word_after",
+            "digits", "distinct", "hex", "parts", "stand_in", "announced", "public", "format")
 
 # Public key formats and the names that announce a secret.
 FORMAT = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,})"
@@ -48,7 +58,9 @@ _FORMAT = rf"(?<![A-Za-z0-9_])(?P<format>{FORMAT})(?![A-Za-z0-9])"
 _RUN = r"(?<![A-Za-z0-9_])(?<![+/-])(?P<run>[A-Za-z0-9+/_-]{16,})"
 _CANDIDATE = re.compile(rf"{_FORMAT}|(?P<name>{_NAME})[\"']?\s*[=:]\s*[\"']?(?P<value>[^\s\"',;]{{6,}})|{_RUN}")
 _UNNAMED = re.compile(rf"{_FORMAT}|{_RUN}")
-_PLACEHOLDER = r"(?i)^(?:x+|\*+|<.*>|\$\{?.*|example.*|changeme.*|your.*)$"
+_STAND_IN = re.compile(r"(?i)example|sample|test|dummy|change|your|x{4}|\*{3}|[<>${}()\[\];]|\.[a-z]+\.")
+_ANNOUNCE = re.compile(r"(?i)(?:key|token|bearer|auth|secret|credential|password|passwd|pwd|login|with|is)\W*$")
+_PUBLIC = re.compile(r"(?i)(?:commit|sha\d*|md5|checksum|digest|hash|etag|revision|uuid|id|request|object|version|release|build|image|user)\W*$")
 
 
 def _classes() -> np.ndarray:
@@ -150,11 +162,18 @@ def _describe(values: list[str], paths: list[str], named: list[bool], before: li
     size = np.diff(offsets)
     a, b = offsets[:-1], offsets[1:] - 1
     low = W.lower_ascii()[data]
+    span = np.maximum(size, 1)
+    digit = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
+    hexa = np.concatenate([[0], np.cumsum(((data >= 0x30) & (data <= 0x39)) | ((low >= 0x61) & (low <= 0x66)))])
     return np.stack([
         size, (pair[b] - pair[a]) / np.maximum(size - 1, 1), (change[b] - change[a]) / np.maximum(size - 1, 1),
         _coverage(low, offsets, words), [p.count("/") for p in paths],
         [bool(re.search(r"(?i)test|example|sample|doc", p)) for p in paths], named,
-        _first_word_known(before, words), _first_word_known(after, words)], 1).astype(float)
+        _first_word_known(before, words), _first_word_known(after, words),
+        (digit[offsets[1:]] - digit[a]) / span, [len(set(v)) / max(len(v), 1) for v in values], hexa[offsets[1:]] - hexa[a] == size,
+        [len(re.findall(r"[-_/.]", v)) for v in values], [bool(_STAND_IN.search(v)) for v in values],
+        [bool(_ANNOUNCE.search(w)) for w in before], [bool(_PUBLIC.search(w)) for w in before],
+        [bool(re.fullmatch(FORMAT, v)) for v in values]], 1).astype(float)
 
 
 def _candidates(text: str) -> Iterator[re.Match]:
@@ -165,10 +184,15 @@ def _candidates(text: str) -> Iterator[re.Match]:
         yield m
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """One row per candidate: id, start, end (characters), kind, value, features."""
+def statistics(docs: DataFrame, text_col: str = "text"):
+    """(transitions, dictionary) of the corpus, broadcast."""
     spark = docs.sparkSession
-    logs, words = spark.sparkContext.broadcast(transitions(docs, text_col)), spark.sparkContext.broadcast(dictionary(docs, text_col))
+    return spark.sparkContext.broadcast(transitions(docs, text_col)), spark.sparkContext.broadcast(dictionary(docs, text_col))
+
+
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", stats=None) -> DataFrame:
+    """One row per candidate: id, start, end (characters), kind, value, features; ``stats`` are those of ``docs`` by default."""
+    logs, words = stats or statistics(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,8 +201,8 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                 for m in _candidates(text or ""):
                     kind = m.lastgroup
                     a, b = m.span(kind)
-                    head = text[max(0, m.start() - 40):m.start()].split()
-                    tail = text[b:b + 40].split()
+                    head = text[max(0, m.start() - CONTEXT):m.start()].split()
+                    tail = text[b:b + CONTEXT].split()
                     ids.append(i)
                     found.append((a, b, kind, text[a:b], path or "", kind == "value",
                                   head[-1] if head else "", tail[0] if tail else ""))
@@ -195,14 +219,17 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     return docs.select(id_col, text_col, F.col(path_col).cast("string")).mapInArrow(run, schema)
 
 
-def labelled_findings(found: DataFrame) -> DataFrame:
-    """features, secret (1.0 or 0.0) of the findings whose form settles the question."""
-    digits, letters = F.col("value").rlike("[0-9]"), F.col("value").rlike("[A-Za-z]")
-    secret = (F.when(F.col("kind") == "format", 1.0)
-              .when((F.col("kind") == "value") & (F.col("value").rlike(_PLACEHOLDER) | ~digits), 0.0)
-              .when((F.col("kind") == "value") & digits & letters & (F.length("value") >= 12), 1.0)
-              .when((F.col("kind") == "run") & ~digits, 0.0))
-    return found.select("value", "features", secret.alias("secret")).where("secret is not null")
+def labelled_findings(spark, stats, lines=None) -> DataFrame:
+    """Findings of labelled lines (line, path, value, is it a secret) with ``secret`` 1.0 or 0.0.
+
+    A candidate that holds the value, or most of it, has its label; any other candidate of the line is no secret.
+    """
+    lines = list(secret_labels.labelled_lines(LABELLED_LINES) if lines is None else lines)
+    table = spark.createDataFrame([(i, t, p, v, float(s)) for i, (t, p, v, s) in enumerate(lines)],
+                                  "_line long, text string, source string, _value string, _secret double")
+    found = findings(table, "_line", "text", "source", stats).join(table.select("_line", "_value", "_secret"), "_line")
+    about = F.contains("_value", "value") & (2 * F.length("value") >= F.length("_value")) | F.contains("value", "_value")
+    return found.select("_line", "kind", "value", "features", F.when(about, F.col("_secret")).otherwise(0.0).alias("secret"))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 6,
@@ -223,10 +250,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source",
-                 threshold: float = 0.5) -> DataFrame:
-    """Every candidate with score and verdict: id, start, end, kind, value, score, is_secret."""
-    found = materialize(findings(docs, id_col, text_col, path_col), "secret-findings")
-    model = train(labelled_findings(found))
+                 threshold: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
+    """Every candidate with score and verdict: id, start, end, kind, value, score, is_secret.
+
+    ``labelled`` has the columns value, features, secret; by default the lines of ``secret_labels``.
+    """
+    stats = statistics(docs, text_col)
+    found = findings(docs, id_col, text_col, path_col, stats)
+    model = train(labelled_findings(docs.sparkSession, stats) if labelled is None else labelled)
     if model is None:
         scored = found.withColumn("score", F.lit(None).cast("double"))
     else:
