@@ -237,6 +237,37 @@ def test_url_model_held_out_accuracy(spark):
         assert {r.verdict for r in U.judge_urls(pages, catalog.URL_RULES, few).collect()} == {verdict}
 
 
+def test_url_model_on_given_pages(spark):
+    """AUC on hosts not trained on, and a verdict of its own for pages without a rule."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from tests.conftest import SF_CHECK
+    from turnstile.llm import url_labels
+
+    pages = spark.read.parquet(f"{SF_CHECK}/pages.parquet")
+    listed = spark.createDataFrame(url_labels.labelled_urls(), "host string, path string, block double")
+    labelled = U.labelled_by_rules(pages, catalog.URL_RULES).unionByName(listed)
+    held = F.pmod(F.xxhash64("host"), F.lit(4)) == 0
+    model, _ = U.train(labelled.where(~held))
+    scored = model.transform(U.featurize(labelled.where(held)))
+    assert scored.count() > 200
+    assert BinaryClassificationEvaluator(rawPredictionCol="_raw", labelCol="block").evaluate(scored) > 0.9
+    free = catalog.QUERIES["op4_url_filter"](spark, SF_CHECK).where("rule is null")
+    assert {r.verdict for r in free.select("verdict").distinct().collect()} == {"allow", "block"}
+
+
+def test_url_odd_tables(spark):
+    labelled = spark.createDataFrame([("a.org", "/x", 1.0), ("b.org", "/y", 0.0)] * 3, "host string, path string, block double")
+    rows = [(1, "http://q.org/x", "h", "r", 1.0), (1, "http://q.org/x", "h", "r", 1.0), (None, "http://q.org/x", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, _p double")
+    got = U.judge_urls(pages, catalog.URL_RULES, labelled)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "score"]
+    assert len(got.collect()) == 3 and got.select("host", "path", "verdict", "score").distinct().count() == 1
+    empty = pages.where("false")
+    assert U.judge_urls(empty, catalog.URL_RULES, labelled).count() == 0
+    assert U.judge_urls(empty, catalog.URL_RULES, U.labelled_by_rules(empty, catalog.URL_RULES)).count() == 0
+
+
 # 5 language
 
 def identify(rows, model):

@@ -21,6 +21,7 @@ from . import secretscan as X
 from . import sharding as S
 from . import tokencounts as C
 from . import tokenstore as T
+from . import url_labels
 from . import urlfilter as U
 from .oracles import ORACLE
 
@@ -62,18 +63,12 @@ URL_RULES = (U.Rule("com", "/", "allow"), U.Rule("example.com", "/en/", "block")
              U.Rule("www.example.com", "/en/", "allow"), U.Rule("net", "/es/", "block"), U.Rule("net", "/fr/", "block"))
 
 
-def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls of the labelled documents: the number in a page's path is its document; toxic ones are to be blocked."""
-    labels = load_table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull())
-    urls = load_table(spark, sf_dir, "pages").select(U.host_of("url").alias("host"), U.path_of("url").alias("path"))
-    numbered = urls.withColumn("doc_id", F.expr("try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)"))
-    return numbered.join(labels, "doc_id").select("host", "path", F.col("toxic").cast("double").alias("block"))
-
-
 @_query
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load_table(spark, sf_dir, "pages").select("page_id", "url")
-    return U.judge_urls(pages, URL_RULES, labelled_urls(spark, sf_dir))
+    ruled = U.labelled_by_rules(pages, URL_RULES)
+    listed = spark.createDataFrame(url_labels.labelled_urls(), "host string, path string, block double")
+    return U.judge_urls(pages, URL_RULES, ruled.unionByName(listed))
 
 
 @_query
