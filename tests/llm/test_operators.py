@@ -81,6 +81,8 @@ def test_lm_scores(spark, docs):
     train = docs.where(~B.held_out("doc_id"))
     small = B.LanguageModel(train, hot_words=50, max_broadcast_bytes=20_000)
     assert small.slices_per_pass < B.SLICES            # several passes, and words beyond the hot table
+    scores = [dict(x.score(docs).select("doc_id", "score").collect()) for x in (B.LanguageModel(train), B.LanguageModel(train, hot_words=50))]
+    assert scores[0] == pytest.approx(scores[1])        # the hot table plays no part in the score
     for model in (B.LanguageModel(train), small):
         got = {r.doc_id: r for r in model.score(docs).collect()}
         assert len(got) == len(token)

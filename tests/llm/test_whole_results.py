@@ -110,6 +110,16 @@ def test_language_rejects_unknown_and_keeps_mixes(spark):
              for i, pair in enumerate((a, b) for a in sorted(first) for b in sorted(first) if a < b)]
     share, n = accepted(spark.createDataFrame(mixes, docs.schema), whole)
     assert share == 1.0 and n == 6
+    # mixes of 1,000 to 30,000 letters, in blocks of several lengths, with symbols between the words
+    text = {x.lang: " ".join(x.texts)[:40_000] for x in long.groupBy("lang").agg(F.sort_array(F.collect_list("text")).alias("texts")).collect()}
+    mixes = []
+    for a, b in ((a, b) for a in sorted(text) for b in sorted(text) if a < b):
+        for size in (1000, 5000, 30_000):
+            for block in (80, 500, size // 2):
+                parts = [text[(a, b)[i % 2]][i * block // 2:][:block] for i in range(size // block)]
+                mixes += [(len(mixes), " ".join(parts), None), (len(mixes) + 1, " ### ".join(parts).replace(" ", "%% "), None)]
+    share, n = accepted(spark.createDataFrame(mixes, docs.schema), whole)
+    assert n == 108 and share == 1.0
     assert accepted(docs.where("doc_id % 2 = 1"), L.train_text(docs.where("doc_id % 2 = 0")))[0] > 0.99
     without = L.train_text(docs.where("lang <> 'de'"))
     assert accepted(long.where("lang = 'de'"), without)[0] < 0.1

@@ -13,11 +13,12 @@ most ``max_broadcast_bytes``; a pass fills in the levels of the n-grams of its
 slices, and between passes the levels found so far travel with their document.
 
 Model: P(w | h) = (c(hw) + MU * P1(w)) / (max(c(h), c(hw)) + MU), where the
-counts come from the filter.  P1 is the add-0.1 unigram estimate with exact
-counts for end tokens and the most frequent words (``HOT_WORDS`` at most),
-broadcast as a bounded table; for all rarer words the counts come from the
-filter too (0 for unseen ones).
-The base score is exact: words beyond the hot table are joined with their counts.
+counts come from the filter.  P1 is the add-0.1 unigram estimate; its counts come
+from the filter too, for every word alike (0 for unseen ones), but for the exact
+count of end tokens.
+The base score is exact: counts of the most frequent words (``HOT_WORDS`` at
+most) are broadcast as a bounded table, other words are joined with theirs.  That
+table plays no part in ``score``.
 
 Null text is the empty text (one end token).  An empty training part knows no
 token.  A null id counts as the empty text in the hold-out rule.  Rows that
@@ -297,7 +298,7 @@ def _scores(ids: pa.Array, model: Model, token: np.ndarray, first: np.ndarray, p
     hot = count >= 0
     own = np.append(context[1:], 0.0)                   # a word's count is the context of the token behind it
     own[first[1:] - 1] = model.ends
-    chance = (pair + model.mu * model.unigram(np.where(hot, count, own))) / (np.maximum(context, pair) + model.mu)
+    chance = (pair + model.mu * model.unigram(own)) / (np.maximum(context, pair) + model.mu)
     base = np.where(hot, np.log10(np.maximum(count, 0) + ADD), 0.0)
     doc = np.repeat(np.arange(len(ids)), np.diff(first))
     left = np.flatnonzero(~hot)

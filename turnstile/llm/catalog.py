@@ -77,7 +77,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load_table(spark, sf_dir, "pages")
     host = U.host_of("url")
     found = L.identify(pages.select("page_id", "url", "html"), model, L.visible_text("html"), host,
-                       L.markup_language("html"), L.suffix_of(host))
+                       L.markup_language("html"), L.suffix_of(host), keep=("page_id", "url"))
     return found.select("page_id", U.host_of("url").alias("host"), "language", "posterior", "accepted")
 
 

@@ -15,9 +15,9 @@ own label is left out of the counts.
 A row is rejected if its text has no letters, if no language reaches
 ``MIN_POSTERIOR``, or if the text is in none of the known languages: the mean
 over its trigrams of the best language's log likelihood (less the mean of that
-language, so mixes of known languages stay) is ``RANGE`` deviations or more
-below the mean of the labelled texts of its language, each measured with its
-own trigrams left out.  The deviation has a part between texts and one within,
+language) is ``RANGE`` deviations of its language or more below the lowest mean of
+the labelled texts of a language, each measured with its own trigrams left out (a
+mix of known languages lies between their means, so it stays at any length).  The deviation has a part between texts and one within,
 which falls with the number of trigrams, so a short text is rarely rejected.
 
 Null text is empty (rejected).  A null host, suffix or declared language is no
@@ -49,15 +49,21 @@ _DIGITS_AND_SPACE = 0x20
 
 
 def _trigrams(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of byte trigrams inside a text that hold a letter; white space and symbols count as one space."""
+    """(bucket, text) of byte trigrams inside a text that hold a letter; a run of white space, digits and symbols is one space."""
     plain = np.full(256, _DIGITS_AND_SPACE, np.uint8)
     plain[0x61:0x7B] = np.arange(0x61, 0x7B)
     plain[0x80:] = np.arange(0x80, 0x100)
-    data = plain[words.data].astype(np.uint32)
+    data = plain[words.data]
+    capital = np.zeros(len(data), bool)             # two-byte capitals of Latin-1; A-Z are lower-cased already
+    capital[1:] = (words.data[:-1] == 0xC3) & (words.data[1:] >= 0x80) & (words.data[1:] <= 0x9E) & (words.data[1:] != 0x97)
+    data[capital] += 0x20
+    doc = np.repeat(np.arange(words.n_docs), np.diff(words.offsets))
+    run = np.zeros(len(data), bool)
+    run[1:] = (data[1:] == _DIGITS_AND_SPACE) & (data[:-1] == _DIGITS_AND_SPACE) & (doc[1:] == doc[:-1])
+    data, doc = data[~run].astype(np.uint32), doc[~run]
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     code = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
-    doc = np.repeat(np.arange(words.n_docs), np.diff(words.offsets))
     keep = (doc[:-2] == doc[2:]) & (code != (_DIGITS_AND_SPACE << 16 | _DIGITS_AND_SPACE << 8 | _DIGITS_AND_SPACE))
     code, doc = code[keep].astype(np.uint64), doc[:-2][keep]
     return (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), doc
@@ -77,12 +83,15 @@ class TextModel:
         return self.logs - (np.exp(self.logs) * self.logs).sum(1, keepdims=True)
 
     def familiar(self, words: W.Words, language: np.ndarray) -> np.ndarray:
-        """True for texts within the range of the labelled texts of their language."""
+        """True for texts within the range of the labelled texts of their language.
+
+        A mix lies between the means of its languages, so the range is measured from the lowest mean.
+        """
         bucket, doc = _trigrams(words)
         n = np.maximum(np.bincount(doc, minlength=words.n_docs), 1)
         mean = np.bincount(doc, self.centred.max(0)[bucket], words.n_docs) / n
-        middle, between, within = self.ranges[language].T
-        return mean >= middle - RANGE * np.sqrt(between + OVERLAP * within / n)
+        middle, between, within = self.ranges.T
+        return mean >= middle.min() - RANGE * np.sqrt(between[language] + OVERLAP * within[language] / n)
 
     def likelihoods(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """(tempered log likelihood by text and language, number of trigrams by text)."""
@@ -196,16 +205,17 @@ def _by(counts: DataFrame, key: str, languages: Sequence[str]) -> DataFrame:
 
 
 def identify(rows: DataFrame, model: TextModel, text: Column | str, host: Column, declared: Column,
-             suffix: Column | None = None, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
+             suffix: Column | None = None, min_posterior: float = MIN_POSTERIOR, keep: Sequence[str] | None = None) -> DataFrame:
     """``rows`` with language, posterior and accepted (these names replace columns of the input).
 
-    ``text`` is a column of ``rows`` by name (then it is sent to the workers once) or an expression.
+    ``text`` is a column of ``rows`` by name (then it is sent to the workers once) or an expression.  ``keep`` names the
+    columns to return (all by default); others don't go through the workers.
     """
-    own = [c for c in rows.columns if c not in ("language", "posterior", "accepted")]
+    own = [c for c in (rows.columns if keep is None else keep) if c not in ("language", "posterior", "accepted")]
     # the working columns go beside the row, so any name is free for the input
-    place = own.index(text) if isinstance(text, str) else None
+    place = own.index(text) if isinstance(text, str) and text in own else None
     keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),
-                        (F.col(f"`{text}`") if place is not None else text).alias("_text"),
+                        (F.col(f"`{text}`") if isinstance(text, str) else text).alias("_text"),
                         F.lower(declared).alias("_declared"), (suffix if suffix is not None else F.lit(None).cast("string")).alias("_suffix"),
                         host.alias("_host"), domain_of(host).alias("_domain"))
     spark = rows.sparkSession
@@ -286,9 +296,9 @@ def _fuse(logs: np.ndarray, n: np.ndarray, total: np.ndarray, evidence: list[np.
 
 
 def visible_text(html: str) -> Column:
-    """Page text without scripts, styles, comments and tags."""
+    """Page text without scripts, styles, comments, tags and character references (``&amp;`` is no word)."""
     return F.regexp_replace(F.coalesce(F.col(html), F.lit("")),
-                            r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
+                            r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?[0-9a-zA-Z]{1,31};", " ")
 
 
 def markup_language(html: str) -> Column:
