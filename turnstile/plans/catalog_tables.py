@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.tokenize import MD5_TOKENIZER, TOKEN_PATTERN
 from ..operators import leak, mixed, render, tokens, turns
 from ..session import scratch_path
-from ..sources import line_batches, token_store
+from ..sources import line_batches, prepared, token_store
 from ..sources.tables import load_table
 from .catalog import _STORE_SQL, SQL_CHATML_STRICT, SQL_NORM, register
 from .sqlgen import sql_str
@@ -205,3 +205,36 @@ def token_store_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOK12: lengths of the first ten documents, from the index."""
     return token_store.first_lengths(spark, _stored(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------- prepared copies, rebuilt file by file
+
+_SOURCES, _CHANGED = 5, 3
+
+
+@register("prepared_incremental", f"""SELECT conv_id, turn, CASE WHEN conv_id % {_SOURCES} = {_CHANGED} THEN upper(role) ELSE role END AS role,
+       length(text) AS n_chars, conv_id % {_SOURCES} = {_CHANGED} AS built_again FROM conversations WHERE text IS NOT NULL""")
+def prepared_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK9: a folder of source files is prepared, one of them changes, and only its rows are built again."""
+    source, target = scratch_path(spark, "sources"), scratch_path(spark, "prepared")
+    turns_ = load_table(spark, sf_dir, "conversations").withColumn("k", F.pmod("conv_id", F.lit(_SOURCES)))
+
+    def write(k: int, rows: DataFrame) -> None:
+        rows.where(F.col("k") == k).drop("k").write.mode("overwrite").json(f"{source}/part-{k}.jsonl")
+
+    def read(s: SparkSession, paths):
+        return s.read.schema(_TURN).json(list(paths))
+
+    def build(rows: DataFrame) -> DataFrame:
+        return rows.where("text is not null").select("conv_id", "turn", "role", F.length("text").alias("n_chars"), "source_file")
+
+    def bring_up_to_date() -> prepared.Manifest:
+        return prepared.prepare(spark, f"{source}/*", target, build, read, pattern="*.json")
+
+    for k in range(_SOURCES):
+        write(k, turns_)
+    first = bring_up_to_date()
+    write(_CHANGED, turns_.withColumn("role", F.upper("role")))
+    second = bring_up_to_date()
+    again = F.col("source_file").isin([f.name for f in second.files if f.name in second.rebuilt and f.name not in {x.name for x in first.files}])
+    return prepared.read_prepared(spark, target).select("conv_id", "turn", "role", "n_chars", again.alias("built_again"))
