@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokenize import MD5_TOKENIZER, TOKEN_PATTERN
-from ..operators import leak, mixed, render, tokens, turns
+from ..operators import leak, metrics, mixed, render, tokens, turns, vocabularies
 from ..session import scratch_path
 from ..sources import line_batches, prepared, token_store
 from ..sources.tables import load_table
@@ -238,3 +238,18 @@ def prepared_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = bring_up_to_date()
     again = F.col("source_file").isin([f.name for f in second.files if f.name in second.rebuilt and f.name not in {x.name for x in first.files}])
     return prepared.read_prepared(spark, target).select("conv_id", "turn", "role", "n_chars", again.alias("built_again"))
+
+
+# ---------------------------------------------------------------------------- vocabularies
+
+@register("vocabulary_table")
+def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG4: the public vocabulary files beside the four built-in counters."""
+    import public_tokenizers as P
+
+    docs = load_table(spark, sf_dir, "documents").select("text")
+    files = [vocabularies.Vocabulary(n, P.path(n), P.PATTERN if n.endswith(".tiktoken") else None) for n in (
+        "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model")]
+    measured = vocabularies.efficiency(vocabularies.measure_vocabularies(docs, "text", files))
+    counted = metrics.tokenizer_table(docs, "text").select(*measured.columns)
+    return measured.unionByName(counted).orderBy(F.desc("chars_per_token"), "tokenizer")
