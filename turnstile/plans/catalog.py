@@ -982,4 +982,4 @@ def leak_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("input_ids").cast("long").alias("n_input_ids"))
 
 
-from . import catalog_feeds, catalog_tables  # noqa: E402,F401  (they register their queries here)
+from . import catalog_feeds, catalog_roundtrips, catalog_tables  # noqa: E402,F401  (they register their queries here)
