@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import load_table
-from ..streaming import pack_stream
-from .catalog import _PACK_SQL, _PACK_WORLD, _SEQ, _SHARD_SQL, _WORLD, _tok_count, register
+from ..streaming import answer_stream, pack_stream
+from ..streaming.judge_stream import RAW_RESPONSE
+from .catalog import _JUDGE_RAW_SQL, _PACK_SQL, _PACK_WORLD, _SEQ, _SHARD_SQL, _WORLD, _tok_count, raw_judge_responses, register
 
 _RESTARTS, _FEED_EPOCHS = 3, 2
 
@@ -45,3 +46,20 @@ FROM sp GROUP BY shard, chunk""")
 def resumable_pack_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOK4 + MIX14: two epochs, re-looped by the feed; windows run on from one epoch into the next."""
     return _fed(spark, sf_dir, _FEED_EPOCHS)
+
+
+@register("answers_again", f"""WITH {_JUDGE_RAW_SQL}, r AS (
+  SELECT id, CASE WHEN err THEN NULL WHEN form = 4 THEN 'same' ELSE verdict END AS verdict FROM jr)
+SELECT id, 'stub-judge' AS model, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS revision,
+       CASE WHEN id % 3 = 0 THEN 'same' ELSE verdict END AS verdict FROM r""")
+def answers_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JDG11: all answers arrive, then arrive again beside changed ones for every third input, over two queries of one stream."""
+    incoming, output, state = (scratch_path(spark, x) for x in ("answers", "answers-judged", "answers-state"))
+    raw = raw_judge_responses(spark, sf_dir).select(*[f.name for f in RAW_RESPONSE.fields])
+    changed = raw.where(F.pmod("id", F.lit(3)) == 0).withColumn("raw_response", F.lit("no verdict in here"))
+    raw.repartition(2).write.json(f"{incoming}/a")
+    answer_stream.start_answers(spark, f"{incoming}/*", output, state).awaitTermination()
+    raw.where(F.pmod("id", F.lit(3)) > 0).repartition(1).write.json(f"{incoming}/b")
+    changed.repartition(1).write.json(f"{incoming}/c")
+    answer_stream.start_answers(spark, f"{incoming}/*", output, state).awaitTermination()
+    return answer_stream.latest_results(spark, output).select("id", "model", "revision", "verdict")
