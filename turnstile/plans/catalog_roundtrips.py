@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokenize import MD5_TOKENIZER
-from ..operators import boards, judge, leak, tokens
-from ..session import scratch_path
+from ..operators import boards, judge, leak, ranking, tokens
+from ..session import materialize, scratch_path
 from ..sources import readers, sinks
 from ..sources.tables import load_table
 from .catalog import _JUDGE_RAW_SQL, _SCORE_OF_VERDICT, leak_inputs, raw_judge_responses, register
@@ -271,3 +271,46 @@ def board_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         boards.clean_label(F.col("model")).alias("label"), style["color"].alias("color"), style["size"].alias("size"))
 
 
+
+
+# ---------------------------------------------------------------------------- ranking of models
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up verdicts: two of six models are compared by the length of a turn and of the one before it."""
+    t = _turns(spark, sf_dir)
+    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.length("text").alias("other"))
+    a, step = F.pmod("conv_id", F.lit(5)), F.col("turn") % 4 + 1
+    return t.join(before, ["conv_id", "turn"]).select(
+        F.concat(F.lit("m"), a).alias("a"), F.concat(F.lit("m"), (a + step) % 5).alias("b"),
+        (F.floor(F.length("text") / 200) - F.floor(F.col("other") / 200)).alias("score"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+
+
+_VERDICT_PAIRS = """v AS (SELECT 'm' || (c.conv_id % 5) AS x, 'm' || ((c.conv_id % 5 + c.turn % 4 + 1) % 5) AS y,
+  length(c.text) // 200 - length(p.text) // 200 AS s FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1),
+p AS (SELECT least(x, y) AS a, greatest(x, y) AS b, CASE WHEN x < y THEN s ELSE -s END AS s FROM v WHERE x <> y)"""
+
+
+@register("model_pairs", f"""WITH {_VERDICT_PAIRS}
+SELECT a, b, count(*) AS n, count_if(s > 0) AS wins_a, count_if(s < 0) AS wins_b, count_if(s = 0) AS ties FROM p GROUP BY a, b""")
+def model_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JDG17: wins and ties of every pair of models."""
+    return ranking.pair_counts(_verdicts(spark, sf_dir), "a", "b", "score").drop("sampled")
+
+
+@register("model_ranking", f"""WITH {_VERDICT_PAIRS},
+side AS (SELECT a AS model, s FROM p UNION ALL SELECT b, -s FROM p)
+SELECT model, min(model) OVER () AS component, count(*) AS n, count_if(s > 0) AS wins, count_if(s = 0) AS ties, count_if(s < 0) AS losses,
+       true AS balanced, true AS inside FROM side GROUP BY model""")
+def model_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JDG17: Bradley-Terry strengths.  ``balanced``: at the strengths every model wins as often as expected (with the prior);
+    ``inside``: they lie in their intervals."""
+    rows = materialize(ranking.rank_models(_verdicts(spark, sf_dir), "a", "b", "score", F.col("id")), "ranking")
+    pairs = ranking.pair_counts(_verdicts(spark, sf_dir), "a", "b", "score").drop("sampled")
+    one, two = (rows.select(F.col("model").alias(c), F.col("strength").alias(f"s{c}")) for c in ("a", "b"))
+    games = F.col("n") + 2 * ranking.PRIOR
+    chance = 1 / (1 + F.exp(F.col("sb") - F.col("sa")))
+    met = pairs.join(one, "a").join(two, "b").withColumn("d", F.col("wins_a") + F.col("ties") / 2 + ranking.PRIOR - games * chance)
+    off = (met.select(F.col("a").alias("model"), "d").unionByName(met.select(F.col("b").alias("model"), (-F.col("d")).alias("d")))
+           .groupBy("model").agg((F.abs(F.sum("d")) < 1e-4).alias("balanced")))
+    return rows.join(off, "model").select("model", "component", "n", "wins", "ties", "losses", "balanced",
+                                          F.col("strength").between(F.col("low"), F.col("high")).alias("inside"))
