@@ -206,21 +206,29 @@ def render_inst_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
                        turns.is_alternating(c, turns.system_offset(c)).alias("alternating_with_system"))
 
 
-@register("sample_text", f"""
+_SAMPLE_TEXT_SQL = f"""
 SELECT 'document' AS kind, doc_id AS sample_id, CASE WHEN length(text) > 0 THEN text END AS text FROM documents
 UNION ALL
 SELECT 'conversation' AS kind, conv_id AS sample_id,
        string_agg(coalesce(nullif(role, ''), 'unknown') || ': ' || coalesce(nullif(text, ''), ''), {NL} ORDER BY turn) AS text
-FROM conversations GROUP BY conv_id""")
-def sample_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ11: text-or-conversation extractor over a corpus mixing documents and chats."""
+FROM conversations GROUP BY conv_id"""
+
+
+def mixed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of documents and chats: ``kind, sample_id, text, conversations``."""
     docs = load_table(spark, sf_dir, "documents").select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("sample_id"), "text",
         F.lit(None).cast("array<struct<role:string,content:string>>").alias("conversations"))
     convs = conversations_nested(spark, sf_dir).select(
         F.lit("conversation").alias("kind"), F.col("conv_id").alias("sample_id"),
         F.lit(None).cast("string").alias("text"), "conversations")
-    both = docs.unionByName(convs)
+    return docs.unionByName(convs)
+
+
+@register("sample_text", _SAMPLE_TEXT_SQL)
+def sample_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ11: text-or-conversation extractor over a corpus mixing documents and chats."""
+    both = mixed_samples(spark, sf_dir)
     return both.select("kind", "sample_id", turns.sample_text(both, on_missing="null").alias("text"))
 
 

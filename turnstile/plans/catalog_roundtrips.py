@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 from ..functions.tokenize import MD5_TOKENIZER
 from ..operators import boards, judge, leak, ranking, tokens
 from ..session import materialize, scratch_path
-from ..sources import readers, sinks
+from ..sources import readers, sinks, table_functions
 from ..sources.tables import load_table
-from .catalog import _JUDGE_RAW_SQL, _SCORE_OF_VERDICT, leak_inputs, raw_judge_responses, register
+from .catalog import _JUDGE_RAW_SQL, _SAMPLE_TEXT_SQL, _SCORE_OF_VERDICT, leak_inputs, mixed_samples, raw_judge_responses, register
 from .catalog_tables import _TURN, _ids_sql, _weighted, weighted_sum
 from .sqlgen import sql_str
 
@@ -314,3 +314,11 @@ def model_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
            .groupBy("model").agg((F.abs(F.sum("d")) < 1e-4).alias("balanced")))
     return rows.join(off, "model").select("model", "component", "n", "wins", "ties", "losses", "balanced",
                                           F.col("strength").between(F.col("low"), F.col("high")).alias("inside"))
+
+
+@register("sample_text_function", _SAMPLE_TEXT_SQL)
+def sample_text_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC11: the sample processor as a table function, called from SQL."""
+    table_functions.register_processors(spark)
+    mixed_samples(spark, sf_dir).createOrReplaceTempView("turnstile_mixed_samples")
+    return spark.sql("SELECT kind, sample_id, sample_text AS text FROM process_samples(TABLE(turnstile_mixed_samples), 'conversation_text')")
