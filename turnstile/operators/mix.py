@@ -236,7 +236,7 @@ def last_wins(df: DataFrame, key_col: str, seq_col: str) -> DataFrame:
     """
     key = F.col(key_col)
     checked = F.when(key.cast("string").rlike(r"^-?\d+$"), key.cast("long")).otherwise(
-        F.raise_error(F.concat(F.lit("question_id should be of integer to allow sorting. found: "),
+        F.raise_error(F.concat(F.lit("the key of an answer must be a whole number, not "),
                                key.cast("string"))).cast("long"))
     others = [c for c in df.columns if c != key_col]
     packed = F.struct(*[F.col(c) for c in others])

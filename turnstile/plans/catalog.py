@@ -328,15 +328,13 @@ SELECT 'loaded' AS stage, count(DISTINCT conv_id) AS n_rows FROM conversations
 UNION ALL SELECT 'normalized', count(DISTINCT conv_id) FROM norm
 UNION ALL SELECT 'rebuilt', count(DISTINCT conv_id) FROM norm""")
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG8: row counts per build stage from one aggregation pass."""
-    flat = load_table(spark, sf_dir, "conversations")
-    kept = turns.normalize_flat(flat).select("conv_id").groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"))
-    per = flat.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).join(kept, "conv_id", "left")
-    counts = per.agg(F.count(F.lit(1)).alias("loaded"), F.count_if(F.col("kept") > 0).alias("normalized"))
-    stages = F.array(F.struct(F.lit("loaded").alias("stage"), F.col("loaded").alias("n_rows")),
-                     F.struct(F.lit("normalized").alias("stage"), F.col("normalized").alias("n_rows")),
-                     F.struct(F.lit("rebuilt").alias("stage"), F.col("normalized").alias("n_rows")))
-    return counts.select(F.explode(stages).alias("s")).select("s.*")
+    """AGG8: rows of every build stage, observed while the build runs once."""
+    loaded, n_loaded = quality.observed(conversations_nested(spark, sf_dir), "loaded")
+    normal, n_normal = quality.observed(turns.load_conversation(loaded, "conversations", turns.DEFAULT_ROLE_MAP, fields=["conv_id", "conversations"]), "normalized")
+    rebuilt, n_rebuilt = quality.observed(turns.rebuild_clean_schema(normal, "conversations", keep=["conv_id"]), "rebuilt")
+    materialize(rebuilt, "rebuilt")
+    counts = [(stage, seen.get["rows"]) for stage, seen in (("loaded", n_loaded), ("normalized", n_normal), ("rebuilt", n_rebuilt))]
+    return spark.createDataFrame(counts, "stage string, n_rows long")
 
 
 # =========================================================================== MIX

@@ -109,7 +109,7 @@ def build_document_mix(spark: SparkSession, sf_dir: str, recipe: Recipe) -> tupl
         if row["source"] not in named:
             status.append((row["source"], "not in the recipe", f"{row['count']} rows left out"))
     if not per_group:
-        raise ValueError("ERROR: No datasets were successfully processed.")
+        raise ValueError("no source of the recipe could be used")
     mixed = mix.slice_rows(docs, None, list(recipe.order_cols), ["source"], per_group=per_group)
     return mixed, status_frame(spark, status)
 
@@ -125,7 +125,7 @@ def build_conversation_mix(spark: SparkSession, recipe: Recipe,
             spec = parse_split(s.split)
             raw = reader(spark, s.path or s.name)
             if s.field_messages not in raw.columns:
-                raise turns.SourceError(f"Source field '{s.field_messages}' not found. Available: {raw.columns}")
+                raise turns.SourceError(f"no column {s.field_messages!r} for the messages; there are {raw.columns}")
             raw = mix.slice_rows(raw, spec, list(recipe.order_cols))          # the split is taken at load
             conv = turns.load_conversation(raw, s.field_messages, s.role_map or turns.DEFAULT_ROLE_MAP,
                                            fields=[*recipe.order_cols, "conversations"],
@@ -140,7 +140,7 @@ def build_conversation_mix(spark: SparkSession, recipe: Recipe,
                 raise
             status.append((s.name, "error", str(exc).splitlines()[0][:500]))
     if not parts:
-        raise ValueError("ERROR: No datasets were successfully processed.")
+        raise ValueError("no source of the recipe could be used")
     union = mix.concat_sources(parts)
     if recipe.shuffle:
         union = mix.deterministic_shuffle(union, ["source", *recipe.order_cols], recipe.seed)

@@ -120,7 +120,7 @@ class DatasetCatalog:
 
     def load(self, spark: SparkSession, name: str) -> DataFrame:
         if name not in self.entries:
-            raise SourceError(f"Dataset {name!r} is not supported. Supported datasets are: {sorted(self.entries)}")
+            raise SourceError(f"unknown dataset {name!r}; known: {sorted(self.entries)}")
         e = self.entries[name]
         return e.reader(spark, e.path)
 
