@@ -59,3 +59,24 @@ def test_shards_agree_with_the_batch_operator(spark, docs):
     table = P.pack_table(docs, "text", "doc_id", 7).select("doc", "rank")
     want = mix.shard_contiguous(docs, 7, ["doc_id"]).select("doc_id", "shard")
     assert sorted(map(tuple, table.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_blocks_are_small_groups_and_only_open_ones_keep_state(spark, docs, tmp_path):
+    """A task holds a block and not all samples of a rank; many blocks, cut documents and restarts give the same windows."""
+    table = P.pack_table(docs, "text", "doc_id", 2)
+    want = windows(tokens.stream_pack_ranks(docs, "text", "doc_id", 4, 2))
+    for name, rows, batches in (("a", 7, 5), ("b", 1000, 1)):
+        got = P.pack_batches(table, f"{tmp_path}/{name}", f"{tmp_path}/{name}-state", rows, 4, batches, block_tokens=10)
+        assert windows(got) == want and got.count() == len(want)
+    left = spark.read.format("statestore").option("stateVarName", "position").load(f"{tmp_path}/a-state").collect()
+    assert 0 < len(left) <= 2           # the last block of each rank
+    assert all(len(r["value"]["tokens"]) < 5 for r in left)
+
+
+def test_equal_ids_and_long_counters(spark, tmp_path):
+    rows = [(i // 2, f"w{i} x y") for i in range(2100)]
+    table = P.pack_table(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id", 1)
+    got = P.pack_batches(table, f"{tmp_path}/out", f"{tmp_path}/state", 1500, 9, 2, epochs=None).collect()
+    ids = [r["ids"] for r in sorted(table.collect(), key=lambda r: r["i"])]
+    stream = [x for d in (ids + ids)[:3000] for x in d]
+    assert sorted((r["chunk"], r["input"] + r["label"][-1:]) for r in got) == [(c, stream[10 * c:10 * c + 10]) for c in range(len(stream) // 10)]

@@ -24,8 +24,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -107,3 +110,35 @@ def with_prefix_sum(df: DataFrame, value_col: str | Sequence[str], order_cols: S
         out = out.withColumn(nm, F.col(f"_off{i}") + F.col(f"_local{i}"))
     return out.drop("_pid", "_mid", *[f"_off{i}" for i in range(len(values))],
                     *[f"_local{i}" for i in range(len(values))])
+
+
+def _running_starts(batches):
+    """Add the tokens and rows of the partition that come before each row (rows arrive in order)."""
+    from pyspark import TaskContext
+
+    part, tokens, rows = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.column("_n").to_numpy()
+        before = tokens + np.cumsum(n) - n
+        columns = [*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(before),
+                   pa.array(rows + np.arange(len(n)))]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_part", "_before", "_row"])
+        tokens, rows = tokens + int(n.sum()), rows + len(n)
+
+
+def with_running_starts(ordered: DataFrame, name: str) -> DataFrame:
+    """Add ``_start`` (sum of the long ``_n`` of all rows before) and ``_i`` (rows before) to rows in order over partitions.
+
+    The rows are written once with the running sums of their partition; the sums of the partitions before (one row for
+    each partition, broadcast) are added on reading, so rows may be wide and are not moved again.
+    """
+    schema = T.StructType([*ordered.schema.fields, T.StructField("_part", T.IntegerType()),
+                           T.StructField("_before", T.LongType()), T.StructField("_row", T.LongType())])
+    stored = materialize(ordered.mapInArrow(_running_starts, schema), name)
+    parts = stored.groupBy("_part").agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("r"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("_t"),
+                           F.coalesce(F.sum("r").over(earlier), F.lit(0)).alias("_r"))
+    offsets = materialize(offsets, f"{name}-offsets")
+    return (stored.join(F.broadcast(offsets), "_part")
+            .select(*ordered.columns, (F.col("_t") + F.col("_before")).alias("_start"), (F.col("_r") + F.col("_row")).alias("_i")))

@@ -11,8 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.arrays import at
 from ..functions.tokenize import DEFAULT_TOKENIZER, RegexTokenizer, optimal_id_type
 from ..session import materialize
-from .index import with_row_index
+from .index import with_row_index, with_running_starts
 from .packing import sample_pack  # noqa: F401  (TOK5)
 from .quality import document_status
 
@@ -81,20 +79,6 @@ def store_stats(store: DataFrame, vocab_size: int = DEFAULT_TOKENIZER.vocab_size
 
 # --------------------------------------------------------------------------- TOK4 stream packing
 
-def _running_starts(batches):
-    """Add the tokens and rows of the partition that come before each row (rows arrive in order)."""
-    from pyspark import TaskContext
-
-    part, tokens, rows = TaskContext.get().partitionId(), 0, 0
-    for batch in batches:
-        n = batch.column("_n").to_numpy()
-        before = tokens + np.cumsum(n) - n
-        columns = [*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(before),
-                   pa.array(rows + np.arange(len(n)))]
-        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_part", "_before", "_row"])
-        tokens, rows = tokens + int(n.sum()), rows + len(n)
-
-
 def _ordered_tokens(base: DataFrame, tokenizer: RegexTokenizer) -> DataFrame:
     """``_shard, _id, _full, _n`` in (shard, id) order with ``_start`` (tokens before) and ``_i`` (rows before).
 
@@ -108,16 +92,7 @@ def _ordered_tokens(base: DataFrame, tokenizer: RegexTokenizer) -> DataFrame:
                .sortWithinPartitions("_shard", "_id")
                .select("_shard", "_id", F.concat(F.array(F.lit(tokenizer.bos_id)), ids, F.array(F.lit(tokenizer.eos_id))).alias("_full"))
                .withColumn("_n", F.size("_full").cast("long")))
-    schema = T.StructType([*ordered.schema.fields, T.StructField("_part", T.IntegerType()),
-                           T.StructField("_before", T.LongType()), T.StructField("_row", T.LongType())])
-    stored = materialize(ordered.mapInArrow(_running_starts, schema), "ordered-tokens")
-    parts = stored.groupBy("_part").agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("r"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_part", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("_t"),
-                           F.coalesce(F.sum("r").over(earlier), F.lit(0)).alias("_r"))
-    return (stored.join(offsets, "_part")
-            .select("_shard", "_id", "_full", "_n", (F.col("_t") + F.col("_before")).alias("_start"),
-                    (F.col("_r") + F.col("_row")).alias("_i")))
+    return with_running_starts(ordered, "ordered-tokens")
 
 
 def stream_pack(docs: DataFrame, text_col: str, id_col: str, seq_len: int,
@@ -140,12 +115,17 @@ def stream_pack_ranks(docs: DataFrame, text_col: str, id_col: str, seq_len: int,
     into windows of ``seq_len + 1``; the shard follows from the row number.
     Same output as ``shard_contiguous`` followed by ``stream_pack(..., shard_col="shard")``.
     """
+    return _cut_windows(rank_tokens(docs, text_col, id_col, world_size, tokenizer), seq_len)
+
+
+def rank_tokens(docs: DataFrame, text_col: str, id_col: str, world_size: int, tokenizer: RegexTokenizer = DEFAULT_TOKENIZER) -> DataFrame:
+    """``_shard, _id, _full, _n, _start, _i``: BOS + ids + EOS in ``id_col`` order, cut into contiguous rank shards."""
     base = docs.select(F.lit(0).alias("_shard"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     ordered = _ordered_tokens(base, tokenizer)
     div, mod = divmod(ordered.count(), world_size)
     big, i = (div + 1) * mod, F.col("_i")
     shard = F.when(i < big, F.floor(i / F.lit(div + 1))).otherwise(F.lit(mod) + F.floor((i - F.lit(big)) / F.lit(max(div, 1))))
-    return _cut_windows(ordered.withColumn("_shard", shard.cast("int")), seq_len)
+    return ordered.withColumn("_shard", shard.cast("int"))
 
 
 def _shard_starts(ordered: DataFrame, width: int) -> DataFrame:
