@@ -135,3 +135,15 @@ def test_leak_texts_are_used_whole(spark):
     assert got["skip_reason"] is None and got["position"] >= 5000 and cut["skip_reason"] == "no_position" and cut["truncated"]
     plan = spark._jvm.PythonSQLUtils.explainString(leak.leak_records(df, meta_col=None)._jdf.queryExecution(), "simple")
     assert plan.count("regexp_extract_all(chosen") <= 2 and plan.count("regexp_extract_all(rejected") <= 2
+
+
+def test_tokens_of_a_shard_do_not_meet_in_one_task(spark):
+    """Starts of shards and partitions are broadcast, whatever the threshold: no join moves the tokens by shard."""
+    docs = spark.createDataFrame([(i, "a b c " * (i % 7)) for i in range(80)], "id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tokens.stream_pack_ranks(docs, "text", "id", 12, 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") >= 2

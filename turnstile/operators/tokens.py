@@ -146,7 +146,8 @@ def _cut_windows(ordered: DataFrame, seq_len: int) -> DataFrame:
     """Cut each document's token array at the window edges and put the pieces of a window together."""
     width = seq_len + 1
     starts = _shard_starts(ordered.select("_shard", "_start", "_n"), width).withColumnRenamed("_shard", "_s")
-    spans = (ordered.join(starts, F.col("_shard").eqNullSafe(F.col("_s")))
+    # a row for each shard: joined by key, all tokens of a shard would meet in one task
+    spans = (ordered.join(F.broadcast(starts), F.col("_shard").eqNullSafe(F.col("_s")))
              .withColumn("_start", F.col("_start") - F.col("_s0"))
              .withColumn("_c0", F.floor(F.col("_start") / width))
              .withColumn("_c1", F.least(F.floor((F.col("_start") + F.col("_n") - 1) / width), F.col("_chunks") - 1))
