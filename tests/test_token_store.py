@@ -56,3 +56,25 @@ def test_empty_store(spark, tmp_path):
     assert tuple(S.write_token_store(df, f"{tmp_path}/s", ["key"]).first()) == (0, 2, 0)
     assert [tuple(r) for r in S.document_index(spark, f"{tmp_path}/s").collect()] == [(0, 0)]
     assert S.first_lengths(spark, f"{tmp_path}/s").count() == 0
+
+
+def test_small_parts_share_files_and_ids_are_computed_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "FOLDER_TOKENS", 400)
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def ids(key):
+        calls.add(1)
+        return list(range(key, key + 10))
+
+    path = f"{tmp_path}/s"
+    rows = spark.range(200).repartition(3).withColumn("token_ids", ids("id"))
+    S.write_token_store(rows, path, ["id"], part_tokens=20, row_group_bytes=1 << 20)
+    assert calls.value == 200
+    data = spark.read.parquet(f"{path}/data")
+    assert data.select("part").distinct().count() == 100
+    assert data.select(F.input_file_name()).distinct().count() <= 10
+    assert [r["part"] for r in S.get_tokens(spark, path, 395, 405).select("doc").distinct().orderBy("doc")
+            .join(data.select("doc", "part"), "doc").orderBy("doc").collect()] == [19, 20]
+    got = S.get_documents(spark, path, 37, 43).orderBy("doc").collect()
+    assert [(r["doc"], r["offset"], r["token_ids"]) for r in got] == [(i, 10 * i, list(range(i, i + 10))) for i in range(37, 43)]
