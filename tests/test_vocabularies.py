@@ -56,3 +56,20 @@ def test_vocabularies_equal_their_libraries_and_are_cached(spark, tmp_path):
         V.counter_of("txt", b"", None)
     none = V.measure_vocabularies(docs.where("false"), "text", files()[:1])
     assert V.efficiency(none).first()["chars_per_token"] == 0.0
+
+
+def test_equal_pieces_are_encoded_once(spark, monkeypatch):
+    """Counts over the different pieces are those of whole texts: white space of all kinds, special strings, joined marks."""
+    odd = ["", " ", "  ", "a ", " a  b", "a\u3000 b\u00a0 c\u0085 d", "x \u0301y e\u0301 z", "\u2581 a \u2581b\u2581 c", "ΣΑΣ ΣΑΣ.", "can't 's  'll 12 345",
+           "<|endoftext|> a<|endoftext|> <|startoftext|>", "a\n b \n\n c\t d  ", "日本 語 、 🙂 🙂", "don't don't don't " * 50, "!\x1c \x00 a"]
+    docs = spark.createDataFrame([(t,) for t in [*odd, None]], "text string").repartition(3)
+    assert all(V.adds_over_pieces(f.path.rsplit(".", 1)[1], f.content(), f.pattern) for f in files())
+    assert not V.adds_over_pieces("tiktoken", b"", r"\S+ \S+")
+    rows = V.measure_vocabularies(docs, "text", files()).collect()
+    assert {r["tokenizer"]: (r["vocab_size"], r["n_tokens"]) for r in rows} == library_counts(odd)
+    assert {r["n_chars"] for r in rows} == {sum(map(len, odd))}
+    pieces = V.text_pieces(docs, "text").collect()
+    assert len(pieces) == len({(r["first"], r["piece"]) for r in pieces}) and sum(r["n"] for r in pieces if r["piece"] == " don't") == 149
+    monkeypatch.setattr(V, "_GPT2", "none")                 # an unknown pattern: whole texts
+    rows = V.measure_vocabularies(docs, "text", files()).collect()
+    assert {r["tokenizer"]: (r["vocab_size"], r["n_tokens"]) for r in rows} == library_counts(odd)
